@@ -213,7 +213,7 @@ def render_listing_text() -> Column:
         F.col("kamar_mandi").cast("int").cast("string"), F.lit(" kamar mandi, garasi "),
         F.col("garasi").cast("int").cast("string"), F.lit(" mobil. Luas tanah "),
         num("luas_tanah"), F.lit("m², luas bangunan "), num("luas_bangunan"),
-        F.lit("m². Harga: Rp "), F.format_number(F.col("harga").cast("bigint"), 0),
+        F.lit("m². Harga: Rp "), F.format_number(F.col("harga").cast("double"), 0),
         F.lit(". Segmen: "), F.coalesce(F.col("cluster_label"), F.lit("Unknown")), F.lit("."),
     )
 
@@ -241,9 +241,9 @@ def cache_key(fields: list[str]) -> Column:
 
 
 CACHE_KEY_FIELDS = {
-    "predict_price": ["lokasi", "luas_tanah", "luas_bangunan", "kamar_tidur", "kamar_mandi", "garasi"],
-    "classify_segment": ["lokasi", "luas_tanah", "luas_bangunan"],
-    "cluster_property": ["lokasi", "luas_tanah", "luas_bangunan"],
+    "regression": ["lokasi", "luas_tanah", "luas_bangunan", "kamar_tidur", "kamar_mandi", "garasi"],
+    "classification": ["lokasi", "luas_tanah", "luas_bangunan", "kamar_tidur", "harga"],
+    "clustering": ["lokasi", "luas_tanah", "luas_bangunan", "kamar_tidur", "harga"],
 }
 
 

@@ -66,6 +66,10 @@ BLEND_MARGIN = 0.05
 # Default segment threshold (median of the cleaned rows of the original data set).
 DEFAULT_SEGMENT_THRESHOLD = 1_200_000_000.0
 
+# Stored holdout errors (MAPE %) of the two price models, reported when routing.
+STORED_MAPE_LOW = 10.0824
+STORED_MAPE_HIGH = 10.6653
+
 # Chunking of knowledge documents.
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50

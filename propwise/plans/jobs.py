@@ -50,3 +50,19 @@ def feedback_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feedback_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     fb = C.validate_feedback(fx.feedback(spark, sf_dir))
     return C.split_valid(fb)[1]
+
+
+def clustered_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clustering-clean rows with a fixed assignment (price segment -> cluster id).
+
+    Stands in for the KMeans output wherever a query must compare exactly.
+    """
+    df = clean_clustering(spark, sf_dir)
+    return df.withColumns({"cluster_id": X.price_segment("harga")}).withColumn(
+        "cluster_label", X.cluster_name("cluster_id"))
+
+
+def prediction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F20 over the three prediction topics."""
+    from ..streaming.events import parse_prediction_event
+    return parse_prediction_event(fx.prediction_events(spark, sf_dir))

@@ -7,6 +7,11 @@ doubles to integers round, Spark's truncate: the twins use ``trunc`` first.
 from __future__ import annotations
 
 from ..fixtures import with_fixtures
+from ..functions import constants as K
+
+_T = K.DEFAULT_SEGMENT_THRESHOLD
+_M = _T * K.BLEND_MARGIN
+_LO, _HI, _W = _T - _M, _T + _M, 2 * _M
 
 NUM6 = ["harga", "kamar_tidur", "kamar_mandi", "garasi", "luas_tanah", "luas_bangunan"]
 
@@ -107,6 +112,42 @@ left join (select lokasi, median(log_harga) as lokasi_enc from clu5 where lokasi
   on c.lokasi = e.lokasi
 where c.log_harga is not null and c.log_lt is not null and c.log_lb is not null and c.log_harga_m2 is not null
   and c.rasio_lb_lt is not null and c.kamar_tidur is not null and c.kamar_mandi is not null and e.lokasi_enc is not null""",
+    # fixed cluster assignment (price segment) standing in for the KMeans output
+    "clu_fixed": """
+select *, cast(case when harga <= 745000000 then 0 when harga <= 1300000000 then 1
+                    when harga <= 2645000000 then 2 else 3 end as int) as cluster_id,
+  case (case when harga <= 745000000 then 0 when harga <= 1300000000 then 1
+             when harga <= 2645000000 then 2 else 3 end)
+    when 0 then 'Budget' when 1 then 'Affordable' when 2 then 'Mid-Market' when 3 then 'Premium'
+    when 4 then 'Luxury' when 5 then 'Ultra-Luxury' end as cluster_label
+from clu""",
+    # F20 over the three prediction topics
+    "ev": """
+select event_id, ts, topic, payload,
+  json_extract_string(payload, '$.tool') as tool,
+  coalesce(json_extract_string(payload, '$.input.lokasi'), 'unknown') as lokasi,
+  cast(json_extract(payload, '$.input.luas_tanah') as double) as luas_tanah,
+  cast(json_extract(payload, '$.input.luas_bangunan') as double) as luas_bangunan,
+  cast(json_extract(payload, '$.input.kamar_tidur') as int) as kamar_tidur,
+  cast(json_extract(payload, '$.input.kamar_mandi') as int) as kamar_mandi,
+  cast(json_extract(payload, '$.input.garasi') as int) as garasi,
+  coalesce(cast(json_extract(payload, '$.output.harga_estimasi') as double), 0) as harga_estimasi,
+  coalesce(cast(json_extract(payload, '$.output.latency_ms') as double), 0) as latency_ms,
+  coalesce(json_extract_string(payload, '$.output.model_digunakan'), 'unknown') as model_digunakan,
+  coalesce(cast(json_extract(payload, '$.output.kelas_id') as int), -1) as kelas_id,
+  coalesce(json_extract_string(payload, '$.output.kelas_label'), 'unknown') as kelas_label,
+  coalesce(cast(json_extract(payload, '$.output.cluster_id') as int), -1) as cluster_id,
+  coalesce(json_extract_string(payload, '$.output.cluster_label'), 'unknown') as cluster_label
+from prediction_events""",
+    # M5 over the scored stand-in (threshold 1.2e9, stored side errors)
+    "blend": f"""
+select *, case when harga_low < {_LO!r} then harga_low when harga_low > {_HI!r} then harga_high
+               else harga_low * (1 - r) + harga_high * r end as harga_final,
+  case when harga_low < {_LO!r} then 'model_low' when harga_low > {_HI!r} then 'model_high' else 'blended' end
+    as model_digunakan,
+  case when harga_low < {_LO!r} then {K.STORED_MAPE_LOW!r} when harga_low > {_HI!r} then {K.STORED_MAPE_HIGH!r}
+       else {K.STORED_MAPE_LOW!r} * (1 - r) + {K.STORED_MAPE_HIGH!r} * r end as mape_persen
+from (select *, least(greatest((harga_low - {_LO!r}) / {_W!r}, 0.0), 1.0) as r from scored)""",
 }
 
 _CTE_DEPS = {
@@ -114,6 +155,7 @@ _CTE_DEPS = {
     "cls_clean": ["complete", "fences"], "cls": ["cls_clean"], "fb_valid": ["@feedback"],
     "sane": ["complete"], "reg3": ["sane"], "reg4": ["reg3"], "reg": ["reg4"],
     "clu1": ["complete"], "clu2": ["clu1"], "clu3": ["clu2"], "clu4": ["clu3"], "clu5": ["clu4"], "clu": ["clu5"],
+    "clu_fixed": ["clu"], "ev": ["@prediction_events"], "blend": ["@scored"],
 }
 
 
