@@ -1,3 +1,98 @@
-"""Registered queries."""
+"""Registered batch forms of the streaming operators."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import events as EV
+from ..streaming import jobs as SJ
+from . import jobs
+from .catalog import register
+from .oracle import sql
+
+_REG, _CLS, _CLU = (EV.TOPICS[k] for k in ("regression", "classification", "clustering"))
+
+
+def _key_sql(kind: str) -> str:
+    parts = ", ".join(f"coalesce(json_extract_string(payload, '$.input.{f}'), '')" for f in EV.KEY_FIELDS[kind])
+    return f"concat_ws(':', '{kind}', {parts})"
+
+
+_AUDIT_SQL = f"""
+select event_id, ts, topic, tool,
+  case when topic = '{_REG}' then harga_estimasi end as metric_harga_estimasi,
+  latency_ms as metric_latency_ms,
+  case when topic = '{_CLU}' then cast(cluster_id as double) end as metric_cluster_id,
+  lokasi as tag_lokasi,
+  case when topic = '{_REG}' then model_digunakan end as tag_model_digunakan,
+  case when topic = '{_CLS}' then kelas_label end as tag_kelas_label,
+  case when topic = '{_CLS}' then cast(kelas_id as varchar) end as tag_kelas_id,
+  case when topic = '{_CLU}' then cluster_label end as tag_cluster_label,
+  case when topic = '{_REG}' then {_key_sql('regression')} when topic = '{_CLS}' then {_key_sql('classification')}
+       when topic = '{_CLU}' then {_key_sql('clustering')} end as cache_key
+from ev"""
+
+
+def _audit(spark, sf):
+    a = EV.audit_rows(jobs.prediction_events(spark, sf))
+
+    def m(col, k):
+        return F.try_element_at(F.col(col), F.lit(k))
+
+    return a.select("event_id", "ts", "topic", "tool",
+                    m("metrics", "harga_estimasi").alias("metric_harga_estimasi"),
+                    m("metrics", "latency_ms").alias("metric_latency_ms"),
+                    m("metrics", "cluster_id").alias("metric_cluster_id"),
+                    m("tags", "lokasi").alias("tag_lokasi"),
+                    m("tags", "model_digunakan").alias("tag_model_digunakan"),
+                    m("tags", "kelas_label").alias("tag_kelas_label"),
+                    m("tags", "kelas_id").alias("tag_kelas_id"),
+                    m("tags", "cluster_label").alias("tag_cluster_label"),
+                    "cache_key")
+
+
+@register("audit_rows", ids="R1 F20 F21 F22 S10", sql=sql(
+    "select * exclude (ts) from (" + _AUDIT_SQL + ")", "ev"))
+def audit_rows(spark, sf):
+    return _audit(spark, sf).drop("ts")
+
+
+@register("latest_prediction_cache", ids="R2", sql=sql(f"""
+, a as ({_AUDIT_SQL})
+, c as (select max(ts) - interval 3600 second as cutoff from a)
+select cache_key, epoch_us(max(ts)) as ts_us, arg_max(event_id, (ts, event_id)) as event_id
+from a, c where ts > cutoff and cache_key is not null group by cache_key""", "ev"))
+def latest_prediction_cache(spark, sf):
+    a = _audit(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("cache_key").isNotNull())
+    now = a.agg(F.max("ts").alias("m")).collect()[0]["m"]       # reference time: newest event
+    log = a.select("cache_key", "ts", "event_id", F.lit("").alias("output_json"))
+    out = SJ.latest_per_key(log, now=F.lit(now).cast("timestamp"))
+    return out.select("cache_key", F.unix_micros("ts").alias("ts_us"), "event_id")
+
+
+@register("retrain_runs", ids="R4 A9", sql=sql("""
+, p as (select feedback_id, created_at, row_number() over (order by created_at, feedback_id) as rank
+        from fb_valid where not processed)
+select cast((rank - 1) // 100 as bigint) as run_no, count(*) as n_ids, min(feedback_id) as min_id,
+  max(feedback_id) as max_id, epoch_us(max(created_at)) as fired_at_us
+from p group by (rank - 1) // 100 having count(*) = 100""", "fb_valid"))
+def retrain_runs(spark, sf):
+    r = SJ.retrain_runs(jobs.feedback_table(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")))
+    return r.select("run_no", "n_ids", "min_id", "max_id", F.unix_micros("fired_at").alias("fired_at_us"))
+
+
+@register("processed_after_runs", ids="R6 R5 J4", sql=sql("""
+, p as (select feedback_id, row_number() over (order by created_at, feedback_id) as rank from fb_valid where not processed)
+, t as (select (count(*) // 100) * 100 as fired from p)
+select f.feedback_id, f.processed or coalesce(p.rank <= t.fired, false) as processed
+from fb_valid f left join p on f.feedback_id = p.feedback_id, t""", "fb_valid"))
+def processed_after_runs(spark, sf):
+    return SJ.processed_after_runs(jobs.feedback_table(spark, sf))
+
+
+@register("live_area_stats", ids="R8", sql=sql("""
+select lokasi, count(*) as jumlah_data, min(harga) as min_harga, max(harga) as max_harga, round(avg(harga), 2) as avg_harga
+from clu group by lokasi""", "clu"))
+def live_area_stats(spark, sf):
+    s = SJ.live_area_stats(jobs.clean_clustering(spark, sf))
+    return s.withColumn("avg_harga", F.round("avg_harga", 2))

@@ -35,7 +35,7 @@ def with_dense_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     offsets = F.broadcast(offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off")))
     return (base.withColumn("_pid", (F.col("_mid") / (1 << 33)).cast("long"))
             .join(offsets, "_pid")
-            .withColumn(id_col, F.col("_off") + F.bitwise_and(F.col("_mid"), F.lit((1 << 33) - 1)) + 1)
+            .withColumn(id_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
             .drop("_mid", "_pid", "_off"))
 
 
