@@ -219,7 +219,8 @@ def validate_requests(df: DataFrame, b: dict = K.REQUEST_BOUNDS) -> DataFrame:
         ("lokasi", F.length("lokasi") >= b["name_min"]),
     ]
     if "top_k" in df.columns:
-        checks.append(("top_k", F.col("top_k").between(b["top_k_min"], b["top_k_max"])))
+        # a request without top_k uses the default of 3
+        checks.append(("top_k", F.coalesce(F.col("top_k"), F.lit(3)).between(b["top_k_min"], b["top_k_max"])))
     return _validate(df, checks)
 
 

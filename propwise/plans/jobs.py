@@ -23,9 +23,38 @@ def raw_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.ingest_raw(raw)
 
 
+_STORED: dict = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table the application stores (RawProperty, the clean tables, Feedback):
+    written once per session under the shared checkpoint folder, then read by
+    every query that needs it — as the original keeps them in its database."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = materialize(build(), name)
+    return _STORED[key]
+
+
 def raw_property_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RawProperty as a stored table (written once under the shared checkpoint folder)."""
-    return materialize(raw_property(spark, sf_dir), "raw_property")
+    """RawProperty as a stored table."""
+    return _stored(spark, sf_dir, "raw_property", lambda: raw_property(spark, sf_dir))
+
+
+def clean_classification_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "clean_classification", lambda: clean_classification(spark, sf_dir))
+
+
+def clean_regression_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "clean_regression", lambda: clean_regression(spark, sf_dir))
+
+
+def clean_clustering_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "clean_clustering", lambda: clean_clustering(spark, sf_dir))
+
+
+def feedback_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "feedback", lambda: feedback_table(spark, sf_dir))
 
 
 def clean_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +86,7 @@ def clustered_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Stands in for the KMeans output wherever a query must compare exactly.
     """
-    df = clean_clustering(spark, sf_dir)
+    df = clean_clustering_table(spark, sf_dir)
     return df.withColumns({"cluster_id": X.price_segment("harga")}).withColumn(
         "cluster_label", X.cluster_name("cluster_id"))
 

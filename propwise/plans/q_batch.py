@@ -21,7 +21,7 @@ from .oracle import sql
 # ---- flagship ------------------------------------------------------------------------
 
 def area_analytics(spark, sf):
-    return A.area_analytics(jobs.clean_classification(spark, sf), jobs.feedback_table(spark, sf))
+    return A.area_analytics(jobs.clean_classification_table(spark, sf), jobs.feedback_stored(spark, sf))
 
 
 register("area_analytics", ids="A1 A3 J1 W2 F1-F7 F15 F17 C1 C7 C8 C14", sql=sql("""
@@ -127,7 +127,7 @@ def request_validation(spark, sf):
 select feedback_id, lokasi, selisih_persen from fb_valid
 where feedback_id in (select feedback_id from fb_valid where not processed)""", "fb_valid"))
 def unprocessed_feedback(spark, sf):
-    fb = jobs.feedback_table(spark, sf)
+    fb = jobs.feedback_stored(spark, sf)
     ids = C.unprocessed(fb).select("feedback_id")      # the snapshot a retrain takes
     return J.rows_by_ids(fb, ids, "feedback_id").select("feedback_id", "lokasi", "selisih_persen")
 
@@ -182,19 +182,19 @@ _CORR = ["kamar_tidur", "kamar_mandi", "garasi", "luas_tanah", "luas_bangunan"]
     "select " + ", ".join(f"round(corr(cast(harga as double), cast({c} as double)), 6) as corr_{c}" for c in _CORR)
     + " from reg", "reg"))
 def price_correlation(spark, sf):
-    return A.price_correlation(jobs.clean_regression(spark, sf))
+    return A.price_correlation(jobs.clean_regression_table(spark, sf))
 
 
 @register("segment_threshold", ids="A8", sql=sql("select round(median(harga), 2) as batas_segmen from reg", "reg"))
 def segment_threshold(spark, sf):
-    return A.segment_threshold(jobs.clean_regression(spark, sf)).select(F.round("batas_segmen", 2).alias("batas_segmen"))
+    return A.segment_threshold(jobs.clean_regression_table(spark, sf)).select(F.round("batas_segmen", 2).alias("batas_segmen"))
 
 
 @register("unprocessed_count", ids="A9 C15", sql=sql("""
 select count(*) filter (where not processed) as unprocessed, count(*) filter (where not processed) >= 100 as should_retrain
 from fb_valid""", "fb_valid"))
 def unprocessed_count(spark, sf):
-    return A.unprocessed_count(jobs.feedback_table(spark, sf))
+    return A.unprocessed_count(jobs.feedback_stored(spark, sf))
 
 
 @register("history_summary", ids="A10 F20", sql=sql("""
@@ -213,7 +213,7 @@ select cluster_raw, round(median_price, 2) as median_price, rank_id,
 from (select cluster_raw, median_price, cast(row_number() over (order by median_price, cluster_raw) - 1 as int) as rank_id
       from (select kamar_mandi as cluster_raw, median(harga) as median_price from clu group by kamar_mandi))""", "clu"))
 def rank_clusters(spark, sf):
-    df = jobs.clean_clustering(spark, sf).withColumn("cluster_raw", F.col("kamar_mandi"))
+    df = jobs.clean_clustering_table(spark, sf).withColumn("cluster_raw", F.col("kamar_mandi"))
     r = A.rank_clusters(df, "cluster_raw")
     return r.select("cluster_raw", F.round("median_price", 2).alias("median_price"), "rank_id", "cluster_label")
 
@@ -314,7 +314,7 @@ def cluster_quality(spark, sf):
 select listing_id, (('0x' || substr(md5(cast(listing_id as varchar)), 1, 8))::BIGINT % 100) < 80 as is_train from reg""",
                                                 "reg"))
 def train_test_split(spark, sf):
-    return P.train_test_split(jobs.clean_regression(spark, sf), "listing_id").select("listing_id", "is_train")
+    return P.train_test_split(jobs.clean_regression_table(spark, sf), "listing_id").select("listing_id", "is_train")
 
 
 @register("stratified_split", ids="M2", sql=sql("""
@@ -322,7 +322,7 @@ select listing_id, kelas_harga,
   (('0x' || substr(md5(concat(cast(kelas_harga as varchar), '|', cast(listing_id as varchar))), 1, 8))::BIGINT % 100) < 80 as is_train
 from cls""", "cls"))
 def stratified_split(spark, sf):
-    df = jobs.clean_classification(spark, sf)
+    df = jobs.clean_classification_table(spark, sf)
     return P.stratified_split(df, "listing_id", "kelas_harga").select("listing_id", "kelas_harga", "is_train")
 
 
@@ -331,7 +331,7 @@ select listing_id, side, case when (side = 'low' and harga < {_T / 2!r}) or (sid
   then 2.0 else 1.0 end as weight
 from (select listing_id, harga, case when harga <= {_T!r} then 'low' else 'high' end as side from reg)""", "reg"))
 def extreme_weights(spark, sf):
-    df = jobs.clean_regression(spark, sf).withColumn("side", P.price_side("harga", _T))
+    df = jobs.clean_regression_table(spark, sf).withColumn("side", P.price_side("harga", _T))
     return P.extreme_weights(df, _T).select("listing_id", "side", "weight")
 
 
@@ -359,7 +359,7 @@ select lokasi, n, round(case when n = 1 then prior
   else prior * (1 - 1.0 / (1.0 + exp(-(n - 20) / 10.0))) + mean * (1.0 / (1.0 + exp(-(n - 20) / 10.0))) end, 0) as enc
 from a, p""", "reg"))
 def target_encoder(spark, sf):
-    enc = E.fit_target_encoder(jobs.clean_regression(spark, sf))
+    enc = E.fit_target_encoder(jobs.clean_regression_table(spark, sf))
     return enc.select("lokasi", "n", F.round("enc", 0).alias("enc"))
 
 
@@ -371,7 +371,7 @@ _ZF = ["log_harga", "log_lt", "log_lb", "log_harga_m2", "rasio_lb_lt"]
     "select listing_id, " + ", ".join(f"round(({c} - m_{c}) / s_{c}, 6) as {c}_z" for c in _ZF) + " from clu, st",
     "clu"))
 def standardize(spark, sf):
-    df = jobs.clean_clustering(spark, sf)
+    df = jobs.clean_clustering_table(spark, sf)
     z = E.standardize(df, E.fit_standardizer(df, _ZF))
     return z.select("listing_id", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in _ZF])
 
@@ -382,9 +382,9 @@ def standardize(spark, sf):
 select f.feedback_id, f.lokasi, round(coalesce(e.lokasi_enc, fb.m), 6) as lokasi_enc
 from fb_valid f left join e on f.lokasi = e.lokasi, fb""", "clu", "fb_valid"))
 def encoder_lookup(spark, sf):
-    clu = jobs.clean_clustering(spark, sf)
+    clu = jobs.clean_clustering_table(spark, sf)
     enc = E.fit_median_encoder(clu.drop("lokasi_enc"), "lokasi", "log_harga")
-    out = E.encoder_lookup(jobs.feedback_table(spark, sf), enc)
+    out = E.encoder_lookup(jobs.feedback_stored(spark, sf), enc)
     return out.select("feedback_id", "lokasi", F.round("lokasi_enc", 6).alias("lokasi_enc"))
 
 
@@ -421,7 +421,7 @@ union all
 select harga_asli, kamar_tidur, kamar_mandi, garasi, luas_tanah, luas_bangunan, lokasi, 'feedback' from fb_valid""",
                                                   "reg", "fb_valid"))
 def base_plus_feedback(spark, sf):
-    return J.base_plus_feedback(jobs.clean_regression(spark, sf), jobs.feedback_table(spark, sf))
+    return J.base_plus_feedback(jobs.clean_regression_table(spark, sf), jobs.feedback_stored(spark, sf))
 
 
 _LAND = [50.0, 100.0, 200.0, 500.0, 1000.0]
@@ -443,7 +443,7 @@ def _top_areas(df, n: int = 8) -> list[str]:
 select listing_id, vary, lokasi, luas_tanah, round(luas_bangunan / (luas_tanah + 1), 9) as rasio_bangunan_tanah,
   luas_tanah + luas_bangunan as luas_total from v""", "reg"))
 def scenario_grid(spark, sf):
-    reg = jobs.clean_regression(spark, sf)
+    reg = jobs.clean_regression_table(spark, sf)
     g = J.scenario_grid(reg, _top_areas(reg), _LAND)
     feats = X.classification_features()
     return g.select("listing_id", "vary", "lokasi", "luas_tanah",
@@ -462,7 +462,7 @@ def scenario_grid(spark, sf):
         union all select listing_id, 'log_luas_tanah', log_luas_tanah, b_log from a)
 select listing_id, feature, round(b - a, 6) as diff from u where abs(b - a) > 0.0001""", "reg"))
 def scenario_feature_diff(spark, sf):
-    reg = jobs.clean_regression(spark, sf)
+    reg = jobs.clean_regression_table(spark, sf)
     names = ["rasio_bangunan_tanah", "harga_per_m2_tanah", "luas_total", "log_luas_tanah"]
 
     def feats(lt: float):

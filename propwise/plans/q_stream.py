@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixtures as fx
 from ..streaming import events as EV
 from ..streaming import jobs as SJ
 from . import jobs
@@ -64,7 +65,8 @@ select cache_key, epoch_us(max(ts)) as ts_us, arg_max(event_id, (ts, event_id))
 from a, c where ts > cutoff and cache_key is not null group by cache_key""", "ev"))
 def latest_prediction_cache(spark, sf):
     a = _audit(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")).filter(F.col("cache_key").isNotNull())
-    now = a.agg(F.max("ts").alias("m")).collect()[0]["m"]       # reference time: newest event
+    # reference time = newest event (one column scan of the event table)
+    now = fx.table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("m")).collect()[0]["m"]
     log = a.select("cache_key", "ts", "event_id", F.lit("").alias("output_json"))
     out = SJ.latest_per_key(log, now=F.lit(now).cast("timestamp"))
     return out.select("cache_key", F.unix_micros("ts").alias("ts_us"), "event_id")
@@ -77,7 +79,7 @@ select cast((rank - 1) // 100 as bigint) as run_no, count(*) as n_ids, min(feedb
   max(feedback_id) as max_id, epoch_us(max(created_at)) as fired_at_us
 from p group by (rank - 1) // 100 having count(*) = 100""", "fb_valid"))
 def retrain_runs(spark, sf):
-    r = SJ.retrain_runs(jobs.feedback_table(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")))
+    r = SJ.retrain_runs(jobs.feedback_stored(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")))
     return r.select("run_no", "n_ids", "min_id", "max_id", F.unix_micros("fired_at").alias("fired_at_us"))
 
 
@@ -87,12 +89,12 @@ def retrain_runs(spark, sf):
 select f.feedback_id, f.processed or coalesce(p.rank <= t.fired, false) as processed
 from fb_valid f left join p on f.feedback_id = p.feedback_id, t""", "fb_valid"))
 def processed_after_runs(spark, sf):
-    return SJ.processed_after_runs(jobs.feedback_table(spark, sf))
+    return SJ.processed_after_runs(jobs.feedback_stored(spark, sf))
 
 
 @register("live_area_stats", ids="R8", sql=sql("""
 select lokasi, count(*) as jumlah_data, min(harga) as min_harga, max(harga) as max_harga, round(avg(harga), 2) as avg_harga
 from clu group by lokasi""", "clu"))
 def live_area_stats(spark, sf):
-    s = SJ.live_area_stats(jobs.clean_clustering(spark, sf))
+    s = SJ.live_area_stats(jobs.clean_clustering_table(spark, sf))
     return s.withColumn("avg_harga", F.round("avg_harga", 2))

@@ -96,6 +96,17 @@ def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
     return F.broadcast(small) if n <= max_rows else small
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a CPU-heavy step at least one partition per core.
+
+    Large inputs already arrive in many file splits and pass through untouched;
+    only a table smaller than the cluster's parallelism (e.g. one small stored
+    file) is round-robin repartitioned.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def first_row(df: DataFrame) -> dict:
     """Fetch the single row of a global aggregate (a handful of scalars)."""
     row = df.limit(1).collect()

@@ -17,16 +17,11 @@ TOPICS = {
     "feedback": "property.feedback",
 }
 
-INPUT = T.StructType([
-    T.StructField("lokasi", T.StringType()),
-    T.StructField("luas_tanah", T.DoubleType()),
-    T.StructField("luas_bangunan", T.DoubleType()),
-    T.StructField("kamar_tidur", T.IntegerType()),
-    T.StructField("kamar_mandi", T.IntegerType()),
-    T.StructField("garasi", T.IntegerType()),
-    T.StructField("harga", T.DoubleType()),
-    T.StructField("top_k", T.IntegerType()),
-])
+# Input fields are read as text: the JSON parser hands back a number's own spelling
+# ("40", not "40.0"), which params and cache keys keep; typed columns are casts of it.
+INPUT_TYPES = {"lokasi": "string", "luas_tanah": "double", "luas_bangunan": "double", "kamar_tidur": "int",
+               "kamar_mandi": "int", "garasi": "int", "harga": "double", "top_k": "int"}
+INPUT = T.StructType([T.StructField(n, T.StringType()) for n in INPUT_TYPES])
 OUTPUT = T.StructType([
     T.StructField("harga_estimasi", T.DoubleType()),
     T.StructField("harga_estimasi_format", T.StringType()),
@@ -70,16 +65,14 @@ KEY_FIELDS = {
 def parse_prediction_event(df: DataFrame, payload: str = "payload") -> DataFrame:
     """JSON -> typed columns; missing keys take defaults (0, 'unknown', -1)."""
     e = F.from_json(F.col(payload), PREDICTION_EVENT)
+    typed = [F.col(f"_e.input.{n}").try_cast(t).alias(n) for n, t in INPUT_TYPES.items()
+             if n not in ("lokasi", "top_k")]
     return df.withColumn("_e", e).select(
         *[c for c in df.columns if c != payload],
         F.col("_e.tool").alias("tool"),
         F.coalesce(F.col("_e.input.lokasi"), F.lit("unknown")).alias("lokasi"),
-        F.col("_e.input.luas_tanah").alias("luas_tanah"),
-        F.col("_e.input.luas_bangunan").alias("luas_bangunan"),
-        F.col("_e.input.kamar_tidur").alias("kamar_tidur"),
-        F.col("_e.input.kamar_mandi").alias("kamar_mandi"),
-        F.col("_e.input.garasi").alias("garasi"),
-        F.col("_e.input.harga").alias("harga"),
+        *typed,
+        F.col("_e.input.top_k").try_cast("int").alias("top_k"),
         F.coalesce(F.col("_e.output.harga_estimasi"), F.lit(0.0)).alias("harga_estimasi"),
         F.coalesce(F.col("_e.output.latency_ms"), F.lit(0.0)).alias("latency_ms"),
         F.coalesce(F.col("_e.output.model_digunakan"), F.lit("unknown")).alias("model_digunakan"),
@@ -87,19 +80,14 @@ def parse_prediction_event(df: DataFrame, payload: str = "payload") -> DataFrame
         F.coalesce(F.col("_e.output.kelas_label"), F.lit("unknown")).alias("kelas_label"),
         F.coalesce(F.col("_e.output.cluster_id"), F.lit(-1)).alias("cluster_id"),
         F.coalesce(F.col("_e.output.cluster_label"), F.lit("unknown")).alias("cluster_label"),
+        F.col("_e.input").alias("input_raw"),
         F.col("_e.output").alias("output"),
-        F.col(payload),
     )
 
 
-def raw_input_text(payload: Column | str, field: str) -> Column:
-    p = F.col(payload) if isinstance(payload, str) else payload
-    return F.get_json_object(p, f"$.input.{field}")
-
-
-def cache_key(kind: str, payload: str = "payload") -> Column:
+def cache_key(kind: str, raw: str = "input_raw") -> Column:
     """'<kind>:' + colon-joined raw input fields (missing -> empty)."""
-    parts = [F.coalesce(raw_input_text(payload, f), F.lit("")) for f in KEY_FIELDS[kind]]
+    parts = [F.coalesce(F.col(f"{raw}.{f}"), F.lit("")) for f in KEY_FIELDS[kind]]
     return F.concat_ws(":", F.lit(kind), *parts)
 
 
@@ -110,8 +98,10 @@ def audit_rows(parsed: DataFrame) -> DataFrame:
     is_reg = topic == TOPICS["regression"]
     is_cls = topic == TOPICS["classification"]
     is_clu = topic == TOPICS["clustering"]
-    params = F.map_filter(F.from_json(F.to_json(F.from_json(F.col("payload"), PREDICTION_EVENT)["input"]),
-                                      T.MapType(T.StringType(), T.StringType())), lambda k, v: v.isNotNull())
+    pairs = []
+    for n in INPUT_TYPES:
+        pairs += [F.lit(n), F.col(f"input_raw.{n}")]
+    params = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
     metrics = (F.when(is_reg, F.create_map(F.lit("harga_estimasi"), F.col("harga_estimasi"),
                                            F.lit("latency_ms"), F.col("latency_ms")))
                .when(is_cls, F.create_map(F.lit("latency_ms"), F.col("latency_ms")))
