@@ -14,7 +14,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import pricing as P
 from . import jobs
-from .catalog import register
+from .catalog import REGISTRY, register
 from .oracle import sql
 
 
@@ -149,7 +149,10 @@ def area_price_stats(spark, sf):
     return A.area_price_stats(flat).withColumn("avg_harga", F.col("avg_harga").cast("bigint"))
 
 
-@register("market_overview", ids="A4", sql=None)
+@register("market_overview", ids="A4", sql="""
+select nama, avg_per_m2, total_data, round(avg_per_m2 / max(avg_per_m2) over () * 100, 2) as bar_pct,
+  round(avg(avg_per_m2) over (), 2) as market_avg_per_m2, cast(sum(total_data) over () as bigint) as market_total
+from (""" + REGISTRY["area_analytics"].sql + ") a")
 def market_overview(spark, sf):
     return A.market_overview(area_analytics(spark, sf))
 
