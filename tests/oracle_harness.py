@@ -33,6 +33,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if os.environ.get("ORACLE_EXACT"):
+            return v
         return round(v, 9) if abs(v) < 1e6 else float(f"{v:.12g}")
     if hasattr(v, "tolist"):
         v = v.tolist()
