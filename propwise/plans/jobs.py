@@ -8,7 +8,6 @@ driver tables map onto listings, feedback and events.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import columns as X

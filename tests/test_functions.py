@@ -51,3 +51,22 @@ def test_features_no_division_error(spark):
     df = spark.createDataFrame([(1e9, 0.0, 0.0)], "harga double, luas_tanah double, luas_bangunan double")
     r = df.select(*[v.alias(k) for k, v in X.clustering_features().items()]).first()
     assert r["harga_per_m2"] is None and r["rasio_lb_lt"] is None
+
+
+def test_parse_price_property(spark):
+    from hypothesis import given, settings, strategies as st
+
+    cases = []
+
+    @settings(max_examples=60, deadline=None)
+    @given(st.integers(1, 999), st.integers(0, 99), st.sampled_from(["Miliar", "miliar", "Juta", "JUTA", ""]))
+    def gen(whole, frac, unit):
+        cases.append((f"Rp {whole},{frac:02d} {unit}".strip(), whole, frac, unit.lower()))
+
+    gen()
+    df = spark.createDataFrame([(c[0],) for c in cases], "h string")
+    got = [r[0] for r in df.select(X.parse_price("h")).collect()]
+    for (text, whole, frac, unit), g in zip(cases, got):
+        base = float(f"{whole}.{frac:02d}")
+        want = base * 1e9 if unit == "miliar" else base * 1e6 if unit == "juta" else base
+        assert g == want, text

@@ -107,3 +107,26 @@ def test_registry_promote_and_metadata(spark, scratch):
     assert stages == {1: "Archived", 2: "Production"}
     REG.write_model_metadata(spark, scratch, "price", 2, {"batas_segmen": 1.2e9})
     assert REG.read_model_metadata(spark, scratch, "price") == {"batas_segmen": 1.2e9}
+
+
+def test_live_area_stats_stream_equals_batch(spark, scratch):
+    from propwise.plans import jobs
+    clu = jobs.clean_clustering_table(spark, SF001).select("lokasi", "harga")
+    src = os.path.join(scratch, "docs")
+    clu.repartition(3).write.parquet(src)
+    stream = spark.readStream.schema(clu.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (SJ.live_area_stats(stream).writeStream.outputMode("complete").format("memory")
+         .queryName("live_stats_test").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = spark.table("live_stats_test").select("lokasi", "jumlah_data", "min_harga", "max_harga")
+    want = SJ.live_area_stats(clu).select("lokasi", "jumlah_data", "min_harga", "max_harga")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_cache_ttl_expires_old_rows(spark):
+    rows = [("k1", "2024-01-01 00:00:00", 1, "a"), ("k1", "2024-01-01 00:50:00", 2, "b"),
+            ("k2", "2024-01-01 00:00:00", 3, "c")]
+    log = spark.createDataFrame(rows, "cache_key string, ts string, event_id long, output_json string") \
+        .withColumn("ts", F.to_timestamp("ts"))
+    got = SJ.latest_per_key(log, now=F.to_timestamp(F.lit("2024-01-01 01:10:00")), ttl_seconds=3600).collect()
+    assert [(r["cache_key"], r["event_id"]) for r in got] == [("k1", 2)]
