@@ -130,3 +130,20 @@ def test_cache_ttl_expires_old_rows(spark):
         .withColumn("ts", F.to_timestamp("ts"))
     got = SJ.latest_per_key(log, now=F.to_timestamp(F.lit("2024-01-01 01:10:00")), ttl_seconds=3600).collect()
     assert [(r["cache_key"], r["event_id"]) for r in got] == [("k1", 2)]
+
+
+def test_feedback_handler_replay_is_idempotent(spark, scratch):
+    fb = fx.feedback(spark, SF001)
+    value = F.to_json(F.struct("kamar_tidur", "kamar_mandi", "garasi", "luas_tanah", "luas_bangunan", "lokasi",
+                               "harga_prediksi", "harga_asli", "sumber"))
+    batch = fb.select(F.col("feedback_id").alias("event_id"), F.col("created_at").cast("timestamp").alias("created_at"),
+                      value.alias("value")).limit(120)
+    root = os.path.join(scratch, "fb")
+    calls = []
+    handle = SJ.feedback_batch_handler(root, threshold=50, retrain=lambda sp, ids, r: calls.append(ids.count()))
+    handle(batch, 0)
+    handle(batch, 0)          # replay of the same micro-batch
+    stored = spark.read.parquet(os.path.join(root, "feedback"))
+    assert stored.count() == stored.select("feedback_id").distinct().count()
+    assert len(calls) == 1
+    assert SJ.pending_since(spark, root, SJ.last_success_batch(spark, root)).count() == 0
