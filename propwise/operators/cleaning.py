@@ -27,6 +27,9 @@ from ..session import bounded_broadcast, first_row
 
 NUMERIC = ["harga", "kamar_tidur", "kamar_mandi", "garasi", "luas_tanah", "luas_bangunan"]
 
+# How exact global quantiles are computed (see ``quantile_bounds``).
+QUANTILE_METHOD = "auto"
+
 
 def _quantiles(c: Column, probs: list[float], exact: bool, accuracy: int) -> Column:
     arr = F.array(*[F.lit(float(p)) for p in probs])
@@ -36,11 +39,38 @@ def _quantiles(c: Column, probs: list[float], exact: bool, accuracy: int) -> Col
 
 
 def quantile_bounds(df: DataFrame, cols: list[str] | dict[str, Column], probs: list[float],
-                    exact: bool = True, accuracy: int = 100_000) -> dict[str, list[float]]:
-    """Global quantiles of several columns in ONE aggregate job -> {col: [q...]}."""
-    items = cols.items() if isinstance(cols, dict) else [(c, F.col(c)) for c in cols]
-    row = first_row(df.agg(*[_quantiles(c, probs, exact, accuracy).alias(n) for n, c in items]))
-    return {n: (list(row[n]) if row.get(n) is not None else None) for n, _ in items}
+                    exact: bool = True, accuracy: int = 100_000, method: str | None = None) -> dict[str, list[float]]:
+    """Global quantiles of several columns -> {col: [q...]}.
+
+    ``method``: "percentile" (one exact aggregate job; its buffer holds every distinct
+    value), "refine" (exact histogram refinement, bounded memory, see
+    ``operators.quantiles``) or "auto" (default): one cheap statistics job first, then
+    ``percentile`` for columns with a bounded distinct count and refinement for the
+    rest.  ``exact=False`` uses ``percentile_approx`` with ``accuracy``.
+    """
+    from . import quantiles as Q
+
+    items = list(cols.items()) if isinstance(cols, dict) else [(c, F.col(c)) for c in cols]
+    method = method or QUANTILE_METHOD
+    if not exact or method == "percentile":
+        row = first_row(df.agg(*[_quantiles(c, probs, exact, accuracy).alias(n) for n, c in items]))
+        return {n: (list(row[n]) if row.get(n) is not None else None) for n, _ in items}
+    aggs = []
+    for n, c in items:
+        x = c.cast("double")
+        aggs += [F.count(x).alias(f"{n}__n"), F.min(x).alias(f"{n}__lo"), F.max(x).alias(f"{n}__hi"),
+                 F.approx_count_distinct(x).alias(f"{n}__d")]
+    st = first_row(df.agg(*aggs))
+    small = [(n, c) for n, c in items if method == "auto" and st[f"{n}__d"] <= Q.MAX_DISTINCT_FOR_PERCENTILE]
+    out: dict[str, list[float] | None] = {}
+    if small:
+        row = first_row(df.agg(*[_quantiles(c, probs, True, accuracy).alias(n) for n, c in small]))
+        out.update({n: (list(row[n]) if row.get(n) is not None else None) for n, _ in small})
+    for n, c in items:
+        if n not in out:
+            stats = {"n": st[f"{n}__n"], "lo": st[f"{n}__lo"], "hi": st[f"{n}__hi"]}
+            out[n] = Q.refine_quantiles(df, c, probs, stats)
+    return out
 
 
 # ---- C1, C2 ------------------------------------------------------------------------
