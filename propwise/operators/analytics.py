@@ -78,15 +78,21 @@ def market_overview(areas: DataFrame) -> DataFrame:
 
 
 def cluster_summary(df: DataFrame, cluster_col: str = "cluster_id") -> DataFrame:
-    """A5: per cluster count, min/max/median price, median land and building size."""
-    return df.groupBy(cluster_col).agg(
+    """A5: per cluster count, min/max/median price, median land and building size.
+
+    Clusters are few and one may hold most rows: medians come from
+    ``group_quantiles`` (percentile buffers, or refinement for a hot cluster)."""
+    from .quantiles import group_quantiles
+    out = df.groupBy(cluster_col).agg(
         F.count(F.lit(1)).alias("jumlah_data"),
         F.min("harga").alias("harga_min"),
         F.max("harga").alias("harga_max"),
-        F.median("harga").alias("harga_median"),
-        F.median("luas_tanah").alias("luas_tanah_median"),
-        F.median("luas_bangunan").alias("luas_bangunan_median"),
     )
+    for c, name in (("harga", "harga_median"), ("luas_tanah", "luas_tanah_median"),
+                    ("luas_bangunan", "luas_bangunan_median")):
+        med = group_quantiles(df, cluster_col, F.col(c), [0.5]).select(cluster_col, F.col("q")[0].alias(name))
+        out = out.join(med, cluster_col, "left")
+    return out
 
 
 def dominant_areas(df: DataFrame, n: int = 3, cluster_col: str = "cluster_id") -> DataFrame:
@@ -127,7 +133,8 @@ def history_summary(history: DataFrame, key: str = "tool") -> DataFrame:
 def rank_clusters(df: DataFrame, cluster_col: str = "cluster_id", price: str = "harga") -> DataFrame:
     """Map raw cluster ids to 0..k-1 by ascending median price (k rows; the
     window over k rows is bounded by the model's k)."""
-    med = df.groupBy(cluster_col).agg(F.median(price).alias("median_price"))
+    from .quantiles import group_quantiles
+    med = group_quantiles(df, cluster_col, F.col(price), [0.5]).select(cluster_col, F.col("q")[0].alias("median_price"))
     w = Window.partitionBy(F.lit(0)).orderBy("median_price", cluster_col)
     return med.withColumn("rank_id", (F.row_number().over(w) - 1).cast("int")).withColumn(
         "cluster_label", X.cluster_name("rank_id", on_write=True))

@@ -119,10 +119,15 @@ def group_quantile_filter(df: DataFrame, key: str, col: str, lo: float, hi: floa
 
     Rows with a null key are dropped (grouped filters never see them).
     """
-    stats = (df.groupBy(key)
-             .agg(F.count(F.lit(1)).alias("_n"),
-                  _quantiles(F.col(col), [lo, hi], exact, accuracy).alias("_q"))
-             .filter(F.col(key).isNotNull()))
+    from . import quantiles as Q
+
+    if exact:
+        stats = Q.group_quantiles(df, key, F.col(col), [lo, hi], QUANTILE_METHOD).withColumnsRenamed(
+            {"n": "_n", "q": "_q"})
+    else:
+        stats = (df.groupBy(key)
+                 .agg(F.count(F.lit(1)).alias("_n"), _quantiles(F.col(col), [lo, hi], False, accuracy).alias("_q"))
+                 .filter(F.col(key).isNotNull()))
     stats = bounded_broadcast(stats)
     joined = df.join(stats, key, "inner")
     keep = (F.col("_n") < min_n) | F.col(col).between(F.col("_q")[0], F.col("_q")[1])

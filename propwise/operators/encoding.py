@@ -44,8 +44,9 @@ def apply_encoder(df: DataFrame, enc: DataFrame, key: str = "lokasi", out: str =
 
 
 def fit_median_encoder(df: DataFrame, key: str = "lokasi", col: str = "log_harga", out: str = "lokasi_enc") -> DataFrame:
-    """Area median of ``col`` (exact, partial buffers per task)."""
-    return df.groupBy(key).agg(F.median(col).alias(out)).filter(F.col(key).isNotNull())
+    """Area median of ``col`` (exact; a hot area is refined, see ``quantiles.group_quantiles``)."""
+    from .quantiles import group_quantiles
+    return group_quantiles(df, key, F.col(col), [0.5]).select(key, F.col("q")[0].alias(out))
 
 
 def median_fallback(enc: DataFrame, col: str = "lokasi_enc") -> float | None:

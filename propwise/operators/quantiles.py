@@ -104,3 +104,78 @@ def quantiles(df: DataFrame, col: Column, probs: list[float], method: str = "aut
     if method == "auto" and stats["d"] <= max_distinct:
         return quantiles(df, col, probs, "percentile")
     return refine_quantiles(df, col, probs, stats)
+
+
+def group_quantiles(df: DataFrame, key: str, col: Column, probs: list[float], method: str = "auto",
+                    max_distinct: int = MAX_DISTINCT_FOR_PERCENTILE, buckets: int = 1024,
+                    max_collect: int = 100_000) -> DataFrame:
+    """Exact per-group quantiles (``percentile`` semantics) -> DataFrame(key, n, q array).
+
+    ``auto``: one statistics aggregate per group (count, min, max, approximate distinct
+    count); groups whose distinct count is bounded get one ``percentile`` aggregate,
+    hot groups (more distinct values than ``max_distinct``) are refined with
+    (group, bucket) histograms — the bucket spreads a hot group over many reducers,
+    and no reducer ever merges all of its distinct values.
+    """
+    spark = df.sparkSession
+    base = (df.select(F.col(key).alias("k"), col.cast("double").alias("x"))
+            .filter(F.col("k").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x")))
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    if method == "percentile":
+        return base.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile("x", arr).alias("q")) \
+            .withColumnRenamed("k", key)
+    stats = base.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                  F.approx_count_distinct("x").alias("d"))
+    hot = stats.filter(F.col("d") > max_distinct) if method == "auto" else stats
+    hot_rows = hot.collect()   # hot groups are few: each holds more than max_distinct distinct values
+    hot_keys = spark.createDataFrame([(r["k"],) for r in hot_rows], base.select("k").schema) if hot_rows else None
+    cold = base if hot_keys is None else base.join(F.broadcast(hot_keys), "k", "left_anti")
+    out = cold.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile("x", arr).alias("q"))
+    if not hot_rows:
+        return out.withColumnRenamed("k", key)
+    # refinement state per (group, rank): lo, hi, rows below lo
+    state, found, ns = {}, {}, {}
+    for r in hot_rows:
+        n = int(r["n"])
+        ns[r["k"]] = n
+        for rank in {v for p in probs for v in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}:
+            state[(r["k"], rank)] = (float(r["lo"]), float(r["hi"]), 0)
+    while len(found) < len(state):
+        for sk, (lo, hi, _) in state.items():
+            if sk not in found and lo == hi:
+                found[sk] = lo
+        todo = [sk for sk in state if sk not in found]
+        if not todo:
+            break
+        probes = spark.createDataFrame(
+            [(i, sk[0], state[sk][0], state[sk][1], (state[sk][1] - state[sk][0]) / buckets) for i, sk in enumerate(todo)],
+            f"pid int, k {base.schema['k'].dataType.simpleString()}, lo double, hi double, w double")
+        b = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("w")).cast("int"), F.lit(buckets - 1))
+        hist = (base.join(F.broadcast(probes), "k").filter(F.col("x").between(F.col("lo"), F.col("hi")))
+                .groupBy("pid", b.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("mn"),
+                                                  F.max("x").alias("mx"))
+                .collect())   # <= len(todo) * buckets rows
+        by_probe: dict[int, list] = {}
+        for h in hist:
+            by_probe.setdefault(h["pid"], []).append(h)
+        for i, sk in enumerate(todo):
+            lo, hi, below = state[sk]
+            rank = sk[1]
+            cum = below
+            for h in sorted(by_probe.get(i, []), key=lambda h: h["b"]):
+                if cum + h["c"] > rank:
+                    if h["mn"] == h["mx"]:
+                        found[sk] = float(h["mn"])
+                    elif h["c"] <= max_collect:
+                        vals = [v[0] for v in base.filter((F.col("k") == F.lit(sk[0]))
+                                                          & F.col("x").between(F.lit(h["mn"]), F.lit(h["mx"])))
+                                .orderBy("x").select("x").collect()]      # bounded by max_collect
+                        found[sk] = float(vals[rank - cum])
+                    else:
+                        state[sk] = (float(h["mn"]), float(h["mx"]), cum)
+                    break
+                cum += h["c"]
+    hot_out = [(k, ns[k], [_interpolate(p, ns[k], {r: v for (kk, r), v in found.items() if kk == k}) for p in probs])
+               for k in ns]
+    hot_df = spark.createDataFrame(hot_out, f"k {base.schema['k'].dataType.simpleString()}, n long, q array<double>")
+    return out.unionByName(hot_df).withColumnRenamed("k", key)

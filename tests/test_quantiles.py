@@ -35,3 +35,15 @@ def test_cleaning_same_rows_with_refinement(spark):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     finally:
         C.QUANTILE_METHOD = old
+
+
+def test_group_refine_equals_percentile(spark):
+    rng = np.random.default_rng(5)
+    rows = [("hot", float(v)) for v in rng.integers(0, 3000, 20000)] + [("hot", 42.0)] * 7000
+    rows += [(f"a{i % 7}", float(v)) for i, v in enumerate(rng.normal(0, 5, 3000))]
+    df = spark.createDataFrame(rows, "k string, x double")
+    probs = [0.05, 0.5, 0.95]
+    a = {r["k"]: (r["n"], list(r["q"])) for r in Q.group_quantiles(df, "k", F.col("x"), probs, "percentile").collect()}
+    b = {r["k"]: (r["n"], list(r["q"])) for r in Q.group_quantiles(df, "k", F.col("x"), probs, "auto",
+                                                                   max_distinct=500, buckets=16, max_collect=100).collect()}
+    assert a == b
