@@ -147,3 +147,26 @@ def test_feedback_handler_replay_is_idempotent(spark, scratch):
     assert stored.count() == stored.select("feedback_id").distinct().count()
     assert len(calls) == 1
     assert SJ.pending_since(spark, root, SJ.last_success_batch(spark, root)).count() == 0
+
+
+def test_feedback_stream_with_real_retrain(spark, scratch):
+    from propwise.plans import jobs
+    from propwise.streaming.retrain import make_retrain
+
+    fb = fx.feedback(spark, SF001)
+    value = F.to_json(F.struct("kamar_tidur", "kamar_mandi", "garasi", "luas_tanah", "luas_bangunan", "lokasi",
+                               "harga_prediksi", "harga_asli", "sumber"))
+    rows = fb.select(F.col("feedback_id").alias("event_id"), F.col("created_at").cast("timestamp").alias("created_at"),
+                     value.alias("value"))
+    src = os.path.join(scratch, "src")
+    rows.withColumn("_p", F.pmod("event_id", F.lit(2))).write.partitionBy("_p").json(src)
+    root, reg = os.path.join(scratch, "fb"), os.path.join(scratch, "registry")
+    retrain = make_retrain(lambda sp: jobs.clean_regression_table(sp, SF001), reg, secondary=True, max_iter=5)
+    stream = spark.readStream.schema("event_id long, created_at timestamp, value string") \
+        .option("maxFilesPerTrigger", 1).json(src)
+    SJ.feedback_stream(stream, root, os.path.join(scratch, "ck"), threshold=300, retrain=retrain).awaitTermination()
+    status = SJ.run_status(spark.read.parquet(os.path.join(root, "ledger"))).collect()
+    assert status and all(r["status"] == "success" and r["score"] > 0 for r in status)
+    versions = REG.versions(spark, reg).orderBy("version").collect()
+    assert len(versions) == len(status) and versions[-1]["stage"] == "Production"
+    assert REG.read_model_metadata(spark, reg, "price")["batas_segmen"] > 0
