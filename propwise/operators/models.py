@@ -180,16 +180,24 @@ class ClusterModel:
     summary: DataFrame
     encoder: DataFrame
     fallback: float
+    reducer: object = None
 
 
 def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts: int = 5, max_iter: int = 100,
-                          seed: int = 42) -> ClusterModel:
-    """M9: E3 -> KMeans(k); best of ``restarts`` seeds by training cost; W1 relabel by median price."""
+                          seed: int = 42, pca_k: int | None = None) -> ClusterModel:
+    """M9: E3 -> (optional PCA to ``pca_k`` <= 8 dims) -> KMeans(k); best of ``restarts`` seeds
+    by training cost; W1 relabel by median price."""
     feats = X.CLUSTERING_FEATURES
     stats = E.fit_standardizer(clean_clu, feats)
     z = E.standardize(clean_clu, stats)
     zc = [f"{c}_z" for c in feats]
-    data = VectorAssembler(inputCols=zc, outputCol="features").transform(z).persist()
+    data = VectorAssembler(inputCols=zc, outputCol="features").transform(z)
+    pca = None
+    if pca_k:
+        from pyspark.ml.feature import PCA
+        pca = PCA(k=min(pca_k, len(zc)), inputCol="features", outputCol="reduced").fit(data)
+        data = pca.transform(data).drop("features").withColumnRenamed("reduced", "features")
+    data = data.persist()
     best = None
     for i in range(restarts):
         m = KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="features", predictionCol="raw_id").fit(data)
@@ -206,7 +214,7 @@ def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts:
     enc = E.fit_median_encoder(clean_clu.drop("lokasi_enc"), "lokasi", "log_harga")
     fb = E.median_fallback(enc)
     data.unpersist()
-    return ClusterModel(model, stats, ranks, summary.persist(), enc, fb)
+    return ClusterModel(model, stats, ranks, summary.persist(), enc, fb, pca)
 
 
 def score_clusters(df: DataFrame, cm: ClusterModel, pm: PriceModels | None = None) -> DataFrame:
@@ -227,6 +235,8 @@ def score_clusters(df: DataFrame, cm: ClusterModel, pm: PriceModels | None = Non
     # training mean (z = 0) so the request is still scored
     z = z.withColumns({c: F.coalesce(X.nullify_inf(F.col(c)), F.lit(0.0)) for c in zc})
     vec = VectorAssembler(inputCols=zc, outputCol="features").transform(z)
+    if cm.reducer is not None:
+        vec = cm.reducer.transform(vec).drop("features").withColumnRenamed("reduced", "features")
     out = cm.model.transform(vec).join(cm.rank_map, "raw_id", "left")
     summ = cm.summary.select("cluster_id", F.struct(*[c for c in cm.summary.columns if c != "cluster_id"]).alias("cluster_summary"))
     out = out.join(bounded_broadcast(summ, 1_000), "cluster_id", "left")

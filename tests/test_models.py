@@ -39,3 +39,10 @@ def test_cluster_medians_ascending(spark, tables):
     assert list(s.cluster_id) == list(range(4))
     assert list(s.harga_median) == sorted(s.harga_median)
     assert set(s.cluster_label) == {"Budget", "Affordable", "Mid-Market", "Premium"}
+
+
+def test_cluster_pca_reducer_scores(spark, tables):
+    _, _, clu = tables
+    cm = MD.train_market_clusters(clu, k=3, restarts=1, max_iter=10, pca_k=4)
+    out = MD.score_clusters(clu.limit(200).drop("cluster_id"), cm)
+    assert out.filter(F.col("cluster_id").isNull()).count() == 0 and out.count() == 200
