@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as K
-from ..session import bounded_broadcast, first_row
+from ..session import bounded_broadcast, first_row, stored_row_bound
 
 NUMERIC = ["harga", "kamar_tidur", "kamar_mandi", "garasi", "luas_tanah", "luas_bangunan"]
 
@@ -52,6 +52,11 @@ def quantile_bounds(df: DataFrame, cols: list[str] | dict[str, Column], probs: l
 
     items = list(cols.items()) if isinstance(cols, dict) else [(c, F.col(c)) for c in cols]
     method = method or QUANTILE_METHOD
+    if method == "auto":
+        # a filter of one small stored table cannot hold more distinct values than rows
+        bound = stored_row_bound(df)
+        if bound is not None and bound <= Q.MAX_DISTINCT_FOR_PERCENTILE:
+            method = "percentile"
     if not exact or method == "percentile":
         row = first_row(df.agg(*[_quantiles(c, probs, exact, accuracy).alias(n) for n, c in items]))
         return {n: (list(row[n]) if row.get(n) is not None else None) for n, _ in items}

@@ -121,6 +121,11 @@ def group_quantiles(df: DataFrame, key: str, col: Column, probs: list[float], me
     base = (df.select(F.col(key).alias("k"), col.cast("double").alias("x"))
             .filter(F.col("k").isNotNull() & F.col("x").isNotNull() & ~F.isnan("x")))
     arr = F.array(*[F.lit(float(p)) for p in probs])
+    if method == "auto":
+        from ..session import stored_row_bound
+        bound = stored_row_bound(df)
+        if bound is not None and bound <= max_distinct:
+            method = "percentile"
     if method == "percentile":
         return base.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile("x", arr).alias("q")) \
             .withColumnRenamed("k", key)

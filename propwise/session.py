@@ -70,21 +70,52 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Row counts of stored tables written by ``materialize`` (path -> rows), measured by an
+# Observation during the write itself (no extra job).
+_STORED_ROWS: dict[str, int] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the shared checkpoint folder and read it back.
 
     Used at the table boundaries the application itself has (RawProperty, the
     clean tables): later jobs scan a plain columnar table with pushdown and
     column pruning instead of re-deriving it, and a lost executor only
-    re-reads files.  Every call writes a fresh folder.
+    re-reads files.  Every call writes a fresh folder.  The row count is observed
+    during the write and remembered for ``stored_row_bound``.
     """
     import uuid
 
+    from pyspark.sql import Observation
+
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
+    obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:6]}")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    _STORED_ROWS[path] = int(obs.get["rows"])
     return df.sparkSession.read.parquet(path)
 
 
+def _plain(path: str) -> str:
+    """Path without scheme and with one leading slash (file:/x, file:///x and /x agree)."""
+    p = path[len("file:"):] if path.startswith("file:") else path
+    return "/" + p.lstrip("/")
+
+
+def stored_row_bound(df: DataFrame) -> int | None:
+    """Rows of the one stored table ``df`` reads, if it reads exactly one.
+
+    A filter, projection or many-to-one lookup of that table has at most this many
+    rows (and so at most this many distinct values in any column).  ``None`` when
+    ``df`` reads anything else.
+    """
+    try:
+        files = df.inputFiles()
+    except Exception:
+        return None
+    owners = {p for f in files for p in _STORED_ROWS if _plain(f).startswith(_plain(p) + "/")}
+    return _STORED_ROWS[owners.pop()] if files and len(owners) == 1 else None
+
+
 def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``small`` only if its checked row count is within ``max_rows``.
 
