@@ -181,6 +181,7 @@ class ClusterModel:
     encoder: DataFrame
     fallback: float
     reducer: object = None
+    silhouette: float | None = None
 
 
 def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts: int = 5, max_iter: int = 100,
@@ -206,6 +207,9 @@ def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts:
             best = (cost, m)
     model = best[1]
     assigned = model.transform(data)
+    # A13 silhouette: MLlib's distributed evaluator (squared Euclidean, O(n*k), no pairs)
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="raw_id").evaluate(assigned)
     from .analytics import cluster_summary, rank_clusters
     ranks = rank_clusters(assigned, "raw_id").select("raw_id", F.col("rank_id").alias("cluster_id"), "cluster_label")
     ranks = bounded_broadcast(ranks, 1_000)
@@ -214,7 +218,7 @@ def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts:
     enc = E.fit_median_encoder(clean_clu.drop("lokasi_enc"), "lokasi", "log_harga")
     fb = E.median_fallback(enc)
     data.unpersist()
-    return ClusterModel(model, stats, ranks, summary.persist(), enc, fb, pca)
+    return ClusterModel(model, stats, ranks, summary.persist(), enc, fb, pca, silhouette)
 
 
 def score_clusters(df: DataFrame, cm: ClusterModel, pm: PriceModels | None = None) -> DataFrame:

@@ -46,3 +46,9 @@ def test_cluster_pca_reducer_scores(spark, tables):
     cm = MD.train_market_clusters(clu, k=3, restarts=1, max_iter=10, pca_k=4)
     out = MD.score_clusters(clu.limit(200).drop("cluster_id"), cm)
     assert out.filter(F.col("cluster_id").isNull()).count() == 0 and out.count() == 200
+
+
+def test_silhouette_in_range(spark, tables):
+    _, _, clu = tables
+    cm = MD.train_market_clusters(clu, k=3, restarts=1, max_iter=10)
+    assert -1.0 <= cm.silhouette <= 1.0
