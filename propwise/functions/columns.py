@@ -16,6 +16,15 @@ from . import constants as K
 NUMBER_RUN = r"[0-9.]+"
 
 
+def render(template: str, values: dict[str, Column]) -> Column:
+    """Fill a ``{name}`` text template with columns (one ``concat``, no UDF)."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    cols = [F.lit(p) if i % 2 == 0 else values[p] for i, p in enumerate(parts) if i % 2 == 1 or p]
+    return F.concat(*cols)
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -187,11 +196,12 @@ def format_rupiah(c: Column | str) -> Column:
     bil = F.bround(x / 1e7, 0).cast("bigint")   # hundredths of a miliar
     mil = F.bround(x / 1e5, 0).cast("bigint")   # tenths of a juta
     return (
-        F.when(x >= 1e9, F.concat(F.lit("Rp "), (bil / 100).cast("bigint").cast("string"), F.lit("."),
-                                  F.lpad((bil % 100).cast("string"), 2, "0"), F.lit(" Miliar")))
-        .when(x >= 1e6, F.concat(F.lit("Rp "), (mil / 10).cast("bigint").cast("string"), F.lit("."),
-                                 (mil % 10).cast("string"), F.lit(" Juta")))
-        .otherwise(F.concat(F.lit("Rp "), F.format_number(x.cast("bigint"), 0)))
+        F.when(x >= 1e9, render(K.PRICE_TEXT_MILIAR, {
+            "whole": (bil / 100).cast("bigint").cast("string"),
+            "hundredths": F.lpad((bil % 100).cast("string"), 2, "0")}))
+        .when(x >= 1e6, render(K.PRICE_TEXT_JUTA, {
+            "whole": (mil / 10).cast("bigint").cast("string"), "tenth": (mil % 10).cast("string")}))
+        .otherwise(render(K.PRICE_TEXT_PLAIN, {"grouped": F.format_number(x.cast("bigint"), 0)}))
     )
 
 
@@ -199,34 +209,34 @@ def trend_text(c: Column | str) -> Column:
     """'±x.x%' if > 0 else 'N/A' (tenths built from an integer)."""
     x = _c(c)
     tenths = F.bround(x * 10, 0).cast("bigint")
-    return F.when(x > 0, F.concat(F.lit("±"), (tenths / 10).cast("bigint").cast("string"), F.lit("."),
-                                  (tenths % 10).cast("string"), F.lit("%"))).otherwise(F.lit("N/A"))
+    return F.when(x > 0, render(K.TREND_TEXT, {"whole": (tenths / 10).cast("bigint").cast("string"),
+                                               "tenth": (tenths % 10).cast("string")})).otherwise(F.lit("N/A"))
 
 
 def render_listing_text() -> Column:
     """one descriptive sentence per listing (indexing form)."""
-    def num(c: str) -> Column:
-        return F.col(c).cast("double").cast("string")
-    return F.concat(
-        F.lit("Properti di "), F.col("lokasi"), F.lit(", Depok. "),
-        F.col("kamar_tidur").cast("int").cast("string"), F.lit(" kamar tidur, "),
-        F.col("kamar_mandi").cast("int").cast("string"), F.lit(" kamar mandi, garasi "),
-        F.col("garasi").cast("int").cast("string"), F.lit(" mobil. Luas tanah "),
-        num("luas_tanah"), F.lit("m², luas bangunan "), num("luas_bangunan"),
-        F.lit("m². Harga: Rp "), F.format_number(F.col("harga").cast("double"), 0),
-        F.lit(". Segmen: "), F.coalesce(F.col("cluster_label"), F.lit("Unknown")), F.lit("."),
-    )
+    return render(K.LISTING_TEXT, {
+        "lokasi": F.col("lokasi"),
+        "kamar_tidur": F.col("kamar_tidur").cast("int").cast("string"),
+        "kamar_mandi": F.col("kamar_mandi").cast("int").cast("string"),
+        "garasi": F.col("garasi").cast("int").cast("string"),
+        "luas_tanah": F.col("luas_tanah").cast("double").cast("string"),
+        "luas_bangunan": F.col("luas_bangunan").cast("double").cast("string"),
+        "harga": F.format_number(F.col("harga").cast("double"), 0),
+        "segment": F.coalesce(F.col("cluster_label"), F.lit("Unknown")),
+    })
 
 
 def render_query_text() -> Column:
     """F18 (query variant, English)."""
-    return F.concat(
-        F.lit("Property in "), F.col("lokasi"), F.lit(", "),
-        F.col("kamar_tidur").cast("string"), F.lit("BR "), F.col("kamar_mandi").cast("string"),
-        F.lit("BA, LT "), F.col("luas_tanah").cast("string"), F.lit("m² LB "),
-        F.col("luas_bangunan").cast("string"), F.lit("m², Rp "),
-        F.format_number(F.col("harga").cast("bigint"), 0),
-    )
+    return render(K.QUERY_TEXT, {
+        "lokasi": F.col("lokasi"),
+        "kamar_tidur": F.col("kamar_tidur").cast("string"),
+        "kamar_mandi": F.col("kamar_mandi").cast("string"),
+        "luas_tanah": F.col("luas_tanah").cast("string"),
+        "luas_bangunan": F.col("luas_bangunan").cast("string"),
+        "harga": F.format_number(F.col("harga").cast("bigint"), 0),
+    })
 
 
 def default_cluster_fields(label: str = "cluster_label", cid: str = "cluster_id") -> dict[str, Column]:

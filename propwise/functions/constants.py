@@ -70,6 +70,24 @@ DEFAULT_SEGMENT_THRESHOLD = 1_200_000_000.0
 STORED_MAPE_LOW = 10.0824
 STORED_MAPE_HIGH = 10.6653
 
+# Text formats ({name} = a column value).
+LISTING_TEXT = ("Properti di {lokasi}, Depok. {kamar_tidur} kamar tidur, {kamar_mandi} kamar mandi, "
+                "garasi {garasi} mobil. Luas tanah {luas_tanah}m², luas bangunan {luas_bangunan}m². "
+                "Harga: Rp {harga}. Segmen: {segment}.")
+QUERY_TEXT = "Property in {lokasi}, {kamar_tidur}BR {kamar_mandi}BA, LT {luas_tanah}m² LB {luas_bangunan}m², Rp {harga}"
+PRICE_TEXT_MILIAR = "Rp {whole}.{hundredths} Miliar"
+PRICE_TEXT_JUTA = "Rp {whole}.{tenth} Juta"
+PRICE_TEXT_PLAIN = "Rp {grouped}"
+TREND_TEXT = "±{whole}.{tenth}%"
+BRIEF_PREDICTION = ["## ML Prediction Result", "- Estimated Price: {price}", "- Model Used: {model}",
+                    "- MAPE: {mape}%", "- Segment: {segment}", "- Cluster: {cluster}"]
+BRIEF_STATS = ("\n## Live Market Statistics — {lokasi}\n- Average price: Rp {avg}\n"
+               "- Price range: Rp {min} – Rp {max}\n- Dominant segment: {segment}\n- Data points: {n} properties")
+BRIEF_COMPARABLE = "{rank}. {lokasi} | {kamar_tidur}BR | LT {luas_tanah}m² | Rp {harga} | {segment} | sim: {sim}"
+BRIEF_COMPARABLES_HEADER = "\n## Comparable Properties\n"
+BRIEF_KNOWLEDGE_HEADER = "\n## Area & Market Knowledge\n"
+BRIEF_KNOWLEDGE_ITEM = "### {title}\n{content}"
+
 # Chunking of knowledge documents.
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
