@@ -14,6 +14,11 @@ from .oracle import sql
 _REG, _CLS, _CLU = (EV.TOPICS[k] for k in ("regression", "classification", "clustering"))
 
 
+def _epoch_us(c: str):
+    """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (no time-zone conversion)."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})")
+
+
 def _key_sql(kind: str) -> str:
     parts = ", ".join(f"coalesce(json_extract_string(payload, '$.input.{f}'), '')" for f in EV.KEY_FIELDS[kind])
     return f"concat_ws(':', '{kind}', {parts})"
@@ -66,13 +71,14 @@ from a, c where ts > cutoff and cache_key is not null group by cache_key""", "ev
 def latest_prediction_cache(spark, sf):
     # cache keys exist for the three prediction topics; filtering on the topic (not on the
     # key expression) keeps the JSON parse out of the pushed-down predicate
-    a = (_audit(spark, sf).filter(F.col("topic").isin(_REG, _CLS, _CLU))
-         .withColumn("ts", F.col("ts").cast("timestamp")))
+    # event times stay TIMESTAMP_NTZ end to end, so the result does not depend on the
+    # session time zone
+    a = _audit(spark, sf).filter(F.col("topic").isin(_REG, _CLS, _CLU))
     # reference time = newest event (one column scan of the event table)
-    now = fx.table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("m")).collect()[0]["m"]
+    now = fx.table(spark, sf, "events").agg(F.max("ts").alias("m")).collect()[0]["m"]
     log = a.select("cache_key", "ts", "event_id", F.lit("").alias("output_json"))
-    out = SJ.latest_per_key(log, now=F.lit(now).cast("timestamp"))
-    return out.select("cache_key", F.unix_micros("ts").alias("ts_us"), "event_id")
+    out = SJ.latest_per_key(log, now=F.lit(now.isoformat(sep=" ")).cast("timestamp_ntz"))  # no zone shift
+    return out.select("cache_key", _epoch_us("ts").alias("ts_us"), "event_id")
 
 
 @register("retrain_runs", ids="R4 A9", sql=sql("""
@@ -82,8 +88,8 @@ select cast((rank - 1) // 100 as bigint) as run_no, count(*) as n_ids, min(feedb
   max(feedback_id) as max_id, epoch_us(max(created_at)) as fired_at_us
 from p group by (rank - 1) // 100 having count(*) = 100""", "fb_valid"))
 def retrain_runs(spark, sf):
-    r = SJ.retrain_runs(jobs.feedback_stored(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")))
-    return r.select("run_no", "n_ids", "min_id", "max_id", F.unix_micros("fired_at").alias("fired_at_us"))
+    r = SJ.retrain_runs(jobs.feedback_stored(spark, sf))
+    return r.select("run_no", "n_ids", "min_id", "max_id", _epoch_us("fired_at").alias("fired_at_us"))
 
 
 @register("processed_after_runs", ids="R6 R5 J4", sql=sql("""
