@@ -155,12 +155,31 @@ class StepCounts:
         return df
 
 
-def clean_regression(raw: DataFrame, exact: bool = True, report: StepCounts | None = None) -> DataFrame:
+STAGE_ABOVE_ROWS = 1_000_000
+
+
+def stage(df: DataFrame, name: str, stage_rows: int | None = STAGE_ABOVE_ROWS) -> DataFrame:
+    """Cut lineage before a chain of quantile barriers: write the survivors of the
+    selective filters once (shared checkpoint folder) so every later barrier scans
+    them instead of re-reading and re-filtering the input.  Skipped for inputs known
+    to be small (a filter of a stored table with at most ``stage_rows`` rows), where
+    the write costs more than the rescans."""
+    if stage_rows is None:
+        return df
+    bound = stored_row_bound(df)
+    if bound is not None and bound <= stage_rows:
+        return df
+    from ..session import materialize
+    return materialize(df, name)
+
+
+def clean_regression(raw: DataFrame, exact: bool = True, report: StepCounts | None = None,
+                     stage_rows: int | None = STAGE_ABOVE_ROWS) -> DataFrame:
     """C1 -> C2 -> C3 -> C4 -> C5, each quantile on the survivors of the step before."""
     rep = report or StepCounts()
     df = rep.add("raw", raw)
     df = rep.add("drop_incomplete", drop_incomplete(df))
-    df = rep.add("sanity_filter", sanity_filter(df))
+    df = rep.add("sanity_filter", stage(sanity_filter(df), "regression_sane", stage_rows))
     df = rep.add("price_quantile", global_quantile_filter(df, "harga", 0.01, 0.99, exact))
     df = rep.add("area_quantile", group_quantile_filter(df, "lokasi", "harga", 0.05, 0.95, 10, exact))
     df = rep.add("ratio_quantile", ratio_quantile_filter(df, 0.05, 0.95, exact))
@@ -221,14 +240,15 @@ def iqr_drop(df: DataFrame, cols: list[str] = ("harga", "luas_tanah", "luas_bang
     return df
 
 
-def clean_clustering(raw: DataFrame, exact: bool = True, report: StepCounts | None = None) -> DataFrame:
+def clean_clustering(raw: DataFrame, exact: bool = True, report: StepCounts | None = None,
+                     stage_rows: int | None = STAGE_ABOVE_ROWS) -> DataFrame:
     """C11: C1 -> C9 -> C10 -> F12 -> E2 (area median of log price); drop rows with a null feature."""
     from .encoding import fit_median_encoder  # local import: encoding imports cleaning helpers
 
     rep = report or StepCounts()
     df = rep.add("raw", raw)
     df = rep.add("drop_incomplete", drop_incomplete(df))
-    df = rep.add("price_range", price_range_filter(df))
+    df = rep.add("price_range", stage(price_range_filter(df), "clustering_in_range", stage_rows))
     df = iqr_drop(df, exact=exact, report=rep)
     df = df.withColumns(X.clustering_features())
     enc = fit_median_encoder(df, "lokasi", "log_harga")

@@ -47,3 +47,13 @@ def test_group_refine_equals_percentile(spark):
     b = {r["k"]: (r["n"], list(r["q"])) for r in Q.group_quantiles(df, "k", F.col("x"), probs, "auto",
                                                                    max_distinct=500, buckets=16, max_collect=100).collect()}
     assert a == b
+
+
+def test_staged_cleaning_same_rows(spark):
+    raw = jobs.raw_property_table(spark, SF01)
+    a = C.clean_regression(raw).select("listing_id")
+    b = C.clean_regression(raw, stage_rows=0).select("listing_id")      # force the staged write
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    c1 = C.clean_clustering(raw).select("listing_id")
+    c2 = C.clean_clustering(raw, stage_rows=0).select("listing_id")
+    assert c1.exceptAll(c2).count() == 0 and c2.exceptAll(c1).count() == 0

@@ -162,8 +162,7 @@ def test_feedback_stream_with_real_retrain(spark, scratch):
     rows.withColumn("_p", F.pmod("event_id", F.lit(2))).write.partitionBy("_p").json(src)
     root, reg = os.path.join(scratch, "fb"), os.path.join(scratch, "registry")
     retrain = make_retrain(lambda sp: jobs.clean_regression_table(sp, SF001), reg, secondary=True, max_iter=5)
-    stream = spark.readStream.schema("event_id long, created_at timestamp, value string") \
-        .option("maxFilesPerTrigger", 1).json(src)
+    stream = SJ.read_feedback_stream(spark, src, max_files=1)
     SJ.feedback_stream(stream, root, os.path.join(scratch, "ck"), threshold=300, retrain=retrain).awaitTermination()
     status = SJ.run_status(spark.read.parquet(os.path.join(root, "ledger"))).collect()
     assert status and all(r["status"] == "success" and r["score"] > 0 for r in status)
