@@ -126,9 +126,20 @@ def segment_feature_names(areas: list[str]) -> list[str]:
             + [X.area_indicator_name(a) for a in areas])
 
 
-def known_areas(df: DataFrame) -> list[str]:
-    """Distinct areas of the training table (one small aggregate, bounded by geography)."""
-    return sorted(r[0] for r in df.select("lokasi").distinct().filter(F.col("lokasi").isNotNull()).collect())
+MAX_AREAS = 10_000
+
+
+def known_areas(df: DataFrame, max_areas: int = MAX_AREAS) -> list[str]:
+    """Distinct areas of the training table: the one-hot feature contract.
+
+    Areas are administrative districts, so the list is small; the count is checked
+    before anything is collected.
+    """
+    areas = df.select("lokasi").distinct().filter(F.col("lokasi").isNotNull())
+    n = areas.count()
+    if n > max_areas:
+        raise ValueError(f"{n} distinct areas exceed the one-hot contract limit of {max_areas}")
+    return sorted(r[0] for r in areas.collect())
 
 
 def train_segment_model(clean_cls: DataFrame, key: str = "listing_id", num_trees: int = 60,
