@@ -57,3 +57,10 @@ def test_staged_cleaning_same_rows(spark):
     c1 = C.clean_clustering(raw).select("listing_id")
     c2 = C.clean_clustering(raw, stage_rows=0).select("listing_id")
     assert c1.exceptAll(c2).count() == 0 and c2.exceptAll(c1).count() == 0
+
+
+def test_approximate_path_close_to_exact(spark):
+    raw = jobs.raw_property_table(spark, SF01)
+    exact = C.clean_regression(raw).count()
+    approx = C.clean_regression(raw, exact=False).count()
+    assert abs(exact - approx) <= 0.02 * exact
