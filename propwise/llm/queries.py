@@ -6,17 +6,43 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, simhash
+from . import exact_dedup, langid, lattice, licenses, mixing, packing, quality, sharding, simhash, warc
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+SHARDS = 40
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")), carry=["doc_id"])
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").select(
+        "doc_id", sharding.text_size(F.col("text")).alias("size"), sharding.text_crc32(F.col("text")).alias("text_crc32"))
+    return sharding.shuffle_to_shards(rows, SHARDS).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -25,6 +51,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"), carry=["doc_id"])
 
@@ -34,7 +64,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_exact_dedup, op6_language_id, op7_simhash, op9_mixing, op10_packing)
+    f.__name__: f for f in (
+        op1_licenses, op2_quality, op3_warc, op4_exact_dedup, op5_sharding, op6_language_id, op7_simhash, op8_lattice,
+        op9_mixing, op10_packing)
 }
 
 SQL: dict[str, str] = {
