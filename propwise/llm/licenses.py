@@ -148,7 +148,7 @@ class Scanner:
     def scan(self, text: str | None) -> tuple[str | None, float | None, int | None, int | None, list[str]]:
         """The best licence, its Dice, its passage (first word, words), and all licences found, sorted.
 
-        Ties go to the longer template, then to the earlier passage, then to the name.
+        Of templates whose passages overlap only the best counts.  Ties go to the longer template, then to the earlier passage, then to the name.
         """
         w = words(text)
         where = self.where
@@ -166,10 +166,14 @@ class Scanner:
                 got = self.best(k, hits)
                 if got:
                     found.append((-got[0], -self.templates[k].size, -got[1], self.templates[k].name, got[2]))
-        if not found:
+        kept: list[tuple] = []
+        for f in sorted(found):  # a passage counts for its closest template only
+            if all(f[2] + f[4] < g[2] or g[2] + g[4] < f[2] for g in kept):
+                kept.append(f)
+        if not kept:
             return None, None, None, None, []
-        dice, _, first, name, size = min(found)
-        return name, -dice, first, size + 1, sorted({f[3] for f in found})
+        dice, _, first, name, size = kept[0]
+        return name, -dice, first, size + 1, sorted({f[3] for f in kept})
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", carry: list[str] | None = None,

@@ -91,6 +91,7 @@ def block_masks(blocks: int, max_bits: int = MAX_BITS) -> list[int]:
 def _stars(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning stars of the links inside runs of equal ``group`` (sorted)."""
     n = len(fp)
+    bits = fp.view(np.uint64)  # numpy counts the bits of a signed number's magnitude
     label = np.arange(n)
     left = np.arange(n)
     step = 1
@@ -100,7 +101,7 @@ def _stars(group: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray
         if not len(left):
             break
         right = left + step
-        near = np.bitwise_count(fp[left] ^ fp[right]) <= max_bits
+        near = np.bitwise_count(bits[left] ^ bits[right]) <= max_bits
         a, b = left[near], right[near]
         while len(a):
             a, b = label[a], label[b]
