@@ -1,0 +1,402 @@
+"""Brute-force and edge-case tests of the operators on documents."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from propwise.llm import exact_dedup, langid, licenses, mixing, packing, quality, sharding, simhash
+from propwise.llm.queries import TOKENIZER
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+LONG = " ".join(f"word{i % 977} and{i}" for i in range(30_000))
+ODD = [
+    (1, "The quick brown fox jumps over the lazy dog", "en", "a", 43),
+    (2, "The quick\tbrown fox jumps  over the lazy dog ", "en", "a", 45),
+    (3, "The quick\tbrown fox jumps  over the lazy dog ", "en", None, 45),
+    (3, "The quick\tbrown fox jumps  over the lazy dog ", "en", None, 45),
+    (4, None, None, None, None),
+    (5, "", "fr", "b", 0),
+    (6, " \n\t\r\x0b\x0c", None, "b", 6),
+    (7, LONG, "en", "é", len(LONG)),
+    (8, LONG.replace("and5 ", "and6 "), "en", "é", len(LONG)),
+    (None, "null id", "en", "a", 7),
+    (None, "null id", "en", "a", 7),
+    (9, "12 34 !!", "de", "\U0001F600", 8),
+    (10, "The quick brown fox jumps over the lazy dog ", "en", "a", 44),
+    (11, "a", "en", "a", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ODD, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def whole(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def norm(t):
+    return re.sub(r"[\x20\x09-\x0D]", "", t or "")
+
+
+def words_of(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+# exact dedup
+
+def brute_exact(rows):
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0))
+    out = []
+    for i, t in rows:
+        g = groups[norm(t)]
+        keep = min(g)
+        out.append((i, None if keep[1] else keep[2], len(g), hashlib.sha256(norm(t).encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("salts", [1, 16])
+def test_exact_dedup_equals_brute_force(spark, docs, whole, salts):
+    for df in (docs, whole):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        got = exact_dedup.exact_dedup(df, carry=["doc_id"], salts=salts).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == brute_exact(rows)
+        kept = [r for r in got if r.kept]
+        assert len(kept) == len({norm(t) for _, t in rows})
+        assert all(r.doc_id == r.keep_id for r in kept)
+
+
+def test_exact_dedup_keeps_columns_and_clashing_names(spark, docs):
+    df = docs.withColumn("keep_id", F.lit("mine")).withColumn("__sha", F.lit(1)).withColumn("kept", F.lit(0))
+    stay = exact_dedup.drop_copies(df)
+    assert stay.schema == df.schema and {r.keep_id for r in stay.collect()} == {"mine"}
+    assert stay.count() == len({norm(r[1]) for r in ODD})
+    assert exact_dedup.drop_copies(empty(spark)).count() == 0
+
+
+def test_exact_dedup_is_native(docs):
+    plan = exact_dedup.exact_dedup(docs, carry=["doc_id"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "SortAggregate" not in plan and "ObjectHash" not in plan
+
+
+# SimHash
+
+def brute_fp(t):
+    w = words_of(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i:i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
+
+
+def brute_components(fps, ids, bits=3):
+    root = list(range(len(fps)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    a = np.array(fps, np.uint64)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(a ^ a[i]) <= bits):
+            x, y = find(i), find(int(j))
+            root[max(x, y)] = min(x, y)
+    low = {}
+    for i, d in enumerate(ids):
+        r = find(i)
+        if d is not None:
+            low[r] = min(low.get(r, d), d)
+    return [low.get(find(i)) for i in range(len(ids))]
+
+
+@pytest.mark.parametrize("blocks", [None, 4, 6])
+def test_simhash_equals_brute_force(spark, docs, whole, blocks):
+    for df in (docs, whole) if blocks is None else (whole,):
+        rows = [(r.doc_id, brute_fp(r.text)) for r in df.collect()]
+        comp = brute_components([f for _, f in rows], [i for i, _ in rows])
+        want = sorted(((i, f"{f:016x}", c) for (i, f), c in zip(rows, comp)), key=str)
+        got = simhash.simhash_components(df, blocks=blocks).collect()
+        assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got), key=str) == want
+
+
+def test_simhash_crowded_bucket_in_chunks(spark):
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 2 ** 62))
+    fps = {base}
+    while len(fps) < 300:  # a dense cloud: few bits away from one centre
+        f = base
+        for k in rng.integers(0, 64, rng.integers(1, 7)):
+            f ^= 1 << int(k)
+        fps.add(f)
+    fps = sorted(int(np.uint64(f).astype(np.int64)) for f in fps)
+    reps = spark.createDataFrame([(f,) for f in fps], "__fp bigint")
+    from propwise.llm.common import components
+    want = brute_components([int(np.int64(f).astype(np.uint64)) for f in fps], fps)
+    for bucket in (16, 4096):
+        comp = {r.node: r.component for r in components(simhash.link_stars(reps, max_bucket=bucket)).collect()}
+        assert [comp.get(f, f) for f in fps] == want
+
+
+def test_simhash_keeps_one_of_each_group(spark, docs):
+    df = docs.withColumn("component_id", F.lit("mine")).withColumn("fingerprint", F.lit(1))
+    stay = simhash.keep_one(df)
+    rows = [(r.doc_id, brute_fp(r.text)) for r in docs.collect()]
+    comp = brute_components([f for _, f in rows], [i for i, _ in rows])
+    assert stay.schema == df.schema and stay.count() == len(set(comp))
+    assert sorted(r.doc_id for r in stay.collect() if r.doc_id) == sorted(c for c in set(comp) if c)
+    assert simhash.keep_one(empty(spark)).count() == 0
+    two = spark.createDataFrame([(5, "one two three four", "", "", 0), (5, "x y z q w e r t", "", "", 0)], SCHEMA)
+    assert simhash.keep_one(two).count() == 2  # the same id in two groups
+
+
+# language ID
+
+def test_language_id_on_held_out_rows(whole):
+    got = langid.identify(whole, carry=["doc_id", "lang"]).where("held_out").collect()
+    assert len(got) > 30 and np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in got)
+
+
+def test_language_id_defined_cases(spark, docs, whole):
+    model = langid.fit(whole)
+    got = langid.identify(docs.withColumn("score", F.lit("x")), model).collect()
+    assert len(got) == len(ODD)
+    for r in got:
+        assert (r.lang_pred == "und") == (not any(map(str.isalpha, r.text or "")))
+    assert {(r.lang_pred, r.score) for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {("und", 0.0)}
+    assert langid.identify(empty(spark)).count() == 0
+    kept = langid.keep_identified(docs.withColumn("lang_pred", F.lit(1)))
+    assert kept.columns == [*docs.columns, "lang_pred"] and kept.count() == sum(any(map(str.isalpha, r[1] or "")) for r in ODD)
+
+
+def test_language_pairs_vote():
+    texts = ["the cat and the dog of the house " * 3, "der hund und die katze im haus nicht " * 3,
+             "de hond en de kat van het huis niet " * 3, "le chat et le chien de la maison " * 3] * 5
+    model = langid.LanguageModel(langid.features(texts), ["en", "de", "nl", "fr"] * 5)
+    assert model.families == ["germanic", "romance"] and len(model.pairs["germanic"][1]) == 3
+    assert model.predict(texts)[0] == ["en", "de", "nl", "fr"] * 5
+
+
+# quality
+
+def test_quality_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = quality.classify(docs, model, carry=["doc_id"]).where("held_out").join(labels, "doc_id").collect()
+    assert len(got) > 50 and np.mean([r.predicted == r.quality for r in got]) > 0.95
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
+
+
+def test_quality_defined_cases(spark, docs, whole):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality.fit(whole, labels)
+    got = quality.classify(docs.withColumn("score", F.lit("x")).withColumn("__x", F.lit(1)), model).collect()
+    assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    nulls = {r.score for r in got if not norm(r.text) and r.text in (None, "")}
+    assert len(nulls) == 1  # null counts as empty
+    none = quality.classify(docs, quality.fit(whole, labels.where("false")), carry=["doc_id"]).collect()
+    assert {r.score for r in none} == {0.5}
+    assert quality.classify(empty(spark), model).count() == 0
+
+
+# mixing
+
+def brute_targets(sizes, cap=3):
+    names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: i % 3 + 1 for i, s in enumerate(names)}
+    left, full = float(sum(sizes.values())), {}
+    while True:
+        rest = [s for s in names if s not in full]
+        share = {s: left * weight[s] / sum(weight[x] for x in rest) for s in rest}
+        over = [s for s in rest if share[s] > cap * sizes[s]]
+        if not over:
+            return {**full, **share}
+        for s in over:
+            full[s] = cap * sizes[s]
+            left -= full[s]
+
+
+def test_mixing_targets_and_takes(spark, docs, whole):
+    for df in (docs, whole, whole.withColumn("source", F.when(F.col("doc_id") % 50 > 0, "big").otherwise(F.col("source")))):
+        got = mixing.mix(df, carry=["doc_id", "text", "source"]).collect()
+        assert len(got) == df.count()
+        sizes, taken = {}, {}
+        for r in got:
+            assert r.size == len(words_of(r.text)) and 0 <= r.taken <= 3 * r.size
+            sizes[r.source] = sizes.get(r.source, 0) + r.size
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+        want, total = brute_targets(sizes), sum(sizes.values())
+        for r in got:
+            assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        for s in sizes:
+            assert abs(taken[s] - want[s]) <= 2 + 2 * total / 2 ** mixing.SLOT_BITS
+        again = mixing.mix(df.repartition(7), carry=["doc_id", "text", "source"]).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mixture_slots_hold_what_is_taken(spark, whole):
+    how = {"slot_bits": 8}
+    runs = mixing.mixture(whole, ["doc_id"], **how)
+    got = {r.doc_id: r.n for r in runs.groupBy("doc_id").agg(F.sum("n_words").alias("n")).collect()}
+    want = {r.doc_id: r.taken for r in mixing.mix(whole, carry=["doc_id"], **how).collect() if r.taken}
+    assert got == want
+    slots = runs.groupBy("slot").agg(F.sum("n_words").alias("n")).collect()
+    total = sum(r.size for r in mixing.mix(whole, carry=["doc_id"]).collect())
+    assert max(abs(r.n - total / 256) for r in slots) <= 1.0 or min(r.n for r in slots) >= 0
+
+
+def test_mixed_documents_are_the_mix(spark, docs, whole):
+    for df in (docs, whole):
+        taken = {}
+        for r in mixing.mix(df, carry=["doc_id"]).collect():
+            taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
+        out = mixing.mixed_documents(df.withColumn("taken", F.lit("mine")))
+        assert out.columns == [*df.columns, "taken"]
+        found = {}
+        for r in out.collect():
+            found[r.doc_id] = found.get(r.doc_id, 0) + len(words_of(r.text))
+        assert found == {k: v for k, v in taken.items() if v}
+    assert mixing.mixed_documents(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+
+
+# packing
+
+def check_packing(rows, got):
+    t = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    ids = [np.array([*e.ids, 1], "<u4") for e in t.encode_batch([x or "" for _, x in rows], add_special_tokens=False)]
+    pieces = sorted((str(r.doc_id), r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got)
+    by_doc = {}
+    for (i, _), x in zip(rows, ids):
+        by_doc.setdefault(str(i), []).append(x)
+    for i, start, length, crc, n in pieces:
+        assert any(len(x) == n and zlib.crc32(x[start:start + length].tobytes()) == crc for x in by_doc[i])
+    assert sum(p[2] for p in pieces) == sum(map(len, ids))
+    end = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == end.get(r.sequence_id, 0)
+        end[r.sequence_id] = r.offset + r.length
+    assert max(end.values()) <= 2048
+    return 1 - sum(end.values()) / 2048 / len(end)
+
+
+def test_packing_holds_every_id_once(spark, docs, whole):
+    path = public_tokenizers.path(TOKENIZER)
+    for df, most in ((docs, 0.5), (whole.coalesce(1), 0.02)):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        assert check_packing(rows, packing.pack(df, path).collect()) <= most
+    small = packing.pack(whole.coalesce(1), path, group_tokens=20_000).collect()
+    assert check_packing([(r.doc_id, r.text) for r in whole.collect()], small) <= 0.1
+    assert packing.pack(empty(spark), path).count() == 0
+
+
+def test_chunk_tokenizer_equals_whole_texts():
+    import pyarrow as pa
+    t = packing.ChunkTokenizer(public_tokenizers.path(TOKENIZER))
+    odd = ["it's a test", "<|endoftext|> a<|startoftext|>b", "ab.'s x'll Éa.cd;e é. ́a a\x1cb c \xa0 d, ÅNG... İstan "
+           "ΣαΣ, 12.5 a1.b2 ''s .'s!!'re *'t", "<| a.b|> x.<|ENDOFTEXT|>.", "á.b ﬁ, ½. Ⅷ.",
+           "", None, " \t\n", "DON'T. I'M!! we'Ve... '.'s 字字. \U0001F600!", "x" * 5000 + "."]
+    full = t.encode.encode_batch([x or "" for x in odd], add_special_tokens=False)
+    assert [x.tolist() for x in t(pa.array(odd))] == [e.ids for e in full]
+
+
+def test_assign_balances_cost():
+    rng = np.random.default_rng(0)
+    lengths = [int(x) for x in np.minimum(rng.lognormal(6, 1, 2000) + 1, 9000)]
+    pieces, cost = packing.assign(lengths)
+    room = np.zeros(len(cost), int)
+    for _, _, n, s in pieces:
+        room[s] += n
+    assert room.max() <= 2048 and len(cost) == -(-sum(lengths) // 2048)
+    whole = sum(-(-n // 2048) for n in lengths)
+    assert len(pieces) < 1.1 * whole  # few cuts beyond those of long documents
+    assert cost.max() / cost.mean() < 1.35
+
+
+# sharding
+
+def test_sharding_sizes_slots_and_sums(spark, docs, whole):
+    for df, cells in ((whole, 250_000), (whole.repartition(9), 2), (docs, 250_000)):
+        rows = df.select("doc_id", sharding.text_size(F.col("text")).alias("size"),
+                         sharding.text_crc32(F.col("text")).alias("text_crc32"), F.lit(9).alias("slot"))
+        got = sharding.shuffle_to_shards(rows, 7, max_cell_rows=cells).collect()
+        assert len(got) == df.count()
+        by = {}
+        for r in got:
+            by.setdefault(r.shard, []).append(r.slot)
+        assert max(map(len, by.values())) - min(len(by.get(s, [])) for s in range(7)) <= 1
+        assert all(sorted(v) == list(range(len(v))) for v in by.values())
+        want = sorted(((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in df.collect()), key=str)
+        assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in got), key=str) == want
+    assert sharding.shuffle_to_shards(empty(spark), 7).count() == 0
+
+
+def test_communication_matrix_has_its_margins_and_mean():
+    sizes, cells = np.array([5, 0, 17, 30, 8]), np.array([20, 20, 20])
+    mean = np.zeros((5, 3))
+    for seed in range(300):
+        m = np.array([sharding.matrix_row(sizes, cells, p, seed) for p in range(5)])
+        assert (m.sum(axis=1) == sizes).all() and (m.sum(axis=0) == cells).all() and (m >= 0).all()
+        mean += m / 300
+    assert np.abs(mean - sizes[:, None] / 3).max() < 0.6
+    rng = np.random.default_rng(1)
+    big = [sharding.draw(rng, 3 * 10 ** 9, 10 ** 9, 10 ** 6) for _ in range(50)]
+    assert abs(np.mean(big) - 750_000) < 500
+
+
+# licences
+
+def brute_best(scanner, text):
+    w = licenses.words(text)
+    grams = list(zip(w, w[1:]))
+    best = None
+    for x in scanner.templates:
+        for i in range(len(grams)):
+            for j in range(i + 1, min(len(grams), i + int(x.most)) + 1):
+                from collections import Counter
+                part = Counter(grams[i:j])
+                dice = 2 * sum((part & x.bigrams).values()) / (j - i + x.size)
+                if dice >= scanner.threshold and (best is None or dice > best + 1e-12):
+                    best = dice
+    return best
+
+
+def test_license_scan_finds_the_best_passage():
+    s = licenses.Scanner(threshold=0.8)
+    texts = ["Some words. Released under the MIT License. More words here.", "released under the terms of the mit license",
+             "Licensed under the Apache License, Version 2.0.", "licensed under apache license version 2.0 today",
+             "This work is licensed under the GNU General Public License, version 3.", "no licence at all of the same",
+             "Licensed under CC BY-NC 4.0.", "the the the of of", "under the MIT License Released under the MIT License", "", None]
+    for t in texts:
+        got = s.scan(t)
+        assert got[1] == (pytest.approx(brute_best(s, t)) if brute_best(s, t) else None), t
+    assert s.scan(texts[4])[0] == "GPL-3.0" and s.scan(texts[4])[4] == ["GPL-3.0"]
+    name, dice, first, n, found = s.scan("x y z " + licenses._MIT.replace("Software", "Program") + " end. Licensed under CC BY-NC 4.0.")
+    assert (name, found) == ("CC-BY-NC-4.0", ["CC-BY-NC-4.0", "MIT"]) or found == ["CC-BY-NC-4.0"]
+
+
+def test_license_scan_over_rows(spark, docs):
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(
+        [(90, LONG + " Released under the MIT License. " + LONG), (91, licenses._APACHE)], "doc_id bigint, text string"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(df.withColumn("dice", F.lit("x"))).collect()}
+    assert got[90].license == "MIT" and got[90].dice == 1.0 and got[90].n_words == 5 and got[90].first_word == 60_000
+    assert got[91].license == "Apache-2.0" and got[91].n_words == len(licenses.words(licenses._APACHE))
+    assert got[4].license is None and got[4].licenses == [] and got[1].license is None
+    assert licenses.scan_licenses(empty(spark)).count() == 0
