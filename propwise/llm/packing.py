@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 CAPACITY = 2048
 GROUP_TOKENS = 1 << 20
-#: Texts tokenised at once.
-BATCH_ROWS = 8192
+#: Bytes of text tokenised at once (a longer text alone).
+BATCH_BYTES = 8 << 20
 #: Estimated cost of a token in the dense layers, and of a pair of tokens in attention.
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
 END_ID = 1
 #: A worker forgets its cached words beyond this many.
-MAX_CACHED = 1_200_000
+MAX_CACHED = 600_000
 
 SCHEMA = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "sequence_id bigint, offset bigint, sequence_cost double")
@@ -153,6 +153,16 @@ def _gather(pool: np.ndarray, begin: np.ndarray, size: np.ndarray, pick: np.ndar
     return pool[place]
 
 
+def _slices(b: pa.RecordBatch, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """``b`` in runs of rows of at most ``most`` bytes of text, one row at least."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+        yield b.slice(i, j - i)
+        i = j
+
+
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 
 
@@ -234,8 +244,7 @@ def pack(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str =
                 [pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], [c.split()[0] for c in schema.split(", ")])
 
         for b in batches:
-            for i in range(0, b.num_rows, BATCH_ROWS):
-                part = b.slice(i, BATCH_ROWS)
+            for part in _slices(b):
                 for d, ids in zip(part.column("doc_id").to_pylist(), encode(part.column("text"))):
                     ids = np.append(ids, np.array([end_id], "<u4")).astype("<u4")
                     held.append((d, ids))

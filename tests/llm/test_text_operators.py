@@ -326,7 +326,7 @@ def test_assign_balances_cost():
         room[s] += n
     assert room.max() <= 2048 and len(cost) == -(-sum(lengths) // 2048)
     whole = sum(-(-n // 2048) for n in lengths)
-    assert len(pieces) < 1.1 * whole  # few cuts beyond those of long documents
+    assert len(pieces) <= whole + len(cost)  # each further cut fills a sequence
     assert cost.max() / cost.mean() < 1.35
 
 
