@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from propwise.session import ensure_checkpoint_dir
 
@@ -43,19 +44,21 @@ def salt_of(col: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(salts)).cast("int")
 
 
-def salt_mask(salt: Column) -> Column:
-    """Aggregate: the set of salts of a key, as the bits of a long."""
-    return F.bit_or(F.expr("shiftleft(1L, {})".format("`" + salt + "`")) if isinstance(salt, str) else salt)
-
-
 def explode_salts(mask: str, salts: int = SALTS) -> Column:
     """One row for each salt whose bit is set in ``mask``."""
     return F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(`{mask}`, s) & 1L) = 1L)"))
 
 
-def first_scalars(df: DataFrame) -> dict:
-    """The one row of a global aggregate."""
-    return df.collect()[0].asDict()
+def smallest(df: DataFrame, by: str, order: list[str], n: int, ways: int = 32) -> DataFrame:
+    """The ``n`` first rows of each ``by``, in ``order``.
+
+    A hot key is cut in ``ways`` before its rows meet, so the last step gets ``ways * n`` of them at most.
+    """
+    rank = F.row_number().over(Window.partitionBy(by, "__way").orderBy(*order))
+    cut = (df.withColumn("__way", F.pmod(F.xxhash64(*order), F.lit(ways))).withColumn("__n", rank)
+           .where(F.col("__n") <= n).drop("__way", "__n"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return cut.withColumn("__n", rank).where(F.col("__n") <= n).drop("__n")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

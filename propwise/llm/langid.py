@@ -16,7 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .common import smallest
 
 BUCKETS = 4096
 #: Labelled rows used of each language: the bound of the training sample.
@@ -142,15 +143,16 @@ def remainder(doc_id: Column, by: int) -> Column:
 
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang",
         per_lang: int = SAMPLE_PER_LANG, held: int = 1, folds: int = 3) -> LanguageModel | None:
-    """Fit on at most ``per_lang`` rows of each language whose fold is not ``held``.
+    """Fit on at most ``per_lang`` distinct texts of each language whose rows' folds are not ``held``.
 
-    The rows are those with the smallest digests of their text.  Features are made in tasks from
-    whole texts; only their numbers travel.  None if no row has a language and a letter.
+    The texts are those with the smallest digests.  Their digests are found first, in narrow rows,
+    and broadcast (``per_lang`` for each language); features are then made in tasks from whole
+    texts, and only their numbers travel.  None if no row has a language and a letter.
     """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h")).where(
         (remainder(F.col(doc_id), folds) != held) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    rows = rows.withColumn("n", rank).where(F.col("n") <= per_lang).select("text", "lang")
+    picked = smallest(rows.select("lang", "h").distinct(), "lang", ["h"], per_lang)
+    rows = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -159,10 +161,10 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
                 x = features(part.column("text").to_pylist())
                 keep = pa.array(x.any(axis=1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())],
-                    ["lang", "x"]).filter(keep)
+                    [part.column("lang"), part.column("h"),
+                     pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["lang", "h", "x"]).filter(keep)
 
-    got = rows.mapInArrow(run, "lang string, x binary").toArrow()
+    got = rows.mapInArrow(run, "lang string, h bigint, x binary").dropDuplicates(["lang", "h"]).toArrow()
     if not got.num_rows:
         return None
     x = np.stack([np.frombuffer(b, np.float16) for b in got.column("x").to_pylist()]).astype(np.float32)

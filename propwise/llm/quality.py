@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
-from pyspark.sql.window import Window
 
+from .common import smallest
 from .langid import remainder
 
 BUCKETS = 2048
@@ -98,8 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     """
     known = labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & (remainder(F.col("id"), folds) != held))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id"))
-    picked = known.withColumn("n", rank).where(F.col("n") <= per_class).select("id", "y")
+    picked = smallest(known.withColumn("h", F.xxhash64("id")), "y", ["h", "id"], per_class).select("id", "y")
     rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).where(
         remainder(F.col("id"), folds) != held).join(F.broadcast(picked), "id").select("y", "text")
 
@@ -109,9 +108,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(x, pa.binary())], ["y", "x"])
 
     # a repeated id could bring more rows than were picked: at most per_class rows of each class are kept
-    got = rows.mapInArrow(run, "y int, x binary")
-    got = got.withColumn("n", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("x"), "x"))).where(
-        F.col("n") <= per_class).select("y", "x").toArrow()
+    got = rows.mapInArrow(run, "y int, x binary").withColumn("h", F.xxhash64("x"))
+    got = smallest(got, "y", ["h", "x"], per_class).select("y", "x").toArrow()
     if not got.num_rows:
         return None
     pairs = sorted(zip(got.column("y").to_pylist(), got.column("x").to_pylist()))  # the same space on every run
