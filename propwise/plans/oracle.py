@@ -159,7 +159,7 @@ _CTE_DEPS = {
 }
 
 
-def sql(body: str, *ctes: str, fixtures: tuple[str, ...] = ()) -> str:
+def sql(body: str, *ctes: str, fixtures: tuple[str, ...] = (), recursive: bool = False) -> str:
     """Assemble ``with <fixtures>, <ctes in dependency order> <body>``."""
     order: list[str] = []
     fx_names: list[str] = list(fixtures)
@@ -176,4 +176,5 @@ def sql(body: str, *ctes: str, fixtures: tuple[str, ...] = ()) -> str:
 
     for n in ctes:
         add(n)
-    return with_fixtures(body, *fx_names, extra=[(n, CTE[n]) for n in order])
+    text = with_fixtures(body, *fx_names, extra=[(n, CTE[n]) for n in order])
+    return text.replace("with ", "with recursive ", 1) if recursive else text

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
+from ..functions import constants as K
+from ..session import scratch_path
 from ..streaming import events as EV
 from ..streaming import jobs as SJ
 from . import jobs
@@ -81,24 +85,69 @@ def latest_prediction_cache(spark, sf):
     return out.select("cache_key", _epoch_us("ts").alias("ts_us"), "event_id")
 
 
-@register("retrain_runs", ids="R4 A9", sql=sql("""
-, p as (select feedback_id, created_at, row_number() over (order by created_at, feedback_id) as rank
-        from fb_valid where not processed)
-select cast((rank - 1) // 100 as bigint) as run_no, count(*) as n_ids, min(feedback_id) as min_id,
-  max(feedback_id) as max_id, epoch_us(max(created_at)) as fired_at_us
-from p group by (rank - 1) // 100 having count(*) = 100""", "fb_valid"))
+# Feedback cut into fixed micro-batches of uneven size: batch b holds the events whose id modulo
+# 100 lies below the b-th bound (and not below an earlier one).
+_CUTS = (1, 3, 6, 12, 25, 50, 51, 100)
+_BATCH_SQL = "case " + " ".join(f"when feedback_id % 100 < {c} then {b}" for b, c in enumerate(_CUTS)) + " end"
+
+# The handler's rule: after each batch, if the pending rows reach the threshold, a run takes all of them.
+_RUNS_SQL = f"""
+, n as (select {_BATCH_SQL} as b, count(*) as c from fb_valid group by 1)
+, bn as (select u.b, coalesce(n.c, 0) as c from (select unnest(range({len(_CUTS)})) as b) u left join n on n.b = u.b)
+, r as (
+  select -1 as b, cast(0 as bigint) as pending, cast(0 as bigint) as fired
+  union all
+  select r.b + 1, case when r.pending + bn.c >= {K.RETRAIN_THRESHOLD} then 0 else r.pending + bn.c end,
+    case when r.pending + bn.c >= {K.RETRAIN_THRESHOLD} then r.pending + bn.c else 0 end
+  from r join bn on bn.b = r.b + 1)"""
+
+
+def _handled(spark, sf) -> str:
+    """Runs the handler of R3/R4 over the micro-batches; returns its folder."""
+    fb = fx.feedback(spark, sf)
+    value = F.to_json(F.struct("kamar_tidur", "kamar_mandi", "garasi", "luas_tanah", "luas_bangunan", "lokasi",
+                               "harga_prediksi", "harga_asli", "sumber"))
+    rows = fb.select(F.col("feedback_id").cast("string").alias("event_id"), F.col("created_at").cast("timestamp").alias("created_at"),
+                     value.alias("value"), F.expr(_BATCH_SQL).alias("b"))
+    root = scratch_path(spark, f"feedback-{uuid.uuid4().hex[:12]}")
+    handle = SJ.feedback_batch_handler(root)
+    for b in range(len(_CUTS)):
+        handle(rows.filter(F.col("b") == b).drop("b"), b)
+    return root
+
+
+@register("retrain_runs", ids="R3 R4 R7 A9", sql=sql(_RUNS_SQL + """
+select cast(b as bigint) as batch_id, fired as feedback_count, 'success' as status from r where fired > 0""", "fb_valid",
+    recursive=True))
 def retrain_runs(spark, sf):
-    r = SJ.retrain_runs(jobs.feedback_stored(spark, sf))
-    return r.select("run_no", "n_ids", "min_id", "max_id", _epoch_us("fired_at").alias("fired_at_us"))
+    runs = SJ.run_status(spark.read.parquet(f"{_handled(spark, sf)}/ledger"))
+    return runs.select("batch_id", "feedback_count", "status")
 
 
-@register("processed_after_runs", ids="R6 R5 J4", sql=sql("""
-, p as (select feedback_id, row_number() over (order by created_at, feedback_id) as rank from fb_valid where not processed)
-, t as (select (count(*) // 100) * 100 as fired from p)
-select f.feedback_id, f.processed or coalesce(p.rank <= t.fired, false) as processed
-from fb_valid f left join p on f.feedback_id = p.feedback_id, t""", "fb_valid"))
+@register("processed_after_runs", ids="R6 C15", sql=sql(_RUNS_SQL + f"""
+select feedback_id, {_BATCH_SQL} <= (select max(b) from r where fired > 0) as processed from fb_valid""", "fb_valid",
+    recursive=True))
 def processed_after_runs(spark, sf):
-    return SJ.processed_after_runs(jobs.feedback_stored(spark, sf))
+    root = _handled(spark, sf)
+    done = SJ.processed_ids(spark, root).select("feedback_id", F.lit(True).alias("_p"))
+    return SJ.stored_feedback(spark, root).join(done, "feedback_id", "left").select(
+        F.col("feedback_id").cast("bigint").alias("feedback_id"), F.coalesce("_p", F.lit(False)).alias("processed"))
+
+
+@register("audit_redelivered", ids="R1 S10", sql=sql(f"""
+select concat(topic, '-', cast(event_id % 4 as varchar), '-', cast(event_id // 4 as varchar)) as event_key, topic, tool,
+  case when topic = '{_REG}' then {_key_sql('regression')} when topic = '{_CLS}' then {_key_sql('classification')}
+       when topic = '{_CLU}' then {_key_sql('clustering')} end as cache_key
+from ev""", "ev"))
+def audit_redelivered(spark, sf):
+    """R1 over Kafka records: offsets repeat in every partition, and one event in seven comes twice."""
+    e = fx.prediction_events(spark, sf)
+    records = e.select(F.col("payload").cast("binary").alias("value"), F.col("ts").alias("timestamp"), "topic",
+                       (F.col("event_id") % 4).cast("int").alias("partition"),
+                       F.expr("event_id div 4").alias("offset"),
+                       F.explode(F.sequence(F.lit(0), (F.col("event_id") % 7 == 0).cast("int"))).alias("delivery"))
+    rows = EV.audit_rows(EV.parse_prediction_event(SJ.kafka_events(records)))
+    return SJ.audit_log(rows).select(F.col("event_id").alias("event_key"), "topic", "tool", "cache_key")
 
 
 @register("live_area_stats", ids="R8", sql=sql("""

@@ -27,10 +27,10 @@ OUTPUT = T.StructType([
     T.StructField("harga_estimasi_format", T.StringType()),
     T.StructField("model_digunakan", T.StringType()),
     T.StructField("mape_persen", T.DoubleType()),
-    T.StructField("kelas_id", T.IntegerType()),
+    T.StructField("kelas_id", T.StringType()),
     T.StructField("kelas_label", T.StringType()),
     T.StructField("probabilitas", T.MapType(T.StringType(), T.DoubleType())),
-    T.StructField("cluster_id", T.IntegerType()),
+    T.StructField("cluster_id", T.StringType()),
     T.StructField("cluster_label", T.StringType()),
     T.StructField("latency_ms", T.DoubleType()),
 ])
@@ -62,23 +62,28 @@ KEY_FIELDS = {
 }
 
 
+def whole_number(c: str) -> Column:
+    """Text of a JSON number -> int: ``3`` and ``3.0`` alike, a fraction cut; null if it is none or too large."""
+    return F.coalesce(F.col(c).try_cast("int"), F.col(c).try_cast("double").try_cast("int"))
+
+
 def parse_prediction_event(df: DataFrame, payload: str = "payload") -> DataFrame:
     """JSON -> typed columns; missing keys take defaults (0, 'unknown', -1)."""
     e = F.from_json(F.col(payload), PREDICTION_EVENT)
-    typed = [F.col(f"_e.input.{n}").try_cast(t).alias(n) for n, t in INPUT_TYPES.items()
-             if n not in ("lokasi", "top_k")]
+    typed = [(whole_number(f"_e.input.{n}") if t == "int" else F.col(f"_e.input.{n}").try_cast(t)).alias(n)
+             for n, t in INPUT_TYPES.items() if n not in ("lokasi", "top_k")]
     return df.withColumn("_e", e).select(
         *[c for c in df.columns if c != payload],
         F.col("_e.tool").alias("tool"),
         F.coalesce(F.col("_e.input.lokasi"), F.lit("unknown")).alias("lokasi"),
         *typed,
-        F.col("_e.input.top_k").try_cast("int").alias("top_k"),
+        whole_number("_e.input.top_k").alias("top_k"),
         F.coalesce(F.col("_e.output.harga_estimasi"), F.lit(0.0)).alias("harga_estimasi"),
         F.coalesce(F.col("_e.output.latency_ms"), F.lit(0.0)).alias("latency_ms"),
         F.coalesce(F.col("_e.output.model_digunakan"), F.lit("unknown")).alias("model_digunakan"),
-        F.coalesce(F.col("_e.output.kelas_id"), F.lit(-1)).alias("kelas_id"),
+        F.coalesce(whole_number("_e.output.kelas_id"), F.lit(-1)).alias("kelas_id"),
         F.coalesce(F.col("_e.output.kelas_label"), F.lit("unknown")).alias("kelas_label"),
-        F.coalesce(F.col("_e.output.cluster_id"), F.lit(-1)).alias("cluster_id"),
+        F.coalesce(whole_number("_e.output.cluster_id"), F.lit(-1)).alias("cluster_id"),
         F.coalesce(F.col("_e.output.cluster_label"), F.lit("unknown")).alias("cluster_label"),
         F.col("_e.input").alias("input_raw"),
         F.col("_e.output").alias("output"),
@@ -121,6 +126,10 @@ def audit_rows(parsed: DataFrame) -> DataFrame:
 
 def parse_feedback_event(df: DataFrame, payload: str = "value") -> DataFrame:
     """Feedback JSON -> typed columns; source defaults to user_feedback."""
-    e = F.from_json(F.col(payload), FEEDBACK_EVENT)
-    out = df.withColumn("_e", e).select(*[c for c in df.columns if c != payload], "_e.*")
+    whole = [f.name for f in FEEDBACK_EVENT if f.dataType == T.IntegerType()]
+    read = T.StructType([T.StructField(f.name, T.StringType() if f.name in whole else f.dataType) for f in FEEDBACK_EVENT])
+    e = F.from_json(F.col(payload), read)
+    out = df.withColumn("_e", e).select(
+        *[c for c in df.columns if c != payload],
+        *[(whole_number(f"_e.{f.name}") if f.name in whole else F.col(f"_e.{f.name}")).alias(f.name) for f in FEEDBACK_EVENT])
     return out.withColumn("sumber", F.coalesce(F.col("sumber"), F.lit("user_feedback")))
