@@ -132,10 +132,13 @@ REGRESSION_FEATURES = [
 ]
 
 
-def classification_features() -> dict[str, Column]:
-    """ratios from raw values first, then log1p of both areas (order matters)."""
-    kt, km, g = F.col("kamar_tidur"), F.col("kamar_mandi"), F.col("garasi")
-    lt, lb, h = F.col("luas_tanah"), F.col("luas_bangunan"), F.col("harga")
+def classification_features(given: dict[str, Column] | None = None) -> dict[str, Column]:
+    """ratios from raw values first, then log1p of both areas (order matters).
+
+    ``given`` replaces inputs by name (the variants of a scenario).
+    """
+    kt, km, g, lt, lb, h = ((given or {}).get(c, F.col(c)) for c in (
+        "kamar_tidur", "kamar_mandi", "garasi", "luas_tanah", "luas_bangunan", "harga"))
     total = kt + km
     return {
         "rasio_bangunan_tanah": lb / (lt + 1),
@@ -152,11 +155,15 @@ def classification_features() -> dict[str, Column]:
 
 
 def area_indicator_name(area: str) -> str:
-    return "lokasi_" + "".join(ch if ch.isalnum() else "_" for ch in area.lower())
+    """The area's own spelling: names that differ only in marks stay apart."""
+    return "lokasi_" + area
 
 
 def one_hot_area(areas: list[str], col: str = "lokasi") -> dict[str, Column]:
-    """one 0/1 column per known area; unknown area -> all zeros."""
+    """F11 for a given short list: one 0/1 column per area; unknown area -> all zeros.
+
+    Models use the sparse encoder of ``operators.models.fit_segment_encoder``.
+    """
     return {area_indicator_name(a): (F.col(col) == F.lit(a)).cast("int") for a in areas}
 
 
@@ -245,23 +252,20 @@ def default_cluster_fields(label: str = "cluster_label", cid: str = "cluster_id"
             cid: F.coalesce(F.col(cid).cast("int"), F.lit(-1))}
 
 
-def cache_key(fields: list[str]) -> Column:
-    """colon-joined input fields (null prints as empty)."""
-    return F.concat_ws(":", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-
-
-CACHE_KEY_FIELDS = {
-    "regression": ["lokasi", "luas_tanah", "luas_bangunan", "kamar_tidur", "kamar_mandi", "garasi"],
-    "classification": ["lokasi", "luas_tanah", "luas_bangunan", "kamar_tidur", "harga"],
-    "clustering": ["lokasi", "luas_tanah", "luas_bangunan", "kamar_tidur", "harga"],
-}
-
-
 def context_key(query: Column | str, prediction_json: Column | str) -> Column:
     """md5(query || ':' || md5(prediction json))."""
     return F.concat(F.lit("rag:"), F.md5(F.concat(_c(query), F.lit(":"), F.md5(_c(prediction_json)))))
 
 
+def sorted_json(fields: dict[str, Column]) -> Column:
+    """Text of a flat JSON object: keys sorted, ``", "`` and ``": "`` between parts, null as ``null``."""
+    parts: list[Column] = []
+    for i, k in enumerate(sorted(fields)):
+        boxed = F.to_json(F.array(fields[k]))  # [value], with JSON's own quoting
+        parts += [F.lit((", " if i else "") + f'"{k}": '), F.substring(boxed, F.lit(2), F.length(boxed) - 2)]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+
 def is_market_query(c: Column | str) -> Column:
     """lower-cased text contains any keyword."""
     low = F.lower(_c(c))

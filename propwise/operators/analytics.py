@@ -109,8 +109,10 @@ def price_correlation(df: DataFrame, cols=("kamar_tidur", "kamar_mandi", "garasi
 
 
 def segment_threshold(df: DataFrame) -> DataFrame:
-    """Median price of the cleaned rows."""
-    return df.agg(F.median("harga").alias("batas_segmen"))
+    """Median price of the cleaned rows (no task merges all distinct prices)."""
+    from .quantiles import quantiles
+    q = quantiles(df, F.col("harga"), [0.5])
+    return df.sparkSession.createDataFrame([(q[0] if q else None,)], "batas_segmen double")
 
 
 def unprocessed_count(feedback: DataFrame, threshold: int = K.RETRAIN_THRESHOLD) -> DataFrame:

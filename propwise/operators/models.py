@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -30,6 +31,7 @@ from ..session import bounded_broadcast, first_row
 from . import encoding as E
 from . import metrics as MT
 from . import pricing as P
+from .quantiles import quantiles
 
 
 # ---- price models (M4, M6) -------------------------------------------------------------
@@ -55,13 +57,16 @@ def regression_frame(df: DataFrame, encoder: DataFrame, prior: float) -> DataFra
 
 
 def train_price_models(clean: DataFrame, key: str = "listing_id", threshold: float | None = None,
-                       max_iter: int = 40, max_depth: int = 6, seed: int = 42) -> tuple[PriceModels, DataFrame]:
+                       max_iter: int = 5000, max_depth: int = 6, step_size: float = 0.02,
+                       seed: int = 42) -> tuple[PriceModels, DataFrame]:
     """M4: threshold = median price (A8) unless given; one GBT per side on log1p(price).
 
+    At most ``max_iter`` rounds: boosting stops when the validation rows no longer gain.
+
     Returns the models and the holdout predictions (for A11 metrics).
     """
     if threshold is None:
-        threshold = float(first_row(clean.agg(F.median("harga").alias("t")))["t"])
+        threshold = float(quantiles(clean, F.col("harga"), [0.5])[0])
     df = P.train_test_split(clean, key).withColumn("side", P.price_side("harga", threshold))
     df = P.extreme_weights(df, threshold)
     train = df.filter("is_train")
@@ -73,7 +78,7 @@ def train_price_models(clean: DataFrame, key: str = "listing_id", threshold: flo
     for side in ("low", "high"):
         gbt = GBTRegressor(featuresCol="features", labelCol="label", weightCol="weight",
                            validationIndicatorCol="is_val", maxIter=max_iter, maxDepth=max_depth,
-                           stepSize=0.1, seed=seed, validationTol=0.001)
+                           stepSize=step_size, seed=seed, validationTol=0.001)
         models[side] = gbt.fit(frame.filter(F.col("side") == side))
     holdout = frame.filter("is_val")
     # score each side with its own model (rows routed by actual price)
@@ -104,81 +109,76 @@ def score_prices(df: DataFrame, pm: PriceModels) -> DataFrame:
 @dataclass
 class SegmentModel:
     model: object
-    areas: list[str]
+    encoder: object  # fitted area indexer + sparse one-hot + assembler
     features: list[str]
 
 
-def classification_frame(df: DataFrame, areas: list[str]) -> DataFrame:
+SEGMENT_NUMBERS = ["kamar_tidur", "kamar_mandi", "garasi", "luas_tanah_log", "luas_bangunan_log",
+                   "rasio_bangunan_tanah", "total_kamar", "harga_per_m2_tanah", "harga_per_m2_bangunan",
+                   "luas_total", "kamar_per_luas", "garasi_flag"]
+
+
+def segment_numbers(df: DataFrame) -> DataFrame:
+    """F10 columns as doubles."""
     feats = X.classification_features()
     base = df.withColumns({k: v for k, v in feats.items() if not k.startswith("log_")})
     base = base.withColumns({"luas_tanah_log": feats["log_luas_tanah"], "luas_bangunan_log": feats["log_luas_bangunan"]})
-    base = base.withColumns(X.one_hot_area(areas))
-    cols = segment_feature_names(areas)
-    base = base.withColumns({c: F.col(c).cast("double") for c in cols})
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(base)
-
-
-def segment_feature_names(areas: list[str]) -> list[str]:
-    """F13 contract order: raw counts, logged areas, ratios, then one column per known area."""
-    return (["kamar_tidur", "kamar_mandi", "garasi", "luas_tanah_log", "luas_bangunan_log",
-             "rasio_bangunan_tanah", "total_kamar", "harga_per_m2_tanah", "harga_per_m2_bangunan",
-             "luas_total", "kamar_per_luas", "garasi_flag"]
-            + [X.area_indicator_name(a) for a in areas])
+    return base.withColumns({c: F.col(c).cast("double") for c in SEGMENT_NUMBERS})
 
 
-MAX_AREAS = 10_000
+def fit_segment_encoder(df: DataFrame):
+    """F11 at any number of areas: index + sparse one-hot; an unknown area is all zeros."""
+    return Pipeline(stages=[
+        StringIndexer(inputCol="lokasi", outputCol="_area", handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=["_area"], outputCols=["_area_vec"], handleInvalid="keep", dropLast=True),
+        VectorAssembler(inputCols=[*SEGMENT_NUMBERS, "_area_vec"], outputCol="features", handleInvalid="keep"),
+    ]).fit(df)
 
 
-def known_areas(df: DataFrame, max_areas: int = MAX_AREAS) -> list[str]:
-    """Distinct areas of the training table: the one-hot feature contract.
-
-    Areas are administrative districts, so the list is small; the count is checked
-    before anything is collected.
-    """
-    areas = df.select("lokasi").distinct().filter(F.col("lokasi").isNotNull())
-    n = areas.count()
-    if n > max_areas:
-        raise ValueError(f"{n} distinct areas exceed the one-hot contract limit of {max_areas}")
-    return sorted(r[0] for r in areas.collect())
+def segment_feature_names(encoder) -> list[str]:
+    """F13 contract order: raw counts, logged areas, ratios, then one column per known area."""
+    return SEGMENT_NUMBERS + [X.area_indicator_name(a) for a in encoder.stages[0].labels]
 
 
-def train_segment_model(clean_cls: DataFrame, key: str = "listing_id", num_trees: int = 60,
-                        max_depth: int = 10, seed: int = 42) -> tuple[SegmentModel, DataFrame]:
+def train_segment_model(clean_cls: DataFrame, key: str = "listing_id", num_trees: int = 1500,
+                        max_depth: int = 8, seed: int = 42) -> tuple[SegmentModel, DataFrame]:
     """M7: stratified 80/20 (M2), multi-class random forest; returns holdout (y, p)."""
-    areas = known_areas(clean_cls)
-    df = P.stratified_split(clean_cls, key, "kelas_harga")
-    frame = classification_frame(df, areas).withColumn("label", F.col("kelas_harga").cast("double"))
+    df = segment_numbers(P.stratified_split(clean_cls, key, "kelas_harga"))
+    encoder = fit_segment_encoder(df)
+    frame = encoder.transform(df).withColumn("label", F.col("kelas_harga").cast("double"))
     rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
                                 maxDepth=max_depth, seed=seed)
     model = rf.fit(frame.filter("is_train"))
     hold = model.transform(frame.filter(~F.col("is_train")))
-    return SegmentModel(model, areas, segment_feature_names(areas)), hold.select(
+    return SegmentModel(model, encoder, segment_feature_names(encoder)), hold.select(
         F.col("kelas_harga").alias("y"), F.col("prediction").cast("int").alias("p"))
 
 
-def score_segments(df: DataFrame, sm: SegmentModel, pm: PriceModels | None = None) -> DataFrame:
-    """M8: price missing -> M6 estimate; class id, label, probability map (4 decimals), source flag."""
-    base = df
-    if pm is not None:
-        est = score_prices(df, pm).select(*df.columns, F.col("harga_estimasi").cast("double").alias("_est"))
-        base = est.withColumns({
-            "harga_sumber": F.when(F.col("harga").isNull(), F.lit("estimated_by_regression")).otherwise(F.lit("input")),
-            "harga": F.coalesce(F.col("harga"), F.col("_est"))}).drop("_est")
-    else:
-        base = base.withColumn("harga_sumber", F.lit("input"))
-    frame = classification_frame(base, sm.areas)
-    out = sm.model.transform(frame)
+def price_or_estimate(df: DataFrame, pm: PriceModels | None) -> DataFrame:
+    """Rows with ``harga`` filled by M6 where it is missing, and ``harga_sumber`` telling which it is."""
+    if pm is None:
+        return df.withColumn("harga_sumber", F.lit("input"))
+    est = score_prices(df, pm).select(*df.columns, F.col("harga_estimasi").cast("double").alias("_est"))
+    return est.withColumns({
+        "harga_sumber": F.when(F.col("harga").isNull(), F.lit("estimated_by_regression")).otherwise(F.lit("input")),
+        "harga": F.coalesce(F.col("harga"), F.col("_est"))}).drop("_est")
+
+
+def segment_columns(df: DataFrame, sm: SegmentModel) -> DataFrame:
+    """Appends ``kelas_id, kelas_label, probabilitas`` (4 decimals) to rows with a price."""
+    out = sm.model.transform(sm.encoder.transform(segment_numbers(df)))
     labels = [K.SEGMENT_LABELS[i] for i in range(4)]
     probs = F.transform(vector_to_array("probability"), lambda p: F.bround(p, 4))
-    keep = [c for c in df.columns if c != "harga"]
-    return out.select(
-        *keep,
-        F.col("prediction").cast("int").alias("kelas_id"),
-        X.segment_label(F.col("prediction").cast("int")).alias("kelas_label"),
-        F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.slice(probs, 1, 4)).alias("probabilitas"),
-        F.bround("harga", 0).cast("bigint").alias("harga_digunakan"),
-        "harga_sumber",
-    )
+    kelas = F.col("prediction").cast("int")
+    return out.select(*df.columns, kelas.alias("kelas_id"), X.segment_label(kelas).alias("kelas_label"),
+                      F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.slice(probs, 1, 4)).alias("probabilitas"))
+
+
+def score_segments(df: DataFrame, sm: SegmentModel, pm: PriceModels | None = None) -> DataFrame:
+    """M8: price missing -> M6 estimate; class id, label, probability map (4 decimals), source flag."""
+    out = segment_columns(price_or_estimate(df, pm), sm)
+    return out.select(*[c for c in df.columns if c != "harga"], "kelas_id", "kelas_label", "probabilitas",
+                      F.bround("harga", 0).cast("bigint").alias("harga_digunakan"), "harga_sumber")
 
 
 # ---- market clusters (M9, M10, W1, J5) ----------------------------------------------
@@ -195,7 +195,7 @@ class ClusterModel:
     silhouette: float | None = None
 
 
-def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts: int = 5, max_iter: int = 100,
+def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts: int = 50, max_iter: int = 500,
                           seed: int = 42, pca_k: int | None = None) -> ClusterModel:
     """M9: E3 -> (optional PCA to ``pca_k`` <= 8 dims) -> KMeans(k); best of ``restarts`` seeds
     by training cost; W1 relabel by median price."""
@@ -232,41 +232,56 @@ def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts:
     return ClusterModel(model, stats, ranks, summary.persist(), enc, fb, pca, silhouette)
 
 
-def score_clusters(df: DataFrame, cm: ClusterModel, pm: PriceModels | None = None) -> DataFrame:
-    """Price missing -> M6; features (F12 + J3) -> KMeans -> W1 map -> label + summary."""
-    base = df
-    if pm is not None:
-        est = score_prices(df, pm).select(*df.columns, F.col("harga_estimasi").cast("double").alias("_est"))
-        base = est.withColumns({
-            "harga_sumber": F.when(F.col("harga").isNull(), F.lit("estimated_by_regression")).otherwise(F.lit("input")),
-            "harga": F.coalesce(F.col("harga"), F.col("_est"))}).drop("_est")
-    else:
-        base = base.withColumn("harga_sumber", F.lit("input"))
-    f = base.withColumns(X.clustering_features())
+def cluster_columns(df: DataFrame, cm: ClusterModel) -> DataFrame:
+    """Appends ``cluster_id, cluster_label, imputed_features`` to rows with a price.
+
+    A feature that cannot be computed (zero area, missing number) takes the training mean, and
+    its name is listed, so a caller sees which rows were scored on fewer features.
+    """
+    f = df.withColumns(X.clustering_features())
     f = E.encoder_lookup(f.drop("lokasi_enc") if "lokasi_enc" in f.columns else f, cm.encoder)
     z = E.standardize(f, cm.stats)
     zc = [f"{c}_z" for c in X.CLUSTERING_FEATURES]
-    # a feature that cannot be computed (zero area, missing price) is imputed with the
-    # training mean (z = 0) so the request is still scored
-    z = z.withColumns({c: F.coalesce(X.nullify_inf(F.col(c)), F.lit(0.0)) for c in zc})
+    z = z.withColumns({c: X.nullify_inf(F.col(c)) for c in zc})
+    z = z.withColumn("imputed_features", F.filter(F.array(*[F.when(F.col(f"{c}_z").isNull(), F.lit(c)) for c in X.CLUSTERING_FEATURES]),
+                                                  lambda x: x.isNotNull()))
+    z = z.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in zc})
     vec = VectorAssembler(inputCols=zc, outputCol="features").transform(z)
     if cm.reducer is not None:
         vec = cm.reducer.transform(vec).drop("features").withColumnRenamed("reduced", "features")
-    out = cm.model.transform(vec).join(cm.rank_map, "raw_id", "left")
-    summ = cm.summary.select("cluster_id", F.struct(*[c for c in cm.summary.columns if c != "cluster_id"]).alias("cluster_summary"))
-    out = out.join(bounded_broadcast(summ, 1_000), "cluster_id", "left")
-    keep = [c for c in df.columns if c != "harga"]
-    return out.select(*keep, "cluster_id",
+    out = cm.model.transform(vec).join(F.broadcast(cm.rank_map), "raw_id", "left")  # one row for each cluster
+    return out.select(*df.columns, "cluster_id",
                       F.coalesce(F.col("cluster_label"), X.cluster_name("cluster_id")).alias("cluster_label"),
-                      "cluster_summary", F.bround("harga", 0).cast("bigint").alias("harga_digunakan"), "harga_sumber")
+                      "imputed_features")
+
+
+def score_clusters(df: DataFrame, cm: ClusterModel, pm: PriceModels | None = None) -> DataFrame:
+    """Price missing -> M6; features (F12 + J3) -> KMeans -> W1 map -> label + summary."""
+    base = price_or_estimate(df.drop("cluster_id", "cluster_label"), pm)
+    out = cluster_columns(base, cm)
+    summ = cm.summary.select("cluster_id", F.struct(*[c for c in cm.summary.columns if c != "cluster_id"]).alias("cluster_summary"))
+    out = out.join(F.broadcast(summ), "cluster_id", "left")  # one row for each cluster
+    keep = [c for c in base.columns if c not in ("harga", "harga_sumber")]
+    return out.select(*keep, "cluster_id", "cluster_label", "cluster_summary",
+                      F.bround("harga", 0).cast("bigint").alias("harga_digunakan"), "harga_sumber", "imputed_features")
+
+
+REQUIRED = ["kamar_tidur", "kamar_mandi", "luas_tanah", "luas_bangunan", "lokasi"]
 
 
 def batch_score(df: DataFrame, pm: PriceModels, sm: SegmentModel, cm: ClusterModel, key: str = "row_index") -> DataFrame:
-    """Per row price, error, model, segment, cluster and the original index — one plan."""
-    price = score_prices(df, pm).select(key, "harga_estimasi", "harga_estimasi_format", "model_digunakan", "mape_persen")
-    seg = score_segments(df, sm, pm).select(key, "kelas_id", "kelas_label")
-    clu = score_clusters(df, cm, pm).select(key, "cluster_id", "cluster_label")
-    return price.join(seg, key).join(clu, key)
+    """Per row price, error, model, segment, cluster and the original index.
+
+    One pass: each model appends its columns to the same rows.  A row that lacks an input keeps
+    its index, null scores and the reason.
+    """
+    lacks = [F.when(F.col(c).isNull(), F.lit(f"missing {c}")) for c in REQUIRED]
+    rows = df.select(key, *REQUIRED, "garasi", "harga", F.coalesce(*lacks).alias("reason"))
+    priced = score_prices(rows, pm).withColumn("harga", F.coalesce("harga", F.col("harga_estimasi").cast("double")))
+    out = cluster_columns(segment_columns(priced, sm), cm)
+    scores = ["harga_estimasi", "harga_estimasi_format", "model_digunakan", "mape_persen", "kelas_id", "kelas_label",
+              "cluster_id", "cluster_label"]
+    return out.select(key, *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in scores], "reason")
 
 
 def feature_importance(model, features: list[str], area_prefix: str = "lokasi") -> DataFrame:

@@ -34,5 +34,5 @@ def register(name: str, sql: str | None = None, ids: str = ""):
 
 def load_all() -> dict[str, Entry]:
     # importing the modules fills REGISTRY
-    from . import q_batch, q_models, q_text, q_stream  # noqa: F401
+    from . import q_batch, q_features, q_models, q_stream, q_text  # noqa: F401
     return REGISTRY

@@ -18,6 +18,18 @@ from .catalog import REGISTRY, register
 from .oracle import sql
 
 
+def _reasons_sql(rooms: int, garages: int, prices: bool = False, top_k: bool = False) -> str:
+    rules = [("kamar_tidur", f"kamar_tidur between 1 and {rooms}"), ("kamar_mandi", f"kamar_mandi between 1 and {rooms}"),
+             ("garasi", f"garasi between 0 and {garages}"), ("luas_tanah", "luas_tanah > 0"),
+             ("luas_bangunan", "luas_bangunan > 0"), ("lokasi", "length(lokasi) >= 2")]
+    if prices:
+        rules += [(c, f"{c} between 10000000 and 500000000000") for c in ("harga_prediksi", "harga_asli")]
+    if top_k:
+        rules.append(("top_k", "coalesce(try_cast(json_extract_string(payload, '$.input.top_k') as int), 3) between 1 and 20"))
+    return "concat_ws(',', " + ", ".join(
+        f"case when not coalesce({cond}, false) then '{name}' end" for name, cond in rules) + ") as reasons"
+
+
 # ---- flagship ------------------------------------------------------------------------
 
 def area_analytics(spark, sf):
@@ -99,8 +111,8 @@ def removal_report(spark, sf):
 
 
 @register("feedback_validation", ids="C14 F15 S7", sql=sql("""
-select feedback_id, lokasi, is_valid, selisih_persen from (
-  select feedback_id, lokasi,
+select feedback_id, lokasi, is_valid, selisih_persen, reasons from (
+  select feedback_id, lokasi, """ + _reasons_sql(20, 10, prices=True) + """,
     kamar_tidur between 1 and 20 and kamar_mandi between 1 and 20 and garasi between 0 and 10
     and luas_tanah > 0 and luas_bangunan > 0 and length(lokasi) >= 2
     and harga_prediksi between 10000000 and 500000000000 and harga_asli between 10000000 and 500000000000 as is_valid,
@@ -108,19 +120,21 @@ select feedback_id, lokasi, is_valid, selisih_persen from (
   from feedback)""", fixtures=("feedback",)))
 def feedback_validation(spark, sf):
     fb = C.validate_feedback(fx.feedback(spark, sf))
-    return fb.select("feedback_id", "lokasi", "is_valid",
+    return fb.select("feedback_id", "lokasi", "is_valid", F.concat_ws(",", "reasons").alias("reasons"),
                      X.deviation_pct("harga_asli", "harga_prediksi").alias("selisih_persen"))
 
 
 # ---- more cleaning / validation ----------------------------------------------------------
 
 @register("request_validation", ids="C13 F20", sql=sql("""
-select event_id,
+select event_id, """ + _reasons_sql(10, 5, top_k=True) + """,
   (kamar_tidur between 1 and 10) and (kamar_mandi between 1 and 10) and (garasi between 0 and 5)
-  and luas_tanah > 0 and luas_bangunan > 0 and length(lokasi) >= 2 as is_valid
+  and luas_tanah > 0 and luas_bangunan > 0 and length(lokasi) >= 2
+  and coalesce(try_cast(json_extract_string(payload, '$.input.top_k') as int), 3) between 1 and 20 as is_valid
 from ev""", "ev"))
 def request_validation(spark, sf):
-    return C.validate_requests(jobs.prediction_events(spark, sf)).select("event_id", "is_valid")
+    return C.validate_requests(jobs.prediction_events(spark, sf)).select(
+        "event_id", "is_valid", F.concat_ws(",", "reasons").alias("reasons"))
 
 
 @register("unprocessed_feedback", ids="C15 J4", sql=sql("""
@@ -466,15 +480,8 @@ def scenario_grid(spark, sf):
 select listing_id, feature, round(b - a, 6) as diff from u where abs(b - a) > 0.0001""", "reg"))
 def scenario_feature_diff(spark, sf):
     reg = jobs.clean_regression_table(spark, sf)
-    names = ["rasio_bangunan_tanah", "harga_per_m2_tanah", "luas_total", "log_luas_tanah"]
-
     def feats(lt: float):
-        f = X.classification_features()
-        sub = {"rasio_bangunan_tanah": F.col("luas_bangunan") / F.lit(lt + 1),
-               "harga_per_m2_tanah": F.col("harga") / F.lit(lt + 1),
-               "luas_total": F.lit(lt) + F.col("luas_bangunan"),
-               "log_luas_tanah": F.log1p(F.lit(lt))}
-        return {n: sub.get(n, f[n]) for n in names}
+        return X.classification_features({"luas_tanah": F.lit(lt)})
 
     d = J.feature_diff(reg, feats(100.0), feats(200.0), "listing_id")
     return d.select("listing_id", "feature", F.round("diff", 6).alias("diff"))

@@ -51,7 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # Unset: only happens in local tests.  A cluster always names a shared folder.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir is unset: a cluster must name a folder that all its machines share")
         configured = tempfile.mkdtemp(prefix="propwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -64,12 +65,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", name)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared checkpoint folder (reliable, survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 # Row counts of stored tables written by ``materialize`` (path -> rows), measured by an
 # Observation during the write itself (no extra job).
 _STORED_ROWS: dict[str, int] = {}
@@ -130,12 +125,14 @@ def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> D
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy step at least one partition per core.
 
-    Large inputs already arrive in many file splits and pass through untouched;
-    only a table smaller than the cluster's parallelism (e.g. one small stored
-    file) is round-robin repartitioned.
+    Inputs that already arrive in as many file splits pass through untouched; a smaller one
+    is round-robin repartitioned.  The size is the optimizer's estimate: nothing runs for it.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(target) if int(str(size)) < target * int(split) else df
 
 
 def first_row(df: DataFrame) -> dict:

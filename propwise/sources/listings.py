@@ -6,6 +6,8 @@ headers are normalised, then one projection parses every column (F1-F4).
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,32 +40,63 @@ def _norm(name: str) -> str:
 
 
 def read_listings_csv(spark: SparkSession, path: str, header_names: list[str] | None = None) -> DataFrame:
-    """Scan listing CSV with every column as text (explicit schema, no inference).
+    """Scan listing CSV files with every column as text, each file by its own header.
 
-    ``header_names`` gives the file's header; when omitted it is read from the
-    first line of the input (a one-line read, not a data pass).
+    Spark's reader takes one header for all files, so files are grouped by their header line
+    (read from the files' first lines; quoted names included) and each group is read with its
+    own schema.  Column names are united across groups; a column that a file lacks is null.
     """
-    if header_names is None:
-        first = spark.read.text(path).limit(1).collect()
-        header_names = [h.strip().strip('"') for h in first[0][0].split(",")] if first else []
-    schema = T.StructType([T.StructField(h, T.StringType(), True) for h in header_names])
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    if header_names is not None:
+        return _read_csv(spark, [path], header_names)
+    # the first line of each file: all lines that start at byte 0
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("at"),
+                                         F.monotonically_increasing_id().alias("pos"))
+    first = lines.where("at = 0").groupBy("file").agg(F.min_by("value", "pos").alias("header"))
+    by_header: dict[str, list[str]] = {}
+    for r in first.collect():  # one short row for each file
+        by_header.setdefault(r["header"], []).append(r["file"])
+    out = None
+    for header in sorted(by_header):
+        names = next(csv.reader([header.lstrip("\ufeff")]))
+        part = _read_csv(spark, sorted(by_header[header]), [n.strip() for n in names])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return spark.createDataFrame([], T.StructType()) if out is None else out
+
+
+def _read_csv(spark: SparkSession, paths: list[str], names: list[str]) -> DataFrame:
+    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
+    return (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
+            .option("mode", "PERMISSIVE").csv(paths))
 
 
 def normalize_columns(df: DataFrame, required: list[str] = CANONICAL) -> DataFrame:
-    """Rename aliases to canonical names, drop Page; fail listing missing columns."""
-    renames = {}
+    """Rename aliases to canonical names, drop Page; fail listing missing columns.
+
+    Where several columns mean the same (``lokasi`` and ``Kecamatan``), the canonical spelling
+    wins and fills its nulls from the others, in the order they stand.
+    """
+    meant: dict[str, list[str]] = {}
+    for c in df.columns:
+        target = _ALIASES.get(_norm(c))
+        if target:
+            meant.setdefault(target, []).append(c)
+    cols, done = [], set()
     for c in df.columns:
+        if _norm(c) in _DROP:
+            continue
         target = _ALIASES.get(_norm(c))
-        if target and target not in renames.values() and c != target:
-            renames[c] = target
-    out = df.withColumnsRenamed(renames) if renames else df
-    drop = [c for c in out.columns if _norm(c) in _DROP]
-    out = out.drop(*drop)
-    missing = [c for c in required if c not in out.columns]
+        if target is None:
+            cols.append(F.col(f"`{c}`"))
+        elif target not in done:
+            done.add(target)
+            same = sorted(meant[target], key=lambda n: n != target)
+            cols.append(F.coalesce(*[F.col(f"`{n}`") for n in same]).alias(target) if len(same) > 1
+                        else F.col(f"`{same[0]}`").alias(target))
+    missing = [c for c in required if c not in done]
     if missing:
         raise MissingColumnsError(f"missing required columns: {missing}")
-    return out
+    return df.select(*cols)
 
 
 def ingest_raw(df: DataFrame) -> DataFrame:
@@ -75,9 +108,9 @@ def ingest_raw(df: DataFrame) -> DataFrame:
     return df.select(
         *keep,
         X.parse_price("harga").alias("harga"),
-        X.coerce_numeric("kamar_tidur").cast("int").alias("kamar_tidur"),
-        X.coerce_numeric("kamar_mandi").cast("int").alias("kamar_mandi"),
-        X.fill_garage(X.coerce_numeric("garasi")).cast("int").alias("garasi"),
+        X.coerce_numeric("kamar_tidur").try_cast("int").alias("kamar_tidur"),
+        X.coerce_numeric("kamar_mandi").try_cast("int").alias("kamar_mandi"),
+        X.fill_garage(X.coerce_numeric("garasi").try_cast("int")).alias("garasi"),
         X.parse_area("luas_tanah").alias("luas_tanah"),
         X.parse_area("luas_bangunan").alias("luas_bangunan"),
         F.col("lokasi").cast("string").alias("lokasi"),

@@ -52,3 +52,51 @@ def test_silhouette_in_range(spark, tables):
     _, _, clu = tables
     cm = MD.train_market_clusters(clu, k=3, restarts=1, max_iter=10)
     assert -1.0 <= cm.silhouette <= 1.0
+
+
+def test_stored_models_serve_the_same_scores(spark, tables, scratch):
+    """Train, store, reload in a new session: price; segment and cluster with the price estimated."""
+    from propwise.sources import model_store as MS
+    reg, cls, clu = tables
+    pm, _ = MD.train_price_models(reg, max_iter=5, max_depth=3, step_size=0.1)
+    sm, _ = MD.train_segment_model(cls, num_trees=5, max_depth=4)
+    cm = MD.train_market_clusters(clu, k=3, restarts=1, max_iter=5, pca_k=4)
+    for name, m in (("price", pm), ("segment", sm), ("cluster", cm)):
+        assert MS.publish(spark, scratch, name, m, {"x": 1.0}, {"y": 2}) == 1
+    rows = reg.limit(100).select("listing_id", *MD.REQUIRED, "garasi", F.lit(None).cast("double").alias("harga")).toPandas()
+    other = spark.newSession()
+    loaded = [MS.load_current(other, scratch, n) for n in ("price", "segment", "cluster")]
+    out = []
+    for s, (a, b, c) in ((spark, (pm, sm, cm)), (other, loaded)):
+        df = s.createDataFrame(rows, "listing_id long, kamar_tidur int, kamar_mandi int, luas_tanah double, "
+                                     "luas_bangunan double, lokasi string, garasi int, harga double")
+        out.append(sorted(map(str, MD.batch_score(df, a, b, c, "listing_id").collect())))
+    assert out[0] == out[1] and len(out[0]) == 100
+    MS._write_json(spark, {"features": ["a"]}, MS.version_path(scratch, "segment", 1) + "/values")
+    with pytest.raises(MS.ContractError):
+        MS.load_current(other, scratch, "segment")
+
+
+def test_batch_score_keeps_every_row(spark, tables):
+    reg, cls, clu = tables
+    pm, _ = MD.train_price_models(reg, max_iter=3, max_depth=3, step_size=0.1)
+    sm, _ = MD.train_segment_model(cls, num_trees=3, max_depth=3)
+    cm = MD.train_market_clusters(clu, k=3, restarts=1, max_iter=3)
+    raw = jobs.raw_property_table(spark, SF01)
+    df = raw.select(F.col("listing_id").alias("row_index"), *MD.REQUIRED, "garasi", F.lit(None).cast("double").alias("harga"))
+    got = MD.batch_score(df, pm, sm, cm).toPandas()
+    lacking = raw.filter(" or ".join(f"{c} is null" for c in MD.REQUIRED)).count()
+    assert len(got) == raw.count() and got.row_index.is_unique and 0 < lacking == got.reason.notna().sum()
+    assert got[got.reason.notna()].harga_estimasi.isna().all() and got[got.reason.isna()].kelas_id.notna().all()
+    plan = MD.batch_score(df, pm, sm, cm)._jdf.queryExecution().executedPlan().toString()
+    assert "Join [row_index" not in plan  # one pass over the rows: only lookups per area and cluster join
+
+
+def test_areas_that_differ_in_marks_stay_apart(spark, tables):
+    _, cls, _ = tables
+    names = ["Pancoran Mas", "Pancoran-Mas", "pancoran mas"]
+    df = cls.withColumn("lokasi", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("listing_id") % 3 + 1).cast("int")))
+    sm, _ = MD.train_segment_model(df, num_trees=2, max_depth=2)
+    assert [f for f in sm.features if f.startswith("lokasi_")] == [f"lokasi_{n}" for n in sorted(names)]
+    unknown = sm.encoder.transform(MD.segment_numbers(cls.limit(1).withColumn("lokasi", F.lit("elsewhere")))).first()["features"]
+    assert unknown.size == len(sm.features) and not any(unknown.toArray()[-3:])

@@ -66,3 +66,43 @@ def test_feature_contract(spark):
     sel, rep = select_feature_contract(df, ["b", "a", "c"])
     assert sel.columns == ["b", "a"] and rep == {"missing": ["c"], "extra": ["z"]}
     assert align_columns(["a", "c"], df).first().asDict() == {"a": 1.0, "c": 0.0}
+
+
+def test_csv_files_with_other_column_order_and_quoted_headers(spark, scratch):
+    import pathlib
+    pathlib.Path(scratch, "a.csv").write_text('Harga,"Luas Tanah",Lokasi\n1,2,A\n3,4,B\n')
+    pathlib.Path(scratch, "b.csv").write_text('"Lokasi","Extra, quoted","Luas Tanah",Harga\n"C, c",x,6,5\n')
+    df = S.read_listings_csv(spark, scratch)
+    rows = sorted((r["Harga"], r["Luas Tanah"], r["Lokasi"], r["Extra, quoted"]) for r in df.collect())
+    assert rows == [("1", "2", "A", None), ("3", "4", "B", None), ("5", "6", "C, c", "x")]
+
+
+def test_columns_that_mean_the_same_are_one(spark):
+    df = spark.createDataFrame([(None, "K", "1", "p"), ("L", "M", "2", "q")], "Kecamatan string, lokasi string, Harga string, page string")
+    got = S.normalize_columns(df, required=["harga", "lokasi"])
+    assert got.columns == ["lokasi", "harga"] and [tuple(r) for r in got.collect()] == [("K", "1"), ("M", "2")]
+
+
+def test_bad_cells_become_null(spark):
+    cells = ["99999999999", "NaN", "inf", "n/a", "3", "3.0", None]
+    df = spark.createDataFrame([("1", c, c, c, "1", "1", "A") for c in cells],
+                               "harga string, kamar_tidur string, kamar_mandi string, garasi string, luas_tanah string, "
+                               "luas_bangunan string, lokasi string")
+    got = S.ingest_raw(df).collect()
+    assert [r["kamar_tidur"] for r in got] == [None, None, None, None, 3, 3, None]
+    assert [r["garasi"] for r in got] == [0, 0, 0, 0, 3, 3, 0]
+
+
+def test_checkpoint_folder_must_be_named_on_a_cluster():
+    from propwise import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: {})
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())

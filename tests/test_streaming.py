@@ -163,14 +163,22 @@ def test_feedback_stream_with_real_retrain(spark, scratch):
     src = os.path.join(scratch, "src")
     rows.withColumn("_p", F.pmod("event_id", F.lit(2))).write.partitionBy("_p").json(src)
     root, reg = os.path.join(scratch, "fb"), os.path.join(scratch, "registry")
-    retrain = make_retrain(lambda sp: jobs.clean_regression_table(sp, SF001), reg, secondary=True, max_iter=5)
+    retrain = make_retrain(lambda sp: jobs.clean_regression_table(sp, SF001), reg, secondary=True,
+                           price={"max_iter": 5}, segment={"num_trees": 5, "max_depth": 4},
+                           clusters={"k": 3, "restarts": 1, "max_iter": 5})
     stream = SJ.read_feedback_stream(spark, src, max_files=1)
     SJ.feedback_stream(stream, root, os.path.join(scratch, "ck"), threshold=300, retrain=retrain).awaitTermination()
     status = SJ.run_status(spark.read.parquet(os.path.join(root, "ledger"))).collect()
     assert status and all(r["status"] == "success" and r["score"] > 0 for r in status)
-    versions = REG.versions(spark, reg).orderBy("version").collect()
-    assert len(versions) == len(status) and versions[-1]["stage"] == "Production"
-    assert REG.read_model_metadata(spark, reg, "price")["batas_segmen"] > 0
+    for name in ("price", "segment", "cluster"):
+        versions = REG.versions(spark, reg).filter(F.col("model") == name).orderBy("version").collect()
+        assert len(versions) == len(status) and versions[-1]["stage"] == "Production"
+    meta = REG.read_model_metadata(spark, reg, "price")
+    assert meta["batas_segmen"] > 0 and meta["metrics"]["overall"]["mape"] > 0
+    assert REG.read_model_metadata(spark, reg, "segment")["report"]
+    # what serves is what the last run stored
+    from propwise.sources import model_store as MS
+    assert MS.load_current(spark, reg, "price").threshold == meta["batas_segmen"]
 
 
 def _value(fb):
