@@ -82,12 +82,18 @@ def cluster_summary(df: DataFrame, cluster_col: str = "cluster_id") -> DataFrame
 
     Clusters are few and one may hold most rows: medians come from
     ``group_quantiles`` (percentile buffers, or refinement for a hot cluster)."""
-    from .quantiles import group_quantiles
-    out = df.groupBy(cluster_col).agg(
-        F.count(F.lit(1)).alias("jumlah_data"),
-        F.min("harga").alias("harga_min"),
-        F.max("harga").alias("harga_max"),
-    )
+    from ..session import first_row, stored_row_bound
+    from .quantiles import MAX_DISTINCT_FOR_PERCENTILE, group_quantiles
+    basic = [F.count(F.lit(1)).alias("jumlah_data"), F.min("harga").alias("harga_min"), F.max("harga").alias("harga_max")]
+    three = ("harga", "luas_tanah", "luas_bangunan")
+    bound = stored_row_bound(df)
+    if bound is None or bound > MAX_DISTINCT_FOR_PERCENTILE:
+        d = df.groupBy(cluster_col).agg(*[F.approx_count_distinct(c).alias(c) for c in three])
+        bound = max(v or 0 for v in first_row(d.agg(*[F.max(c).alias(c) for c in three])).values())
+    if bound <= MAX_DISTINCT_FOR_PERCENTILE:  # all medians in the one aggregate
+        return df.groupBy(cluster_col).agg(*basic, *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"{c}_median")
+                                                     for c in three])
+    out = df.groupBy(cluster_col).agg(*basic)
     for c, name in (("harga", "harga_median"), ("luas_tanah", "luas_tanah_median"),
                     ("luas_bangunan", "luas_bangunan_median")):
         med = group_quantiles(df, cluster_col, F.col(c), [0.5]).select(cluster_col, F.col("q")[0].alias(name))
@@ -142,11 +148,6 @@ def rank_clusters(df: DataFrame, cluster_col: str = "cluster_id", price: str = "
         "cluster_label", X.cluster_name("rank_id", on_write=True))
 
 
-def top_areas(stats: DataFrame, n: int = 10) -> DataFrame:
-    """Order by count desc (name tiebreak) limit n -> TakeOrderedAndProject."""
-    return stats.orderBy(F.col("total_data").desc(), F.col("lokasi").asc()).limit(n)
-
-
 def last_n_per_key(df: DataFrame, key: str, ts: str, n: int = 50, tiebreak: str | None = None) -> DataFrame:
     """Newest n entries per key, newest first (window group limit is planned)."""
     order = [F.col(ts).desc()] + ([F.col(tiebreak).desc()] if tiebreak else [])

@@ -75,11 +75,6 @@ def feedback_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid.withColumn("selisih_persen", X.deviation_pct("harga_asli", "harga_prediksi"))
 
 
-def feedback_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fb = C.validate_feedback(fx.feedback(spark, sf_dir))
-    return C.split_valid(fb)[1]
-
-
 def clustered_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clustering-clean rows with a fixed assignment (price segment -> cluster id).
 
