@@ -49,16 +49,17 @@ def explode_salts(mask: str, salts: int = SALTS) -> Column:
     return F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(`{mask}`, s) & 1L) = 1L)"))
 
 
-def smallest(df: DataFrame, by: str, order: list[str], n: int, ways: int = 32) -> DataFrame:
+def smallest(df: DataFrame, by: str, order: list[str], n: int, ways: tuple[int, ...] = (32, 4, 1)) -> DataFrame:
     """The ``n`` first rows of each ``by``, in ``order``.
 
-    A hot key is cut in ``ways`` before its rows meet, so the last step gets ``ways * n`` of them at most.
+    A hot key is cut in 32 before its rows meet, then in 4, so a task gets ``8 * n`` of what was
+    kept before at most.  Each number of ways must divide the one before it.
     """
-    rank = F.row_number().over(Window.partitionBy(by, "__way").orderBy(*order))
-    cut = (df.withColumn("__way", F.pmod(F.xxhash64(*order), F.lit(ways))).withColumn("__n", rank)
-           .where(F.col("__n") <= n).drop("__way", "__n"))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return cut.withColumn("__n", rank).where(F.col("__n") <= n).drop("__n")
+    for w in ways:
+        rank = F.row_number().over(Window.partitionBy(by, "__way").orderBy(*order))
+        df = (df.withColumn("__way", F.pmod(F.xxhash64(*order), F.lit(w))).withColumn("__n", rank)
+              .where(F.col("__n") <= n).drop("__way", "__n"))
+    return df
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
