@@ -30,6 +30,8 @@ from .common import SALTS, explode_salts, salt_of, shared_path, stage
 
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
+#: Tasks that read ranges, at most; more ranges share them.
+MAX_TASKS = 20_000
 READ_BYTES = 1 << 20
 #: Compressed bytes decoded at once.
 STEP_BYTES = 1 << 14
@@ -248,7 +250,8 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return ranges.repartition("path", "start").mapInArrow(run, RECORD_SCHEMA)
+    # a task for each range: adaptive execution would join these short rows into one task
+    return ranges.repartition(max(1, min(ranges.count(), MAX_TASKS))).mapInArrow(run, RECORD_SCHEMA)
 
 
 def round_trip(pages: DataFrame, **how) -> DataFrame:
