@@ -130,7 +130,7 @@ def fit_segment_encoder(df: DataFrame):
     """F11 at any number of areas: index + sparse one-hot; an unknown area is all zeros."""
     return Pipeline(stages=[
         StringIndexer(inputCol="lokasi", outputCol="_area", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=["_area"], outputCols=["_area_vec"], handleInvalid="keep", dropLast=True),
+        OneHotEncoder(inputCols=["_area"], outputCols=["_area_vec"], dropLast=True),
         VectorAssembler(inputCols=[*SEGMENT_NUMBERS, "_area_vec"], outputCol="features", handleInvalid="keep"),
     ]).fit(df)
 
