@@ -49,11 +49,11 @@ def explode_salts(mask: str, salts: int = SALTS) -> Column:
     return F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> (shiftright(`{mask}`, s) & 1L) = 1L)"))
 
 
-def smallest(df: DataFrame, by: str, order: list[str], n: int, ways: tuple[int, ...] = (32, 4, 1)) -> DataFrame:
+def smallest(df: DataFrame, by: str, order: list[str], n: int, ways: tuple[int, ...] = (256, 32, 4, 1)) -> DataFrame:
     """The ``n`` first rows of each ``by``, in ``order``.
 
-    A hot key is cut in 32 before its rows meet, then in 4, so a task gets ``8 * n`` of what was
-    kept before at most.  Each number of ways must divide the one before it.
+    A hot key is cut in 256 before its rows meet, then in 32 and 4, so a task gets ``8 * n`` of what
+    was kept before at most.  Each number of ways must divide the one before it.
     """
     for w in ways:
         rank = F.row_number().over(Window.partitionBy(by, "__way").orderBy(*order))
