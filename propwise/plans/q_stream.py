@@ -87,7 +87,7 @@ def latest_prediction_cache(spark, sf):
 
 # Feedback cut into fixed micro-batches of uneven size: batch b holds the events whose id modulo
 # 100 lies below the b-th bound (and not below an earlier one).
-_CUTS = (1, 3, 6, 12, 25, 50, 51, 100)
+_CUTS = (2, 6, 25, 26, 100)
 _BATCH_SQL = "case " + " ".join(f"when feedback_id % 100 < {c} then {b}" for b, c in enumerate(_CUTS)) + " end"
 
 # The handler's rule: after each batch, if the pending rows reach the threshold, a run takes all of them.
