@@ -67,14 +67,13 @@ def features(texts: list[str | None]) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> np.ndarray:
     """Weights and bias of a linear SVM (squared hinge, classes weighted alike); ``y`` is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)  # the bias is the last weight
     v, t = w.copy(), 1.0
-    rate = 1.0 / (1.0 + 2 * c * float((share[:, None] * x * x).sum()))  # above the curvature
+    rate = 1.0 / (1.0 + 2 * c * float(share @ (np.einsum("ij,ij->i", x, x) + 1)))  # above the curvature
     for _ in range(steps):  # accelerated gradient steps
-        gap = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (v - 2 * c * (x.T @ (share * gap * y)))
+        pull = share * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) * y
+        new = v - rate * (v - 2 * c * np.append(x.T @ pull, pull.sum()))
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         v = new + (old - 1) / t * (new - w)
         w = new
@@ -105,12 +104,11 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and a score from 0 to 1: how clear the family and the closest duel were."""
         x = features(texts)
-        x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
         squash = lambda m: 1 / (1 + np.exp(-2.0 * m.astype(np.float64)))
         if self.top is None:
             pick, score = np.zeros(len(x), int), np.ones(len(x))
         else:
-            margin = x1 @ self.top
+            margin = x @ self.top[:-1] + self.top[-1]
             pick, score = margin.argmax(axis=1), squash(margin.max(axis=1))
         names = np.empty(len(x), object)
         for k, f in enumerate(self.families):
@@ -119,7 +117,7 @@ class LanguageModel:
             if w is None or not len(rows):
                 names[rows] = own[0]
                 continue
-            margin = x1[rows] @ w
+            margin = x[rows] @ w[:-1] + w[-1]
             votes = np.zeros((len(rows), len(own)))
             for j, (a, b) in enumerate(duels):
                 # a vote each; the margins, squashed below one vote, settle ties
@@ -167,10 +165,11 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
     got = rows.mapInArrow(run, "lang string, h bigint, x binary").dropDuplicates(["lang", "h"]).toArrow()
     if not got.num_rows:
         return None
-    x = np.stack([np.frombuffer(b, np.float16) for b in got.column("x").to_pylist()]).astype(np.float32)
-    names = got.column("lang").to_pylist()
-    order = sorted(range(len(names)), key=lambda i: (names[i], x[i].tobytes()))  # the same sums on every run
-    return LanguageModel(x[order], [names[i] for i in order])
+    got = got.sort_by([("lang", "ascending"), ("h", "ascending")])  # the same sums on every run
+    x = np.empty((got.num_rows, BUCKETS), np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    return LanguageModel(x, got.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None, text: str = "text", doc_id: str = "doc_id",
