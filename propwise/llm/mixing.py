@@ -1,12 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slots: the first ``slots = 2 ** k`` van der Corput points ``(reverse(i) + 1/2) / 2 ** k`` are
-mapped through the cumulative targets, so slot ``i`` belongs to the source whose interval
-holds its point, and every run of slots holds each source close to its share.  The ``r``-th
-slot of a source takes the ``r``-th block of that source's stream.  A stream is the source's
-documents in hashed order, repeated as often as needed; all blocks hold the same number of
-words (``total / slots``, cut at the floor).  Only block sums per (source, hash range) are
-summed up in order, so no task holds a whole source.
+Slots: the sources' takings lie end to end on a line, which ``2 ** k`` points cut in pieces of the
+same number of words.  Slot ``i`` is the piece at the van der Corput point ``reverse(i)``, so every
+run of slots holds each source close to its share; a piece that several sources meet is shared by
+them, so a source takes its target to the word however small it is.  The ``r``-th slot of a source
+takes the ``r``-th block of that source's stream: its documents in hashed order, repeated as often
+as needed.  Places on the line are counted in ``2 ** -k`` words, so all is whole numbers.  Only
+block sums per (source, hash range) are summed up in order, so no task holds a whole source.
 """
 
 from __future__ import annotations
@@ -61,17 +61,73 @@ def targets(totals: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS)
     return t.withColumn("target", F.least("__cap", F.coalesce(F.col("__level") * F.col("__w"), F.col("__cap"))))
 
 
-def schedule(goal: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """``(KEY, slot, rank)``: the ``2 ** slot_bits`` slots, each with its source and rank there."""
-    slots = 1 << slot_bits
-    upto = F.sum("target").over(Window.partitionBy(F.lit(0)).orderBy(*KEY))
-    cut = lambda c: F.when(F.col("__total") > 0, F.round(c / F.col("__total") * slots)).otherwise(0).cast("bigint")
-    points = (goal.withColumn("__to", upto).withColumn("__lo", cut(F.col("__to") - F.col("target")))
-              .withColumn("__hi", cut(F.col("__to"))).where("__hi > __lo")
-              .select(*KEY, F.explode(F.sequence("__lo", F.col("__hi") - 1)).alias("__point")))
-    slot = F.conv(F.reverse(F.lpad(F.bin("__point"), slot_bits, "0")), 2, 10).cast("bigint")
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy("slot")) - 1
-    return points.withColumn("slot", slot).withColumn("rank", rank.cast("bigint")).drop("__point")
+def reversed_bits(point, bits: int):
+    return F.conv(F.reverse(F.lpad(F.bin(point), bits, "0")), 2, 10).cast("bigint")
+
+
+def rank_of_point(point: str, first: str, last: str, bits: int):
+    """How many of the points ``first`` to ``last`` have a smaller slot than ``point``.
+
+    Slots below that of ``p`` are, for each bit ``m`` set in ``p``, the points that end in ``p``'s
+    bits below ``m`` with bit ``m`` clear; those below ``x`` are counted by one shift.
+    """
+    below = lambda x: "+".join(
+        f"(shiftright({point}, {m}) & 1L) * shiftright({x} - ({point} & {(1 << m) - 1}L) + {(2 << m) - 1}L, {m + 1})"
+        for m in range(bits))
+    return F.expr(f"({below(f'({last} + 1L)')}) - ({below(first)})")
+
+
+def on_line(goal: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
+    """``goal`` with each source's words to take and its place on the line.
+
+    A source takes its target, rounded, and one word at least if it has a target at all.
+    ``__ra`` and ``__rb`` are the ranks of its first and last point, by slot; ``__da`` and
+    ``__db`` say how much their pieces lack of a whole one.
+    """
+    least = F.when(F.col("target") > 0, 1).otherwise(0)
+    take = F.least(F.greatest(F.round("target").cast("bigint"), least), F.col("__cap").cast("bigint"))
+    goal = (goal.withColumn("__take", take)
+            .withColumn("__block", F.nullif(F.sum("__take").over(Window.partitionBy(F.lit(0))), F.lit(0)))
+            .withColumn("__hi", F.sum("__take").over(Window.partitionBy(F.lit(0)).orderBy(*KEY)) * F.lit(1 << slot_bits))
+            .withColumn("__lo", F.col("__hi") - F.col("__take") * F.lit(1 << slot_bits))
+            .withColumn("__p", F.expr("__lo div __block")).withColumn("__q", F.expr("(__hi - 1) div __block")))
+    first = F.col("__block") - (F.least("__hi", (F.col("__p") + 1) * F.col("__block")) - F.col("__lo"))
+    last = F.when(F.col("__q") > F.col("__p"), (F.col("__q") + 1) * F.col("__block") - F.col("__hi")).otherwise(0)
+    rank = lambda x: rank_of_point(x, "__p", "__q", slot_bits)
+    ends = F.array_sort(F.array(F.struct(rank("__p").alias("r"), first.alias("d")),
+                                F.struct(rank("__q").alias("r"), last.cast("bigint").alias("d"))))
+    return (goal.withColumn("__ends", ends).withColumn("__ra", F.col("__ends")[0]["r"])
+            .withColumn("__da", F.col("__ends")[0]["d"]).withColumn("__rb", F.col("__ends")[1]["r"])
+            .withColumn("__db", F.col("__ends")[1]["d"]).drop("__ends"))
+
+
+def schedule(line: DataFrame, slot_bits: int = SLOT_BITS) -> DataFrame:
+    """``(KEY, __slot, __rank, __first, __last)``: each source's slots, ranked, with the words of its stream there.
+
+    Words go from ``__first`` up to ``__last``.  There are ``2 ** slot_bits`` slots, and one row
+    more for each source that shares one.
+    """
+    points = (line.where("__take > 0").withColumn("__point", F.explode(F.sequence("__p", "__q")))
+              .withColumn("__slot", reversed_bits(F.col("__point"), slot_bits))
+              .withColumn("__rank", rank_of_point("__point", "__p", "__q", slot_bits)))
+    at = (F.col("__rank") * F.col("__block") - F.when(F.col("__rank") > F.col("__ra"), F.col("__da")).otherwise(0)
+          - F.when(F.col("__rank") > F.col("__rb"), F.col("__db")).otherwise(0))
+    width = (F.least("__hi", (F.col("__point") + 1) * F.col("__block"))
+             - F.greatest("__lo", F.col("__point") * F.col("__block")))
+    return points.select(*KEY, "__slot", "__rank", F.shiftright(at, slot_bits).alias("__first"),
+                         F.shiftright(at + width, slot_bits).alias("__last"))
+
+
+def rank_of_word(word, slot_bits: int):
+    """Rank, in its source, of the slot that holds word ``word`` of the stream (``on_line``'s columns)."""
+    u = (word + 1) * F.lit(1 << slot_bits) - 1
+    a, b = F.col("__da"), F.col("__da") + F.col("__db")
+    places = (F.when(u < (F.col("__ra") + 1) * F.col("__block") - a, u)
+              .when(u < (F.col("__rb") + 1) * F.col("__block") - b, u + a).otherwise(u + b))
+    return F.call_function("div", places, F.col("__block"))
+
+
+LINE = ["__take", "__block", "__ra", "__da", "__rb", "__db"]
 
 
 def streams(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str = "doc_id", source: str = "source",
@@ -84,13 +140,9 @@ def streams(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str =
     sums = (sums.withColumn("__from", F.sum("__sum").over(by.orderBy("__range")) - F.col("__sum"))
             .withColumn("source_size", F.sum("__sum").over(by)))
     goal = targets(sums.groupBy(*KEY).agg(F.max("source_size").alias("source_size")), weights, max_repeats)
-    slots = schedule(goal, slot_bits)
-    # words taken of a source: its slots' blocks, at most max_repeats times all it has
-    ranked = goal.join(slots.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n")), KEY, "left")
-    block = F.col("__total") / F.lit(float(1 << slot_bits))
-    words = F.least(F.floor(F.coalesce("__n", F.lit(0)) * block), F.col("source_size") * max_repeats).cast("bigint")
-    ranked = ranked.select(*KEY, "target", block.alias("__block"), words.alias("__take"))
-    place = sums.join(ranked, KEY).select(*KEY, "__range", "__from", "source_size", "target", "__block", "__take")
+    line = on_line(goal, slot_bits)
+    place = sums.join(line.select(*KEY, "target", *LINE), KEY).select(
+        *KEY, "__range", "__from", "source_size", "target", *LINE)
     inside = Window.partitionBy(*KEY, "__range").orderBy("__h", "__id", "size").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     placed = (rows.join(place, [*KEY, "__range"])
@@ -99,7 +151,8 @@ def streams(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str =
     placed = placed.withColumn("__whole", whole.cast("bigint")).withColumn(
         "__part", F.greatest(F.lit(0), F.least(
             F.col("size"), F.col("__take") - F.col("__whole") * F.col("source_size") - F.col("__at"))).cast("bigint"))
-    return placed.withColumn("taken", F.col("__whole") * F.col("size") + F.col("__part")), slots
+    return (placed.withColumn("taken", F.col("__whole") * F.col("size") + F.col("__part")),
+            schedule(line, slot_bits))
 
 
 def mix(docs: DataFrame, carry: list[str] | None = None, **how) -> DataFrame:
@@ -123,13 +176,13 @@ def mixture(docs: DataFrame, carry: list[str], **how) -> DataFrame:
     runs = (rows.where("taken > 0").withColumn("pass", reps)
             .withColumn("__a", F.col("pass") * F.col("source_size") + F.col("__at"))
             .withColumn("__z", F.least(F.col("__a") + F.col("size"), F.col("__take"))).where("__z > __a"))
-    # block r holds words floor(r * block) up to floor((r + 1) * block)
-    block_of = lambda c: F.ceil((c + 1) / F.col("__block")) - 1
-    runs = runs.withColumn("rank", F.explode(F.sequence(block_of(F.col("__a")), block_of(F.col("__z") - 1))))
-    lo = F.greatest(F.col("__a"), F.floor(F.col("rank") * F.col("__block")))
-    hi = F.least(F.col("__z"), F.floor((F.col("rank") + 1) * F.col("__block")))
-    return (runs.join(slots, [*KEY, "rank"])
-            .select(*carry, "slot", "pass", (lo - F.col("__a")).alias("first_word"), (hi - lo).alias("n_words"))
+    bits = how.get("slot_bits", SLOT_BITS)
+    runs = runs.withColumn("__rank", F.explode(F.sequence(rank_of_word(F.col("__a"), bits),
+                                                          rank_of_word(F.col("__z") - 1, bits))))
+    lo, hi = F.greatest("__a", "__first"), F.least("__z", "__last")
+    return (runs.join(slots, [*KEY, "__rank"])
+            .select(*carry, F.col("__slot").alias("slot"), "pass", (lo - F.col("__a")).alias("first_word"),
+                    (hi - lo).alias("n_words"))
             .where("n_words > 0"))
 
 

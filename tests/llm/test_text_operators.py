@@ -277,6 +277,20 @@ def test_mixed_documents_are_the_mix(spark, docs, whole):
     assert mixing.mixed_documents(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixing_takes_a_tiny_source_beside_a_huge_one(spark):
+    text = "array_join(transform(sequence(1, {0}), i -> 'w' || i), ' ') as text"
+    huge = spark.range(600).selectExpr("id as doc_id", text.format(5000), "'huge' as source")
+    small = spark.range(600, 640).selectExpr(
+        "id as doc_id", text.format("cast(1 + id % 4 as int)"), "'tiny' || id as source")
+    got = mixing.mix(huge.union(small), carry=["doc_id", "source"]).collect()
+    goal, taken = {}, {}
+    for r in got:
+        goal[r.source] = r.target
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert len(goal) == 41 and min(goal.values()) * 2 ** mixing.SLOT_BITS < sum(goal.values())
+    assert all(taken[s] > 0 and abs(taken[s] - goal[s]) <= 1 for s in goal)
+
+
 # packing
 
 def check_packing(rows, got):
