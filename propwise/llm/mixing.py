@@ -147,61 +147,77 @@ def streams(docs: DataFrame, carry: list[str], text: str = "text", doc_id: str =
         Window.unboundedPreceding, Window.currentRow)
     placed = (rows.join(place, [*KEY, "__range"])
               .withColumn("__at", F.col("__from") + F.sum("size").over(inside) - F.col("size")))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("__take") / F.col("source_size"))).otherwise(0)
-    placed = placed.withColumn("__whole", whole.cast("bigint")).withColumn(
-        "__part", F.greatest(F.lit(0), F.least(
-            F.col("size"), F.col("__take") - F.col("__whole") * F.col("source_size") - F.col("__at"))).cast("bigint"))
-    return (placed.withColumn("taken", F.col("__whole") * F.col("size") + F.col("__part")),
-            schedule(line, slot_bits))
+    return placed.withColumn("__nth", F.row_number().over(inside)), schedule(line, slot_bits)
+
+
+#: One row of ``streams``: its hash range and its place there.
+ROW = [*KEY, "__range", "__nth"]
+
+
+def dealt(rows: DataFrame, slots: DataFrame, carry: list[str], max_repeats: int = MAX_REPEATS,
+          slot_bits: int = SLOT_BITS, whole: bool = False, **_) -> DataFrame:
+    """``carry`` of ``rows`` with ``__slot, __pass, __from_word, __n_words`` for each run of words in a slot.
+
+    ``whole``: one row for each copy of a document, in the slot that its first word is in.
+    """
+    reps = F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1)))
+    runs = (rows.where("size > 0").withColumn("__pass", reps)
+            .withColumn("__a", F.col("__pass") * F.col("source_size") + F.col("__at"))
+            .withColumn("__z", F.least(F.col("__a") + F.col("size"), F.col("__take"))).where("__z > __a"))
+    first = rank_of_word(F.col("__a"), slot_bits)
+    last = rank_of_word(F.col("__z") - 1, slot_bits)
+    runs = runs.withColumn("__rank", first if whole else F.explode(F.sequence(first, last)))
+    lo = F.col("__a") if whole else F.greatest("__a", "__first")
+    hi = F.col("__z") if whole else F.least("__z", "__last")
+    # whole copies carry their texts, the schedule has a bounded number of rows and one for each source
+    return (runs.join(F.broadcast(slots) if whole else slots, [*KEY, "__rank"])
+            .select(*carry, "__slot", "__pass", (lo - F.col("__a")).alias("__from_word"), (hi - lo).alias("__n_words"))
+            .where("__n_words > 0"))
 
 
 def mix(docs: DataFrame, carry: list[str] | None = None, **how) -> DataFrame:
     """Rows of ``docs`` (columns ``carry``, default all) with ``RESULT``; ``how`` as for ``streams``.
 
     ``size`` counts words between ASCII white space (null and empty texts: 0, so nothing of them
-    is taken); ``taken`` counts words, repeats included.  Null sources are one source, the last.
-    Rows repeated whole are documents of their own.  Null ids are ordered by their text.
+    is taken); ``taken`` counts words, repeats included: the sum of the row's runs in ``mixture``.
+    Null sources are one source, the last.  Rows repeated whole are documents of their own.  Null ids are ordered by their text.
     Columns of the input that carry a result's name are replaced.  An empty table gives an
     empty result.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
-    rows, _ = streams(docs, carry, **how)
-    return rows.select(*carry, *RESULT)
+    rows, slots = streams(docs, carry, **how)
+    took = dealt(rows, slots, ROW, **how).groupBy(*ROW).agg(F.sum("__n_words").alias("taken"))
+    return rows.join(took, ROW, "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("bigint"))).select(
+        *carry, *RESULT)
 
 
 def mixture(docs: DataFrame, carry: list[str], **how) -> DataFrame:
     """The mix itself: ``carry`` with ``slot, pass, first_word, n_words`` for each run of words in a slot."""
     rows, slots = streams(docs, carry, **how)
-    reps = F.explode(F.sequence(F.lit(0), F.lit(how.get("max_repeats", MAX_REPEATS) - 1)))
-    runs = (rows.where("taken > 0").withColumn("pass", reps)
-            .withColumn("__a", F.col("pass") * F.col("source_size") + F.col("__at"))
-            .withColumn("__z", F.least(F.col("__a") + F.col("size"), F.col("__take"))).where("__z > __a"))
-    bits = how.get("slot_bits", SLOT_BITS)
-    runs = runs.withColumn("__rank", F.explode(F.sequence(rank_of_word(F.col("__a"), bits),
-                                                          rank_of_word(F.col("__z") - 1, bits))))
-    lo, hi = F.greatest("__a", "__first"), F.least("__z", "__last")
-    return (runs.join(slots, [*KEY, "__rank"])
-            .select(*carry, F.col("__slot").alias("slot"), "pass", (lo - F.col("__a")).alias("first_word"),
-                    (hi - lo).alias("n_words"))
-            .where("n_words > 0"))
+    return dealt(rows, slots, carry, **how).select(*carry, *[
+        F.col(f"__{c}").alias(n) for c, n in (("slot", "slot"), ("pass", "pass"), ("from_word", "first_word"),
+                                              ("n_words", "n_words"))])
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **how) -> DataFrame:
-    """``docs`` as the mix takes it: each row as often as it is taken whole, then what is left of it.
+    """``docs`` as the mix takes it: each copy of a row in the slot of its first word, in slot order.
 
-    A row cut by the end of its source's share keeps its first words, joined by spaces, with
+    Texts are kept together: a copy that runs over the end of its slot's block stays one row.
+    A copy cut by the end of its source's share keeps its first words, joined by spaces, with
     ``n_chars`` counted anew (where there is such a column).  Columns are those of ``docs``.
+    Partitions are equal runs of slots, in order, so the tables written from them are too.
     """
     boxed = docs.select(F.col(text).alias("__text"), F.col(how.get("doc_id", "doc_id")).alias("__doc"),
                         F.col(how.get("source", "source")).alias("__source"),
                         F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
     how = {k: v for k, v in how.items() if k not in ("doc_id", "source")}
-    rows, _ = streams(boxed, ["__row", "__text"], text="__text", doc_id="__doc", source="__source", **how)
-    copies = F.concat(F.array_repeat(F.lit(None).cast("bigint"), (F.col("__whole") * (F.col("size") > 0).cast("bigint")).cast("int")),
-                      F.when(F.col("__part") == F.col("size"), F.array(F.lit(None).cast("bigint")))
-                      .otherwise(F.array(F.col("__part"))))
-    rows = rows.where("taken > 0").withColumn("__cut", F.explode(copies)).where("__cut is null or __cut > 0")
-    words = F.regexp_extract_all("__text", F.lit(f"({WORD})"))
+    rows, slots = streams(boxed, ["__row"], text="__text", doc_id="__doc", source="__source", **how)
+    copies = dealt(rows, slots, ["__row", "size", *KEY, "__a"], whole=True, **how)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    run = F.shiftright(F.col("__slot") * F.lit(parts), how.get("slot_bits", SLOT_BITS)).cast("int")
+    rows = (copies.repartitionById(parts, run).sortWithinPartitions("__slot", *KEY, "__a")
+            .withColumn("__cut", F.when(F.col("__n_words") < F.col("size"), F.col("__n_words"))))
+    words = F.regexp_extract_all(F.col("__row")[text], F.lit(f"({WORD})"))
     cut = F.when(F.col("__cut").isNotNull(), F.array_join(F.slice(words, F.lit(1), F.col("__cut").cast("int")), " "))
     new = cut.alias("__new")
     fields = []

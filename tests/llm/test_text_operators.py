@@ -291,6 +291,52 @@ def test_mixing_takes_a_tiny_source_beside_a_huge_one(spark):
     assert all(taken[s] > 0 and abs(taken[s] - goal[s]) <= 1 for s in goal)
 
 
+def test_mixing_deals_equal_blocks_in_ranked_slots(spark, whole, monkeypatch):
+    for bits in (8, 3):
+        runs = mixing.mixture(whole, ["doc_id", "source"], slot_bits=bits).collect()
+        mixed = mixing.mix(whole, carry=["doc_id", "source"], slot_bits=bits).collect()
+        total = sum(r.n_words for r in runs)
+        in_slot, of = {}, {}
+        for r in runs:
+            in_slot[r.slot] = in_slot.get(r.slot, 0) + r.n_words
+            of.setdefault(r.slot, set()).add(r.source)
+        assert set(in_slot) == set(range(2 ** bits))
+        assert all(abs(in_slot[i] - total / 2 ** bits) <= len(of[i]) for i in in_slot)
+        assert sum(len(v) - 1 for v in of.values()) < len({r.source for r in mixed})
+        taken = {}
+        for r in mixed:
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+        # slots lie at the van der Corput points of the cumulative takings
+        edge = {}
+        for s in sorted(taken):
+            edge[s] = (sum(edge[s][1] - edge[s][0] for s in edge), 0)
+            edge[s] = (edge[s][0], edge[s][0] + taken[s])
+        for i, found in of.items():
+            p = int(f"{i:0{bits}b}"[::-1], 2)
+            lo, hi = p * total / 2 ** bits, (p + 1) * total / 2 ** bits
+            assert found == {s for s, (a, z) in edge.items() if min(z, hi) - max(a, lo) > 1} | (
+                found & {s for s, (a, z) in edge.items() if min(z, hi) - max(a, lo) > 0})
+    # op9's words are those of the dealt runs
+    deal = mixing.dealt
+    monkeypatch.setattr(mixing, "dealt", lambda *a, **k: deal(*a, **k).where("__slot % 2 = 0"))
+    half = mixing.mix(whole, carry=["doc_id"]).agg(F.sum("taken")).collect()[0][0]
+    assert 0.4 * total < half < 0.6 * total
+
+
+def test_mixed_documents_are_interleaved(spark, whole):
+    df = whole.withColumn("source", F.when(F.col("doc_id") % 2 > 0, "a").otherwise("b"))
+    rows = mixing.mixed_documents(df).collect()
+    words = [(r.source, len(words_of(r.text)), r.doc_id) for r in rows]
+    total = sum(n for _, n, _ in words)
+    share = sum(n for s, n, _ in words if s == "a") / total
+    done, of_a = 0, 0
+    for s, n, _ in words:
+        done, of_a = done + n, of_a + n * (s == "a")
+        assert abs(of_a - share * done) <= 0.05 * total
+    ids = [i for _, _, i in words]
+    assert len(set(ids)) < len(ids) and sum(i == j for i, j in zip(ids, ids[1:])) < 0.02 * len(ids)
+
+
 # packing
 
 def check_packing(rows, got):
