@@ -2,7 +2,7 @@
 
 How many rows of partition ``p`` go to each cell is one row of a random matrix with given
 margins (partition sizes, cell sizes).  Cells are equal slices of the shards, small enough for
-one task.  Every partition draws its own row: it walks a binary tree over the partitions from
+one task in rows and, at the mean size of a row, in bytes.  Every partition draws its own row: it walks a binary tree over the partitions from
 the root, splitting the cells' remaining places between the halves by seeded hypergeometric
 draws, so the matrix agrees everywhere without being gathered.  A partition then permutes its
 row of labels locally, rows travel to their cells, and each cell is permuted again.
@@ -16,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import (ArrayType, BinaryType, IntegerType, LongType, MapType, StringType, StructField,
+                               StructType)
 from pyspark.sql.window import Window
 
 from .common import stage
 
 SEED = 40
 MAX_CELL_ROWS = 250_000
+MAX_CELL_BYTES = 64 << 20
 #: numpy draws exactly below this many; above, the normal law is closer than its rounding.
 EXACT_BELOW = 1_000_000_000
 
@@ -61,8 +63,30 @@ def matrix_row(sizes: np.ndarray, cells: np.ndarray, part: int, seed: int) -> np
     return places
 
 
+def row_bytes(rows: DataFrame) -> Column:
+    """Bytes of a row: of strings and binaries their own, 8 of other flat values, of nested ones their print."""
+    size = F.lit(0).cast("bigint")
+    for f in rows.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (ArrayType, MapType, StructType)):
+            size += F.coalesce(F.octet_length(c.cast("string")), F.lit(0))
+        else:
+            size += F.lit(8)
+    return size
+
+
+def cell_sizes(total: int, n_bytes: int, shards: int, max_rows: int, max_bytes: int) -> np.ndarray:
+    """Rows of each cell, ``(shards, slices)``; a cell holds one row at least where its shard has as many."""
+    per_shard = np.full(shards, total // shards) + (np.arange(shards) < total % shards)
+    most = int(per_shard.max(initial=0))
+    slices = max(1, -(-most // max_rows), min(most, -(-most * n_bytes // max(1, total * max_bytes))))
+    return (per_shard[:, None] // slices + (np.arange(slices) < per_shard[:, None] % slices)).astype(np.int64)
+
+
 def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = SEED,
-                      max_cell_rows: int = MAX_CELL_ROWS) -> DataFrame:
+                      max_cell_rows: int = MAX_CELL_ROWS, max_cell_bytes: int = MAX_CELL_BYTES) -> DataFrame:
     """``rows`` with ``shard int`` and ``slot long`` (gapless from 0 in its shard) appended.
 
     Shard sizes are exact: they differ by one row at most.  Rows repeated whole and null values
@@ -70,18 +94,19 @@ def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = SEED,
     replaced.  An empty table gives an empty result.
 
     ``rows`` is written first: the draws need the place of each row in its partition to be the
-    same on every attempt.  The driver holds one count for each written partition.
+    same on every attempt.  The driver holds one count and one sum of bytes for each written
+    partition.
     """
     cols = [c for c in rows.columns if c not in ("shard", "slot")]
     fixed = stage(rows.select(*cols, F.spark_partition_id().alias("__part"),
                               F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__pos")), "shard-rows")
-    counted = sorted(fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect())
+    counted = sorted(fixed.groupBy("__part").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(row_bytes(fixed)).alias("bytes")).collect())
     place = {r["__part"]: i for i, r in enumerate(counted)}
     sizes = np.array([r["n"] for r in counted], np.int64)
     total = int(sizes.sum())
-    per_shard = np.full(shards, total // shards) + (np.arange(shards) < total % shards)
-    slices = max(1, -(-int(per_shard.max(initial=0)) // max_cell_rows))
-    cells = (per_shard[:, None] // slices + (np.arange(slices) < per_shard[:, None] % slices)).astype(np.int64)
+    cells = cell_sizes(total, sum(r["bytes"] for r in counted), shards, max_cell_rows, max_cell_bytes)
+    slices = cells.shape[1]
     base = (np.cumsum(cells, axis=1) - cells).ravel()
     cells = cells.ravel()
     sent = rows.sparkSession.sparkContext.broadcast((place, sizes, cells, base))

@@ -421,6 +421,34 @@ def test_communication_matrix_has_its_margins_and_mean():
     assert abs(np.mean(big) - 750_000) < 500
 
 
+def test_sharding_sends_whole_documents(spark, whole, monkeypatch):
+    from propwise.llm.queries import op5_sharding
+    seen, shuffle = [], sharding.shuffle_to_shards
+
+    def spy(rows, *args, **how):
+        seen.append(rows.columns)
+        return shuffle(rows, *args, **how)
+
+    monkeypatch.setattr(sharding, "shuffle_to_shards", spy)
+    got = op5_sharding(spark, SF)
+    assert seen == [whole.columns]
+    want = sorted((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in whole.collect())
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got.collect()) == want
+
+
+def test_sharding_cells_are_bound_by_bytes(spark, whole):
+    cells = sharding.cell_sizes(1000, 1000 * 5000, 7, 250_000, 50_000)
+    assert cells.shape == (7, 15) and cells.max() * 5000 <= 50_000 and cells.sum() == 1000
+    assert sharding.cell_sizes(10, 10 ** 9, 7, 250_000, 1).shape == (7, 2)
+    assert sharding.cell_sizes(0, 0, 7, 250_000, 1).sum() == 0
+    got = sharding.shuffle_to_shards(whole, 7, max_cell_bytes=20_000)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    assert sorted(map(str, got.select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
 # licences
 
 def brute_best(scanner, text):
