@@ -10,6 +10,8 @@ template, the whole text among them.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -126,29 +128,32 @@ class Scanner:
             for b in x.bigrams:
                 self.where[b].append(k)
 
-    def best(self, k: int, hits: list[tuple[int, tuple[str, str]]]) -> tuple[float, int, int] | None:
-        """``(dice, -first bigram, bigrams)`` of the best passage for template ``k``."""
+    def best(self, k: int, own: list[tuple[int, tuple[str, str]]], a: int, end: int) -> tuple[float, int] | None:
+        """``(dice, bigrams)`` of the best passage for template ``k`` that begins at ``own[a]`` and ends before bigram ``end``."""
         x, found = self.templates[k], None
-        own = [(i, b) for i, b in hits if b in x.bigrams]
-        for a, (i, _) in enumerate(own):
-            left, common = x.bigrams.copy(), 0
-            for j, b in own[a:]:
-                size = j - i + 1
-                if size > x.most:
-                    break
-                if left[b] > 0:
-                    left[b] -= 1
-                    common += 1
-                    if common >= x.least and size >= x.least:
-                        got = (2 * common / (size + x.size), -i, size)
-                        if got[0] >= self.threshold and (found is None or got > found):
-                            found = got
+        first = own[a][0]
+        left, common = {}, 0
+        most = min(x.most, end - first)
+        for p in range(a, len(own)):
+            j, b = own[p]
+            size = j - first + 1
+            if size > most:
+                break
+            n = left.get(b, x.bigrams[b])
+            if n > 0:
+                left[b] = n - 1
+                common += 1
+                if common >= x.least and size >= x.least:
+                    got = (2 * common / (size + x.size), size)
+                    if got[0] >= self.threshold and (found is None or got > found):
+                        found = got
         return found
 
     def scan(self, text: str | None) -> tuple[str | None, float | None, int | None, int | None, list[str]]:
         """The best licence, its Dice, its passage (first word, words), and all licences found, sorted.
 
-        Of templates whose passages overlap only the best counts.  Ties go to the longer template, then to the earlier passage, then to the name.
+        All passages of all templates count, closest first, unless they overlap a closer one.  Ties go
+        to the longer template, then to the earlier passage, then to the name.
         """
         w = words(text)
         where = self.where
@@ -160,20 +165,36 @@ class Scanner:
         for b, n in shared.items():
             for k in where[b]:
                 common[k] += min(n, self.templates[k].bigrams[b])
-        found = []
+        # for each template and beginning, the best passage that is not known to overlap a closer one
+        heap, owns = [], {}
+
+        def add(k: int, a: int, end: int) -> None:
+            got = self.best(k, owns[k], a, end)
+            if got:
+                x = self.templates[k]
+                heapq.heappush(heap, (-got[0], -x.size, owns[k][a][0], x.name, -got[1], k, a))
+
         for k, n in common.items():
             if n >= self.templates[k].least and len(w) - 1 >= self.templates[k].least:
-                got = self.best(k, hits)
-                if got:
-                    found.append((-got[0], -self.templates[k].size, -got[1], self.templates[k].name, got[2]))
+                owns[k] = [h for h in hits if h[1] in self.templates[k].bigrams]
+                for a in range(len(owns[k])):
+                    add(k, a, len(w))
         kept: list[tuple] = []
-        for f in sorted(found):  # a passage counts for its closest template only
-            if all(f[2] + f[4] < g[2] or g[2] + g[4] < f[2] for g in kept):
-                kept.append(f)
+        taken: list[tuple[int, int]] = []  # first and last words of the passages kept, in order
+        while heap:
+            dice, _, first, name, size, k, a = heapq.heappop(heap)
+            at = bisect.bisect_right(taken, (first, len(w)))
+            if at and taken[at - 1][1] >= first:
+                continue  # begins in a closer passage
+            if at < len(taken) and taken[at][0] <= first - size:
+                add(k, a, taken[at][0] - 1)
+                continue
+            taken.insert(at, (first, first - size))
+            kept.append((dice, name, first, -size))
         if not kept:
             return None, None, None, None, []
-        dice, _, first, name, size = kept[0]
-        return name, -dice, first, size + 1, sorted({f[3] for f in kept})
+        dice, name, first, size = kept[0]
+        return name, -dice, first, size + 1, sorted({f[1] for f in kept})
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", carry: list[str] | None = None,

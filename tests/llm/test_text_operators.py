@@ -488,3 +488,43 @@ def test_license_scan_over_rows(spark, docs):
     assert got[91].license == "Apache-2.0" and got[91].n_words == len(licenses.words(licenses._APACHE))
     assert got[4].license is None and got[4].licenses == [] and got[1].license is None
     assert licenses.scan_licenses(empty(spark)).count() == 0
+
+
+def brute_licenses(scanner, text):
+    """All passages of all templates, closest first, without those that overlap a closer one."""
+    from collections import Counter
+    w = licenses.words(text)
+    grams = list(zip(w, w[1:]))
+    every = []
+    for x in scanner.templates:
+        for i in range(len(grams)):
+            for j in range(i + 1, min(len(grams), i + int(x.most)) + 1):
+                if grams[i] in x.bigrams and grams[j - 1] in x.bigrams:
+                    dice = 2 * sum((Counter(grams[i:j]) & x.bigrams).values()) / (j - i + x.size)
+                    if dice >= scanner.threshold:
+                        every.append((-dice, -x.size, i, x.name, i - j))
+    kept = []
+    for p in sorted(every):
+        if all(p[2] - p[4] < q[2] or q[2] - q[4] < p[2] for q in kept):
+            kept.append(p)
+    return sorted({p[3] for p in kept})
+
+
+def test_license_scan_looks_at_every_passage():
+    s = licenses.Scanner()
+    bsd2, bsd3 = licenses._BSD, licenses._BSD + " " + licenses._BSD_NAMES
+    gpl2, gpl3 = (licenses._GPL.format(v=v) for v in (2, 3))
+    edited = gpl2.replace("hope", "wish")
+    assert edited != gpl2
+    gap = " Some other file of the bundle. "
+    for text in (bsd3 + gap + bsd2, bsd2 + gap + bsd3):
+        assert s.scan(text)[4] == ["BSD-2-Clause", "BSD-3-Clause"]
+    for text in (gpl3 + gap + edited, edited + gap + gpl3):
+        assert s.scan(text)[4] == ["GPL-2.0", "GPL-3.0"]
+    assert s.scan(bsd3)[4] == ["BSD-3-Clause"] and s.scan((gpl3 + gap) * 40)[4] == ["GPL-3.0"]
+    short = licenses.Scanner([t for t in licenses.TEMPLATES if len(t[1]) < 150], threshold=0.7)
+    lines = [t for _, t in licenses.TEMPLATES if len(t) < 150]
+    rng = np.random.default_rng(3)
+    for _ in range(12):
+        text = " ".join(" ".join(x for x in lines[i].split() if rng.random() > 0.06) for i in rng.integers(0, len(lines), 5))
+        assert short.scan(text)[4] == brute_licenses(short, text), text
