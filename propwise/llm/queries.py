@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lattice, licenses, mixing, packing, quality, sharding, simhash, warc
+from . import (conversations, exact_dedup, langid, lattice, licenses, mixing, packing, quality, sharding, simhash, token_counts,
+               warc, whitening)
 from .common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,10 +63,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_conversations(read_table(spark, sf_dir, "conversations"), damaged=True)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_licenses, op2_quality, op3_warc, op4_exact_dedup, op5_sharding, op6_language_id, op7_simhash, op8_lattice,
-        op9_mixing, op10_packing)
+        op9_mixing, op10_packing, op11_token_counts, op12_conversations, op13_whitening)
 }
 
 SQL: dict[str, str] = {
