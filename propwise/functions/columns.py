@@ -8,6 +8,8 @@ luas_bangunan, lokasi.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -268,11 +270,8 @@ def sorted_json(fields: dict[str, Column]) -> Column:
 
 def is_market_query(c: Column | str) -> Column:
     """lower-cased text contains any keyword."""
-    low = F.lower(_c(c))
-    cond = F.lit(False)
-    for kw in K.MARKET_KEYWORDS:
-        cond = cond | low.contains(kw)
-    return cond
+    # one pattern: the text, often a rendered column, is evaluated once
+    return F.lower(_c(c)).rlike("|".join(re.escape(kw) for kw in K.MARKET_KEYWORDS))
 
 
 def top_class(prob_map: Column | str) -> Column:

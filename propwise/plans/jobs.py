@@ -8,12 +8,17 @@ driver tables map onto listings, feedback and events.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import columns as X
 from ..operators import cleaning as C
+from ..operators import corpus as T
+from ..operators import encoding as E
+from ..operators import similarity as V
 from ..session import materialize
 from ..sources import listings as S
+from ..sources import log
 
 
 def raw_property(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,14 +30,25 @@ def raw_property(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict = {}
 
 
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the input files: a rewritten input is another one."""
+    fs, p = log.hadoop(spark, sf_dir)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A table the application stores (RawProperty, the clean tables, Feedback):
     written once per session under the shared checkpoint folder, then read by
     every query that needs it — as the original keeps them in its database."""
+    return _once(spark, sf_dir, name, lambda: materialize(build(), name))
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build):
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        _STORED[key] = materialize(build(), name)
-    return _STORED[key]
+    inputs = _inputs(spark, sf_dir)
+    if _STORED.get(key, (None,))[0] != inputs:
+        _STORED[key] = (inputs, build())
+    return _STORED[key][1]
 
 
 def raw_property_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +72,28 @@ def feedback_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(spark, sf_dir, "feedback", lambda: feedback_table(spark, sf_dir))
 
 
+def knowledge_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 over ``documents``: the language stands in for the kind of knowledge document."""
+    def build() -> DataFrame:
+        docs = fx.table(spark, sf_dir, "documents").select("doc_id", "source", F.col("lang").alias("doc_type"), "text")
+        return T.chunk_documents(docs).withColumn("chunk_id", T.chunk_key())
+    return _stored(spark, sf_dir, "knowledge_chunks", build)
+
+
+def knowledge_index(spark: SparkSession, sf_dir: str) -> T.TextCells:
+    """The text index, built when documents are ingested and searched by T4 and T5."""
+    return _once(spark, sf_dir, "knowledge_index", lambda: T.build_text_cells(knowledge_chunks(spark, sf_dir)))
+
+
+def listing_index(spark: SparkSession, sf_dir: str) -> tuple[dict, V.VectorCells]:
+    """Standardizer and vector index of the clustering-clean listings, searched by T3 and T5."""
+    def build() -> tuple[dict, V.VectorCells]:
+        clu = clean_clustering_table(spark, sf_dir)
+        stats = E.fit_standardizer(clu, V.COMPARABLE_FEATURES)
+        return stats, V.build_cells(V.listing_vectors(clu, stats).select("cid", "cvec"))
+    return _once(spark, sf_dir, "listing_index", build)
+
+
 def clean_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.clean_classification(raw_property_table(spark, sf_dir))
 

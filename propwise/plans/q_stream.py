@@ -1,4 +1,4 @@
-"""Registered batch forms of the streaming operators."""
+"""Registered forms of the streaming operators (R1-R4, R6-R8): batch forms, and handlers run over micro-batches."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import constants as K
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import events as EV
 from ..streaming import jobs as SJ
 from . import jobs
@@ -85,6 +85,25 @@ def latest_prediction_cache(spark, sf):
     return out.select("cache_key", _epoch_us("ts").alias("ts_us"), "event_id")
 
 
+@register("folded_prediction_cache", ids="R2", sql=sql(f"""
+, a as ({_AUDIT_SQL})
+, c as (select max(ts) - interval 3600 second as cutoff from a)
+select cache_key, epoch_us(max(ts)) as ts_us, arg_max(event_id, (ts, event_id)) as event_id
+from a, c where ts > cutoff and cache_key is not null group by cache_key""", "ev"))
+def folded_prediction_cache(spark, sf):
+    """R2 as the stream does it: micro-batches in an order unlike that of time, one of them twice."""
+    rows = _audit(spark, sf).select("cache_key", F.timestamp_micros(_epoch_us("ts")).alias("ts"),
+                                    F.lpad(F.col("event_id").cast("string"), 20, "0").alias("event_id"), F.lit("").alias("output_json"))
+    rows = materialize(rows, "cache-events")
+    root = scratch_path(spark, f"cache-{uuid.uuid4().hex[:12]}")
+    for b in range(4):
+        for _ in range(2 if b == 1 else 1):
+            SJ.fold_cache(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == b), b, root, "s0")
+    now = rows.agg(F.max("ts").alias("m"))
+    cached = SJ.cached(spark, root, F.lit(now.collect()[0]["m"]))
+    return cached.select("cache_key", F.unix_micros("ts").alias("ts_us"), F.col("event_id").cast("bigint").alias("event_id"))
+
+
 # Feedback cut into fixed micro-batches of uneven size: batch b holds the events whose id modulo
 # 100 lies below the b-th bound (and not below an earlier one).
 _CUTS = (2, 6, 25, 26, 100)
@@ -135,17 +154,24 @@ def processed_after_runs(spark, sf):
 
 
 @register("audit_redelivered", ids="R1 S10", sql=sql(f"""
-select concat(topic, '-', cast(event_id % 4 as varchar), '-', cast(event_id // 4 as varchar)) as event_key, topic, tool,
+select case when event_id % 5 < 2 then concat(topic, '-', cast(event_id % 4 as varchar), '-', cast(event_id // 4 as varchar))
+            else concat(topic, '/', cast(event_id // 3 as varchar)) end as event_key, topic, tool,
   case when topic = '{_REG}' then {_key_sql('regression')} when topic = '{_CLS}' then {_key_sql('classification')}
        when topic = '{_CLU}' then {_key_sql('clustering')} end as cache_key
 from ev""", "ev"))
 def audit_redelivered(spark, sf):
-    """R1 over Kafka records: offsets repeat in every partition, and one event in seven comes twice."""
+    """R1 over Kafka records: offsets repeat in every partition, producers of different topics give the same
+    ids, some give an empty one or none, and one event in seven comes twice: at another offset if
+    its id tells, else the very same record."""
     e = fx.prediction_events(spark, sf)
-    records = e.select(F.col("payload").cast("binary").alias("value"), F.col("ts").alias("timestamp"), "topic",
-                       (F.col("event_id") % 4).cast("int").alias("partition"),
-                       F.expr("event_id div 4").alias("offset"),
-                       F.explode(F.sequence(F.lit(0), (F.col("event_id") % 7 == 0).cast("int"))).alias("delivery"))
+    eid = F.col("event_id")
+    own = F.when(eid % 5 == 0, F.lit("{")).when(eid % 5 == 1, F.lit('{"event_id":"",')).otherwise(
+        F.concat(F.lit('{"event_id":"'), F.expr("event_id div 3").cast("string"), F.lit('",')))
+    value = F.concat(own, F.expr("substring(payload, 2)"))
+    records = e.select(value.cast("binary").alias("value"), F.col("ts").alias("timestamp"), "topic",
+                       (eid % 4).cast("int").alias("partition"), F.expr("event_id div 4").alias("offset"), (eid % 5 > 1).alias("named"),
+                       F.explode(F.sequence(F.lit(0), (eid % 7 == 0).cast("int"))).alias("delivery"))
+    records = records.withColumn("offset", F.col("offset") + F.when(F.col("named"), F.col("delivery") * 10 ** 9).otherwise(0))
     rows = EV.audit_rows(EV.parse_prediction_event(SJ.kafka_events(records)))
     return SJ.audit_log(rows).select(F.col("event_id").alias("event_key"), "topic", "tool", "cache_key")
 

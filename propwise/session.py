@@ -7,7 +7,7 @@ Only three things live here:
   a scratch directory only when it is unset (tests).  Never a machine-local
   folder on a cluster: the cluster names the shared folder.
 * ``bounded_broadcast`` — broadcast a *derived* table only after its row count
-  was checked, with a plain (shuffle) join beyond the bound.
+  and size were checked, with a plain (shuffle) join beyond the bound.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 # broadcast only when it holds at most this many rows.  Beyond it the join
 # falls back to a shuffle join, which AQE may still convert at runtime.
 MAX_BROADCAST_ROWS = 200_000
+MAX_BROADCAST_BYTES = 32 << 20
 
 
 def get_session(app: str = "propwise", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -87,7 +88,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     obs = Observation(f"rows_{name}_{uuid.uuid4().hex[:6]}")
     df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     _STORED_ROWS[path] = int(obs.get["rows"])
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _plain(path: str) -> str:
@@ -111,15 +112,15 @@ def stored_row_bound(df: DataFrame) -> int | None:
     return _STORED_ROWS[owners.pop()] if files and len(owners) == 1 else None
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only if its checked row count is within ``max_rows``.
+def bounded_broadcast(small: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``small`` only if its checked row count and size are within the bounds.
 
-    ``small`` must be a derived aggregate (per area, per cluster, ...).  It is
-    persisted so the count and the join read the same computed rows once.
+    ``small`` must be a derived aggregate (per area, per cluster, ...).  It is written, so the check and
+    the join read the same rows and nothing stays in memory.
     """
-    small = small.persist()
-    n = small.count()
-    return F.broadcast(small) if n <= max_rows else small
+    small = materialize(small, "bounded")
+    size = int(str(small._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of its files
+    return F.broadcast(small) if (stored_row_bound(small) or 0) <= max_rows and size <= max_bytes else small
 
 
 def spread(df: DataFrame) -> DataFrame:

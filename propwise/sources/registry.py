@@ -1,7 +1,8 @@
 """Model registry and metadata ledger.
 
 Append-only tables on shared storage: every change is a new row, the current
-state is the latest row per key (``max_by``).  No in-place update is needed.
+state is the latest row per key (``max_by``).  No in-place update is needed.  A version number
+belongs to whoever creates its marker first, so two writers never share one.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import log
+
 EVENTS_SCHEMA = "model string, version long, stage string, metrics string, at timestamp"
 META_SCHEMA = "model string, version long, metadata string, at timestamp"
 
@@ -22,10 +25,9 @@ def _now() -> dt.datetime:
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # not written yet
+    if not log.exists(spark, path):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
@@ -37,11 +39,17 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def register_version(spark: SparkSession, root: str, model: str, metrics: dict) -> int:
-    """Next version number of ``model`` with stage None."""
-    cur = versions(spark, root).filter(F.col("model") == model).agg(F.max("version").alias("v")).collect()[0]["v"]
-    v = int(cur or 0) + 1
+    """Next version number of ``model`` with stage None; of writers at once each gets its own."""
+    claims = os.path.join(root, "versions", model)
+    events = os.path.join(root, "model_events")
+    taken = [int(n) for n in log.names(spark, claims) if n.isdigit()]
+    if not taken:  # a ledger older than its markers
+        taken = [r["v"] or 0 for r in versions(spark, root).filter(F.col("model") == model).agg(F.max("version").alias("v")).collect()]
+    v = max(taken, default=0) + 1
+    while not log.write_once(spark, os.path.join(claims, str(v)), ""):
+        v += 1
     spark.createDataFrame([(model, v, "None", json.dumps(metrics, sort_keys=True), _now())], EVENTS_SCHEMA) \
-        .write.mode("append").parquet(os.path.join(root, "model_events"))
+        .write.mode("append").parquet(events)
     return v
 
 

@@ -6,9 +6,11 @@ storage; nothing is staged on a machine-local folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bounded_broadcast, materialize
+
 
 def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
                     id_col: str | None = "id") -> None:
@@ -23,20 +25,15 @@ def overwrite_table(df: DataFrame, path: str, partition_by: list[str] | None = N
 def with_dense_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Dense 1-based ids without funnelling rows through one task.
 
-    ``monotonically_increasing_id`` = (partition << 33) + index in partition.  A
-    per-partition count (one row per partition) gives each partition its offset;
-    the offsets table is tiny and broadcast.  The input is persisted so both passes
-    see the same partitioning.
+    The rows are written first; then a row's id is its place in its file plus the rows of the files
+    before it.  Files do not change, so a lost executor gives the same ids again, and no frame is kept.
     """
-    base = df.withColumn("_mid", F.monotonically_increasing_id()).persist()
-    counts = base.groupBy((F.col("_mid") / (1 << 33)).cast("long").alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-    offsets = counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = F.broadcast(offsets.select("_pid", F.coalesce("_off", F.lit(0)).alias("_off")))
-    return (base.withColumn("_pid", (F.col("_mid") / (1 << 33)).cast("long"))
-            .join(offsets, "_pid")
-            .withColumn(id_col, F.col("_off") + F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-            .drop("_mid", "_pid", "_off"))
+    place = df.columns
+    rows = materialize(df, "numbered").select(*place, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = rows.groupBy("_file").agg((F.max("_row") + 1).alias("_n"))  # one row for each file
+    before = F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = bounded_broadcast(counts.select("_file", F.coalesce(before, F.lit(0)).alias("_off")))
+    return rows.join(offsets, "_file").withColumn(id_col, F.col("_off") + F.col("_row") + 1).drop("_file", "_row", "_off")
 
 
 def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:

@@ -42,30 +42,55 @@ def test_audit_stream_dedup_and_restart(spark, scratch):
     q = SJ.audit_stream(SJ.read_event_stream(spark, src), sink, ck)   # restart from the checkpoint
     q.awaitTermination()
     out = SJ.audit_log(spark.read.parquet(sink))
-    batch = EV.audit_rows(EV.parse_prediction_event(ev.withColumn("event_id", F.col("event_id").cast("string"))))
+    batch = EV.audit_rows(EV.parse_prediction_event(SJ.file_events(ev.withColumn("event_id", F.col("event_id").cast("string")))))
     assert first == ev.filter(F.pmod("event_id", F.lit(3)) == 0).count()
     assert out.count() == batch.count() == out.select("event_id").distinct().count()
     assert sorted(out.select("event_id", "cache_key").collect()) == sorted(batch.select("event_id", "cache_key").collect())
 
 
-def test_cache_latest_per_key(spark, scratch):
-    ev = fx.prediction_events(spark, SF001).withColumn("ts", F.col("ts").cast("timestamp"))
-    src = os.path.join(scratch, "src")
-    ev.write.json(src)
-    log = os.path.join(scratch, "log")
-    q = SJ.cache_log_stream(SJ.read_event_stream(spark, src), log, os.path.join(scratch, "ck"))
-    q.awaitTermination()
-    now = ev.agg(F.max("ts")).first()[0]
-    got = SJ.latest_per_key(spark.read.parquet(log), now=F.lit(now).cast("timestamp"), ttl_seconds=10 ** 9)
-    # brute force: newest event per key among all events
-    a = EV.audit_rows(EV.parse_prediction_event(ev)).select("cache_key", "ts", "event_id").toPandas()
-    a = a.sort_values(["ts", "event_id"]).groupby("cache_key").tail(1)
-    g = got.select("cache_key", "event_id").toPandas()
-    assert len(a) == len(g) and set(g.cache_key) == set(a.cache_key)
-    # among events of one time the larger id wins; ids of a stream are text
-    newest = a.groupby("cache_key").ts.max().to_dict()
-    ts = EV.audit_rows(EV.parse_prediction_event(ev)).select("event_id", "ts").toPandas().set_index("event_id").ts.to_dict()
-    assert all(ts[int(e)] == newest[k] for k, e in zip(g.cache_key, g.event_id))
+def _rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_cache_table_equals_batch_form_after_restart(spark, scratch):
+    ev = fx.prediction_events(spark, SF001).withColumn("ts", F.date_trunc("millisecond", F.col("ts").cast("timestamp"))).withColumn(
+        "event_id", F.col("event_id").cast("string")).persist()  # JSON files hold milliseconds
+    src, root, ck = (os.path.join(scratch, d) for d in ("src", "cache", "ck"))
+    parts = ev.withColumn("_p", F.pmod(F.xxhash64("event_id"), F.lit(4)))  # no order of time
+
+    def deliver(p):
+        parts.filter(F.col("_p") == p).drop("_p").coalesce(1).write.mode("append").json(src)
+        SJ.cache_stream(SJ.read_event_stream(spark, src), root, ck).awaitTermination()
+
+    batch = EV.audit_rows(EV.parse_prediction_event(SJ.file_events(parts))).withColumn("output_json", F.to_json("output"))
+    now = F.lit(ev.agg(F.max("ts")).first()[0])
+    for p in range(4):  # a restart from the checkpoint each time
+        deliver(p)
+        part = EV.audit_rows(EV.parse_prediction_event(SJ.file_events(parts.filter(F.col("_p") <= p)))).withColumn(
+            "output_json", F.to_json("output"))
+        want = SJ.latest_per_key(part, now=now, ttl_seconds=10 ** 9)
+        assert _rows(SJ.cached(spark, root, now, 10 ** 9)) == _rows(want)
+    some = SJ.latest_per_key(batch, now=now, ttl_seconds=3600)
+    assert _rows(SJ.cached(spark, root, now)) == _rows(some) and some.count() < want.count()
+    # one row for each key, in buckets; only the files of the last version are read
+    files = SJ.cached(spark, root, now).inputFiles()
+    held = set(SJ.cache_log(spark, root).load()[1]["buckets"].values())
+    assert files and all(any(f"/{h}/" in f for h in held) for f in files)
+    SJ.vacuum_cache(spark, root)
+    assert _rows(SJ.cached(spark, root, now)) == _rows(some)
+    ev.unpersist()
+
+
+def test_a_replayed_fold_changes_nothing(spark, scratch):
+    root = os.path.join(scratch, "cache")
+    rows = spark.createDataFrame([("k1", 1, "a"), ("k2", 5, "b"), (None, 9, "c")], "cache_key string, s long, event_id string").select(
+        "cache_key", F.timestamp_seconds("s").alias("ts"), "event_id", F.lit("{}").alias("output_json"))
+    late = rows.withColumn("ts", F.col("ts") - F.expr("interval 1 second"))
+    for b, batch in ((0, rows), (0, rows), (1, late), (0, late), (2, rows.limit(0))):
+        SJ.fold_cache(batch, b, root, "s0")
+        assert [(r["cache_key"], r["event_id"]) for r in SJ.cached(spark, root, F.timestamp_seconds(F.lit(6))).orderBy("cache_key").collect()] \
+            == [("k1", "a"), ("k2", "b")]
+    assert SJ.cache_log(spark, root).load()[0] == 3
 
 
 def test_feedback_stream_triggers_once_per_batch(spark, scratch):
@@ -111,6 +136,65 @@ def test_registry_promote_and_metadata(spark, scratch):
     assert REG.read_model_metadata(spark, scratch, "price") == {"batas_segmen": 1.2e9}
 
 
+def test_two_writers_never_share_a_version(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda i: REG.register_version(spark, scratch, "price", {"i": i}), range(8)))
+    assert sorted(got) == list(range(1, 9))
+    rows = REG.versions(spark, scratch).collect()
+    assert sorted(r["version"] for r in rows) == list(range(1, 9)) and {r["stage"] for r in rows} == {"None"}
+
+
+def test_a_ledger_that_cannot_be_read_is_no_empty_ledger(spark, scratch):
+    REG.register_version(spark, scratch, "price", {})
+    path = os.path.join(scratch, "model_events")
+    for name in os.listdir(path):
+        if name.endswith(".parquet"):
+            with open(os.path.join(path, name), "wb") as f:
+                f.write(b"no parquet")
+            crc = os.path.join(path, f".{name}.crc")
+            if os.path.exists(crc):
+                os.unlink(crc)
+    import pytest
+    with pytest.raises(Exception):
+        REG.current_version(spark, scratch, "price")
+
+
+def _log(spark, root):
+    from propwise.sources import log as L
+
+    def fold(state, entry):
+        state["sum"] = state.get("sum", 0) + entry["n"]
+        state.setdefault("seen", {})[entry["who"]] = entry["n"]
+    return L.CommitLog(spark, root, fold)
+
+
+def test_ten_thousand_commits_list_few_files(spark, scratch):
+    from propwise.sources import log as L
+    log = _log(spark, scratch)
+    # a log as long as it gets, written as the log writes it
+    base = 9_950
+    L.write_once(spark, log._path(base, "state"), '{"sum": %d, "seen": {"a": %d}}' % (sum(range(1, base + 1)), base))
+    for n in range(base + 1, 10_121):
+        assert log.append({"n": n, "who": "a"})[0] == n
+        if n % 20 == 0:
+            assert len(L.names(spark, scratch)) <= 2 * log.every + 3
+    version, state = log.load()
+    assert version == 10_120 and state == {"sum": sum(range(1, 10_121)), "seen": {"a": 10_120}}
+
+
+def test_two_writers_of_a_log_lose_nothing(spark, scratch):
+    from concurrent.futures import ThreadPoolExecutor
+    def write(who):
+        log = _log(spark, scratch)
+        return [log.append({"n": n, "who": who})[0] for n in range(30)]
+    with ThreadPoolExecutor(3) as pool:
+        got = [v for vs in pool.map(write, "abc") for v in vs]
+    assert sorted(got) == list(range(1, 91))
+    assert _log(spark, scratch).load() == (90, {"sum": 3 * sum(range(30)), "seen": {w: 29 for w in "abc"}})
+    assert _log(spark, scratch).append({"n": 1, "who": "d"}, lambda s: s["sum"] < 0) is None
+
+
 def test_live_area_stats_stream_equals_batch(spark, scratch):
     from propwise.plans import jobs
     clu = jobs.clean_clustering_table(spark, SF001).select("lokasi", "harga")
@@ -188,16 +272,56 @@ def _value(fb):
                                         "harga_prediksi", "harga_asli", "sumber")).alias("value"))
 
 
-def test_kafka_event_ids_differ_across_partitions_and_prefer_the_payload(spark):
-    rows = [(b'{"tool":"a"}', "t", 0, 5), (b'{"tool":"b"}', "t", 1, 5), (b'{"tool":"c"}', "u", 0, 5),
-            (b'{"event_id":"own","tool":"d"}', "t", 0, 6), (b'{"event_id":"own","tool":"d"}', "t", 0, 7)]
-    raw = spark.createDataFrame(rows, "value binary, topic string, partition int, offset long").withColumn(
+def _kafka(spark, rows):
+    return spark.createDataFrame(rows, "value binary, topic string, partition int, offset long").withColumn(
         "timestamp", F.current_timestamp())
+
+
+def test_kafka_event_ids_differ_across_partitions_and_prefer_the_payload(spark):
+    raw = _kafka(spark, [(b'{"tool":"a"}', "t", 0, 5), (b'{"tool":"b"}', "t", 1, 5), (b'{"tool":"c"}', "u", 0, 5),
+                         (b'{"event_id":"own","tool":"d"}', "t", 0, 6), (b'{"event_id":"own","tool":"d"}', "t", 0, 7)])
     ids = sorted(r["event_id"] for r in SJ.kafka_events(raw).collect())
-    assert ids == ["own", "own", "t-0-5", "t-1-5", "u-0-5"]
+    assert ids == ["t-0-5", "t-1-5", "t/own", "t/own", "u-0-5"]
     assert SJ.audit_log(EV.audit_rows(EV.parse_prediction_event(SJ.kafka_events(raw)))).count() == 4
 
 
+def test_ids_shared_over_topics_and_empty_ids_lose_no_event(spark):
+    raw = _kafka(spark, [(f'{{"event_id":"{i}","tool":"x"}}'.encode(), t, 0, i) for t in ("t", "u") for i in range(3)]
+                 + [(b'{"event_id":"","tool":"x"}', "t", 1, i) for i in range(2)] + [(b'{"event_id":"  "}', "u", 1, 9)])
+    events = SJ.kafka_events(raw)
+    assert events.select("event_id").distinct().count() == 9
+    assert SJ.audit_log(EV.audit_rows(EV.parse_prediction_event(events))).count() == 9
+    # corrections: an own id never looks like the place of another
+    raw = _kafka(spark, [(b'{"event_id":"@f-0-1"}', "f", 0, 0), (b'{}', "f", 0, 1), (b'{"event_id":""}', "f", 0, 2)])
+    assert sorted(r["event_id"] for r in SJ.kafka_feedback(raw).collect()) == ["@@f-0-1", "@f-0-1", "@f-0-2"]
+
+
+def test_corrections_of_files_without_ids_are_all_kept(spark, scratch):
+    rows = _value(fx.feedback(spark, SF001)).where("cast(event_id as long) % 10 <> 0").limit(24).persist()
+    n = SJ.prepare_feedback(rows)[0].count()
+    src, root = os.path.join(scratch, "src"), os.path.join(scratch, "fb")
+    rows.drop("event_id").coalesce(2).write.json(src)                                  # no id at all
+    rows.withColumn("event_id", F.lit("")).coalesce(1).write.mode("append").json(src)  # an empty one
+    rows.coalesce(1).write.mode("append").json(src)
+    rows.coalesce(1).write.mode("append").json(src)                                    # delivered again
+    stream = SJ.read_feedback_stream(spark, src, max_files=1)
+    SJ.feedback_stream(stream, root, os.path.join(scratch, "ck"), threshold=10 ** 6).awaitTermination()
+    assert SJ.stored_feedback(spark, root).count() == SJ.pending_feedback(spark, root).count() == 3 * n > 0
+    rows.unpersist()
+
+
+def test_redeliveries_are_dropped_in_the_stream_and_events_without_ids_are_not(spark, scratch):
+    src, sink = os.path.join(scratch, "src"), os.path.join(scratch, "audit")
+    rows = [("1", "t"), ("1", "u"), ("1", "t"), (None, "t"), (None, "t"), ("", "u"), ("2", "t")]
+    df = spark.createDataFrame(rows, "event_id string, topic string").withColumn("ts", F.timestamp_seconds(F.lit(10 ** 9))).withColumn(
+        "payload", F.lit('{"tool":"x"}'))
+    for again in range(2):  # the second time all of them come again, as late as can be
+        df.withColumn("ts", F.timestamp_seconds(F.lit(10 ** 9))).coalesce(1).write.mode("append").json(src)
+        SJ.audit_stream(SJ.read_event_stream(spark, src), sink, os.path.join(scratch, "ck")).awaitTermination()
+        stored = spark.read.parquet(sink)
+        assert stored.count() == SJ.audit_log(stored).count() == 6 + 3 * again
+
+
 def test_a_new_checkpoint_on_an_old_root_keeps_every_row(spark, scratch):
     rows = _value(fx.feedback(spark, SF001)).limit(60).persist()
     root = os.path.join(scratch, "fb")
@@ -219,7 +343,7 @@ def test_a_crash_between_the_writes_keeps_each_row_once(spark, scratch):
     folder = SJ.batch_folder("s0", 0)
     # died after the first write (a part of its rows), before quarantine and commit marker
     valid.limit(5).write.parquet(os.path.join(root, "feedback", folder))
-    assert SJ.committed(spark, root) == [] and SJ.pending_feedback(spark, root).count() == 0
+    assert SJ.committed(spark, root) == {} and SJ.pending_feedback(spark, root).count() == 0
     handle = SJ.feedback_batch_handler(root, threshold=10 ** 6)
     for _ in range(2):
         handle(rows, 0)
@@ -238,16 +362,23 @@ def test_runs_cut_short_are_closed(spark, scratch):
     seen = []
     handle = SJ.feedback_batch_handler(root, threshold=10, retrain=lambda sp, ids, r: seen.append(ids.count()) or 1.0)
     SJ.store_batch(rows, 0, root, "s0")
-    SJ.ledger_append(spark, root, "run-dead", "running", 0, 5)      # died while training
+    SJ.start_run(spark, root, "run-dead", 0, 5, SJ.pending_folders(spark, root))   # died while training
     handle(rows, 0)                                                 # the replay trains those rows
     n = SJ.stored_feedback(spark, root).count()
     status = {r["run_id"]: r["status"] for r in SJ.run_status(spark.read.parquet(os.path.join(root, "ledger"))).collect()}
     assert status.pop("run-dead") == "failed" and list(status.values()) == ["success"] and seen == [n]
     # died after the ids were stored, before 'success': not trained again
-    SJ.ledger_append(spark, root, next(iter(status)), "running", 0, n)
-    handle(rows, 0)
-    status = SJ.run_status(spark.read.parquet(os.path.join(root, "ledger"))).filter("run_id <> 'run-dead'").collect()
-    assert [r["status"] for r in status] == ["success"] and seen == [n]
+    late = _value(fx.feedback(spark, SF001)).exceptAll(rows).limit(40).persist()
+    SJ.store_batch(late, 1, root, "s0")
+    ids = SJ.pending_feedback(spark, root)
+    m, folders = ids.count(), SJ.pending_folders(spark, root)
+    ids.select(*[f.name for f in SJ.STORED_FEEDBACK]).write.parquet(os.path.join(root, "archive", "run_id=run-late"))
+    SJ.start_run(spark, root, "run-late", 1, m, folders)
+    ids.select("feedback_id").write.parquet(os.path.join(root, "processed_ids", "run_id=run-late"))
+    handle(late, 1)
+    status = {r["run_id"]: r["status"] for r in SJ.run_status(spark.read.parquet(os.path.join(root, "ledger"))).collect()}
+    assert status["run-late"] == "success" and sorted(status.values()) == ["failed", "success", "success"] and seen == [n]
+    assert SJ.pending_feedback(spark, root).count() == 0 and SJ.stored_feedback(spark, root).count() == n + m
 
 
 def test_whole_numbers_written_with_a_fraction_are_numbers(spark):
@@ -262,11 +393,11 @@ def test_whole_numbers_written_with_a_fraction_are_numbers(spark):
     assert (r["kamar_tidur"], r["kelas_id"]) == (3, 2)
 
 
-def test_cache_read_prunes_days(spark, scratch):
+def test_audit_read_prunes_days(spark, scratch):
     ev = fx.prediction_events(spark, SF001).withColumn("ts", F.col("ts").cast("timestamp"))
-    src, log = os.path.join(scratch, "src"), os.path.join(scratch, "log")
+    src, sink = os.path.join(scratch, "src"), os.path.join(scratch, "audit")
     ev.write.json(src)
-    SJ.cache_log_stream(SJ.read_event_stream(spark, src), log, os.path.join(scratch, "ck")).awaitTermination()
-    got = SJ.latest_per_key(spark.read.parquet(log), now=F.to_timestamp(F.lit("2024-01-02 00:00:00")))
+    SJ.audit_stream(SJ.read_event_stream(spark, src), sink, os.path.join(scratch, "ck")).awaitTermination()
+    got = SJ.audit_log(spark.read.parquet(sink)).where("day >= '2024-01-02'")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan and "day" in plan.split("PartitionFilters:")[1][:120]
