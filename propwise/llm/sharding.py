@@ -10,6 +10,7 @@ row of labels locally, rows travel to their cells, and each cell is permuted aga
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,18 +26,54 @@ from .common import stage
 SEED = 40
 MAX_CELL_ROWS = 250_000
 MAX_CELL_BYTES = 64 << 20
-#: numpy draws exactly below this many; above, the normal law is closer than its rounding.
-EXACT_BELOW = 1_000_000_000
+#: numpy's own exact sampler refuses populations from here on.
+NUMPY_LIMIT = 1_000_000_000
+
+
+def log_ratio(x: int, y: int) -> float:
+    """``log(x! / y!)`` to about 1e-9 for any whole numbers: no difference of two large logarithms."""
+    if max(x, y) < 1000 or min(x, y) < 50:
+        return math.lgamma(x + 1) - math.lgamma(y + 1)
+    d = x - y
+    tail = lambda k: 1 / (12 * k) - 1 / (360 * k ** 3)
+    return (y + 0.5) * math.log1p(d / y) + d * (math.log(x) - 1) + tail(x) - tail(y)
+
+
+def draw_large(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """An exact hypergeometric draw at any size, by the ratio of uniforms under a table mountain hat (Stadlober)."""
+    total = good + bad
+    small, m = min(good, bad), min(n, total - n)
+    if m < 10:  # one by one
+        hits, left = 0, small
+        for k in range(m):
+            took = int(rng.integers(total - k)) < left
+            hits, left = hits + took, left - took
+    else:
+        share = small / total
+        centre = m * share + 0.5
+        width = math.sqrt((total - m) * (m / (total - 1)) * share * (1 - share) + 0.5)
+        hat = 2 * math.sqrt(2 / math.e) * width + 3 - 2 * math.sqrt(3 / math.e)
+        mode = (m + 1) * (small + 1) // (total + 2)
+        while True:
+            u, v = 1 - rng.random(), rng.random()
+            w = centre + hat * (v - 0.5) / u
+            if not 0 <= w < min(m, small) + 1:
+                continue
+            hits = int(w)
+            # log of the probability of ``hits`` over that of the mode
+            gain = -(log_ratio(hits, mode) + log_ratio(small - hits, small - mode) + log_ratio(m - hits, m - mode)
+                     + log_ratio(total - small - m + hits, total - small - m + mode))
+            if 2 * math.log(u) <= gain:
+                break
+    hits = hits if good <= bad else m - hits
+    return hits if m == n else good - hits
 
 
 def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of ``n`` draws without return are among the ``good``."""
-    if good + bad < EXACT_BELOW:
+    """How many of ``n`` draws without return are among the ``good``: exact, whatever their number."""
+    if good + bad < NUMPY_LIMIT:
         return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    mean = n * good / total
-    var = mean * (bad / total) * (total - n) / (total - 1)
-    return int(min(max(round(rng.normal(mean, var ** 0.5)), max(0, n - bad)), min(good, n)))
+    return draw_large(rng, good, bad, n)
 
 
 def split_places(places: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -63,6 +100,13 @@ def matrix_row(sizes: np.ndarray, cells: np.ndarray, part: int, seed: int) -> np
     return places
 
 
+def labels_of(sizes: np.ndarray, cells: np.ndarray, part: int, seed: int) -> np.ndarray:
+    """The cell of each row of partition ``part``: its row of the matrix, permuted locally."""
+    labels = np.repeat(np.arange(len(cells)), matrix_row(sizes, cells, part, seed))
+    np.random.default_rng([seed, part]).shuffle(labels)
+    return labels
+
+
 def row_bytes(rows: DataFrame) -> Column:
     """Bytes of a row: of strings and binaries their own, 8 of other flat values, of nested ones their print."""
     size = F.lit(0).cast("bigint")
@@ -124,9 +168,7 @@ def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = SEED,
                     continue
                 if parts[i] != part:
                     part = parts[i]
-                    k = place[int(part)]
-                    labels = np.repeat(np.arange(len(cells)), matrix_row(sizes, cells, k, seed))
-                    np.random.default_rng([seed, k]).shuffle(labels)  # the local permutation
+                    labels = labels_of(sizes, cells, place[int(part)], seed)
                 label[i:j] = labels[pos[i:j]]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(label // slices, pa.int32()), pa.array(base[label], pa.int64())],

@@ -416,9 +416,59 @@ def test_communication_matrix_has_its_margins_and_mean():
         assert (m.sum(axis=1) == sizes).all() and (m.sum(axis=0) == cells).all() and (m >= 0).all()
         mean += m / 300
     assert np.abs(mean - sizes[:, None] / 3).max() < 0.6
+
+
+def chi_square(seen, want):
+    """Standardised: about 0 with deviation 1 where ``seen`` follows ``want``."""
+    seen, want = np.asarray(seen, float), np.asarray(want, float)
+    df = seen.size - 1
+    return (((seen - want) ** 2 / want).sum() - df) / (2 * df) ** 0.5
+
+
+@pytest.mark.parametrize("good, bad, n", [(300, 700, 100), (700, 300, 900), (60, 50, 40), (1000, 1000, 1990), (20, 10, 15), (9, 5000, 700)])
+def test_large_draws_follow_the_exact_law(good, bad, n):
+    from math import comb
+    rng = np.random.default_rng([good, n])
+    got = np.bincount([sharding.draw_large(rng, good, bad, n) for _ in range(20_000)], minlength=n + 1)
+    law = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) if k <= good and n - k <= bad else 0 for k in range(n + 1)]) * 20_000
+    assert not got[law == 0].any()
+    usual = law >= 10
+    assert abs(chi_square([*got[usual], got[~usual].sum()], [*law[usual], max(law[~usual].sum(), 1e-9)]) if law[~usual].sum() > 10
+               else chi_square(got[usual], law[usual])) < 5
+
+
+def test_draws_beyond_any_float_table():
+    import math
     rng = np.random.default_rng(1)
-    big = [sharding.draw(rng, 3 * 10 ** 9, 10 ** 9, 10 ** 6) for _ in range(50)]
-    assert abs(np.mean(big) - 750_000) < 500
+    good, bad, n = 3 * 10 ** 12, 10 ** 12, 10 ** 9
+    z = (np.array([sharding.draw(rng, good, bad, n) for _ in range(20_000)]) - 0.75 * n) / math.sqrt(n * 0.1875 * (1 - n / 4e12))
+    assert abs(z.mean()) < 0.03 and abs(z.var() - 1) < 0.05 and abs((z ** 4).mean() - 3) < 0.25 and abs((z ** 3).mean()) < 0.1
+    # few hits in a vast population: the Poisson law
+    few = np.bincount([sharding.draw(rng, 10 ** 9, 2 * 10 ** 12, 1500) for _ in range(20_000)], minlength=7)[:7]
+    rate = 1500 * 1e9 / 2.001e12
+    assert abs(chi_square(few, [20_000 * math.exp(-rate) * rate ** k / math.factorial(k) for k in range(7)])) < 5
+    assert sharding.draw(rng, 0, 10 ** 12, 10 ** 6) == 0 and sharding.draw(rng, 10 ** 12, 0, 10 ** 6) == 10 ** 6
+    assert sharding.draw(rng, 10 ** 12, 10 ** 12, 0) == 0 and sharding.draw(rng, 10 ** 12, 5, 10 ** 12 + 5) == 10 ** 12
+    exact = math.fsum(math.log(k) for k in range(10 ** 12 - 999, 10 ** 12 + 1))
+    assert abs(sharding.log_ratio(10 ** 12, 10 ** 12 - 1000) - exact) < 1e-7
+    assert abs(sharding.log_ratio(10 ** 12 - 1000, 10 ** 12) + exact) < 1e-7
+
+
+def test_places_are_uniform_over_seeds(spark):
+    # every row comes to every cell, and two rows of a partition meet as often as two of different ones
+    sizes, cells, seeds = np.array([7, 0, 12, 5]), np.array([8, 8, 8]), 3_000
+    seen, together = np.zeros((24, 3)), np.zeros(2)
+    for seed in range(seeds):
+        labels = np.concatenate([sharding.labels_of(sizes, cells, p, seed) for p in range(4)])
+        seen[np.arange(24), labels] += 1
+        together += [labels[0] == labels[1], labels[0] == labels[20]]
+    assert abs(seen - seeds / 3).max() < 5 * (seeds * 2 / 9) ** 0.5
+    assert np.abs(together / seeds - 7 / 23).max() < 5 * (0.22 / seeds) ** 0.5
+    # and within a shard every slot: places of 40 rows over seeds
+    rows = spark.range(40).coalesce(2)
+    got = [[(r.shard, r.slot) for r in sharding.shuffle_to_shards(rows, 2, seed=s).orderBy("id").collect()] for s in range(12)]
+    low = sum(slot < 10 for g in got for _, slot in g[:20])
+    assert abs(low - 120) < 5 * 60 ** 0.5 and len({tuple(g) for g in got}) == 12
 
 
 def test_sharding_sends_whole_documents(spark, whole, monkeypatch):
