@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as K
-from ..session import bounded_broadcast, first_row
+from ..session import bounded_broadcast, first_row, materialize
 from . import encoding as E
 from . import metrics as MT
 from . import pricing as P
@@ -226,10 +226,11 @@ def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts:
     ranks = bounded_broadcast(ranks, 1_000)
     labelled = assigned.join(ranks, "raw_id")
     summary = cluster_summary(labelled).join(ranks.select("cluster_id", "cluster_label"), "cluster_id")
+    summary = materialize(summary, "cluster-summary")
     enc = E.fit_median_encoder(clean_clu.drop("lokasi_enc"), "lokasi", "log_harga")
     fb = E.median_fallback(enc)
     data.unpersist()
-    return ClusterModel(model, stats, ranks, summary.persist(), enc, fb, pca, silhouette)
+    return ClusterModel(model, stats, ranks, summary, enc, fb, pca, silhouette)
 
 
 def cluster_columns(df: DataFrame, cm: ClusterModel) -> DataFrame:
