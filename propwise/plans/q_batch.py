@@ -325,6 +325,29 @@ def cluster_quality(spark, sf):
     return M.cluster_quality(jobs.clustered_fixed(spark, sf), _QF)
 
 
+@register("silhouette", ids="A13", sql=sql(f"""
+, q as (select * from clu_fixed where listing_id % 20 = 0)
+, n as (select cluster_id, count(*) as n from clu_fixed group by cluster_id)
+, p as (select q.listing_id, q.cluster_id as own, x.cluster_id as other,
+          sum(sqrt({" + ".join(f"(q.{c} - x.{c}) * (q.{c} - x.{c})" for c in _QF)})) as d
+        from q, clu_fixed x group by q.listing_id, q.cluster_id, x.cluster_id)
+, m as (select p.*, n.n, case when own = other then case when n.n > 1 then d / (n.n - 1) end else d / n.n end as mean
+        from p join n on p.other = n.cluster_id)
+, s as (select listing_id, own, max(case when own = other then mean end) as a, min(case when own <> other then mean end) as b
+        from m group by listing_id, own)
+, v as (select own, case when a is null or b is null or greatest(a, b) = 0 then 0 else (b - a) / greatest(a, b) end as s from s)
+, t as (select own as cluster_id, n.n as n_rows, count(*) as n_sampled, avg(s) as s, sqrt(coalesce(var_samp(s), 0) / count(*)) as e
+        from v join n on v.own = n.cluster_id group by own, n.n)
+select cluster_id, n_rows, n_sampled, round(s, 6) as silhouette, round(e, 6) as std_error from t
+union all
+select null, cast(sum(n_rows) as bigint), cast(sum(n_sampled) as bigint), round(sum(n_rows * s) / sum(n_rows), 6),
+  round(sqrt(sum(n_rows * e * n_rows * e)) / sum(n_rows), 6) from t""", "clu_fixed"))
+def silhouette(spark, sf):
+    df = jobs.clustered_fixed(spark, sf)
+    out = M.silhouette_sample(df, df.where("listing_id % 20 = 0"), _QF)
+    return out.withColumns({c: F.round(c, 6) for c in ("silhouette", "std_error")})
+
+
 # ---- pricing math ---------------------------------------------------------------------------
 
 @register("train_test_split", ids="M1", sql=sql("""

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import columns as X
+from ..functions import constants as K
 from ..operators import contract as CT
 from ..operators import similarity as V
+from ..session import scratch_path
 from ..sources import listings as S
+from ..sources import registry as REG
 from ..sources import sinks as SK
 from . import jobs
 from .catalog import register
@@ -131,3 +136,59 @@ from ev""", "ev"))
 def published_events(spark, sf):
     ev = jobs.prediction_events(spark, sf)
     return ev.select("event_id", SK.event_payload(F.col("tool"), ["lokasi", "kamar_tidur"], ["kelas_id", "kelas_label"]).alias("value"))
+
+
+# ---- F25, F27 ----------------------------------------------------------------------------
+
+#: Whole-number chances of the four segments of an event; equal ones occur.
+_CHANCES = ["event_id * 7 % 11", "event_id * 5 % 11", "event_id % 11", "event_id * 3 % 11"]
+_LABELS = [K.SEGMENT_LABELS[i] for i in range(4)]
+
+
+@register("top_classes", ids="F25", sql="""
+with p as (select event_id, unnest([""" + ", ".join(_CHANCES) + "]) as p, unnest([" + ", ".join(f"'{x}'" for x in _LABELS) + """]) as label
+           from events)
+select event_id, label as top_class from (
+  select *, row_number() over (partition by event_id order by p desc, label) as rn from p) where rn = 1""")
+def top_classes(spark, sf):
+    probs = F.map_from_arrays(F.array(*map(F.lit, _LABELS)), F.array(*[F.expr(c).cast("double") for c in _CHANCES]))
+    return fx.table(spark, sf, "events").select("event_id", X.top_class(probs).alias("top_class"))
+
+
+@register("estimates_from_log", ids="F27", sql=sql("""
+select listing_id, floor(greatest(exp(case when listing_id % 7 = 0 then -1 else 1 end * ln(1 + harga)) - 1, 0) + 0.1) as estimate
+from reg""", "reg"))
+def estimates_from_log(spark, sf):
+    """Back from the models' scale; what is below 0 is clipped."""
+    reg = jobs.clean_regression_table(spark, sf)
+    out = F.log1p("harga") * F.when(F.col("listing_id") % 7 == 0, -1.0).otherwise(1.0)
+    estimate = X.clip_nonnegative(X.estimate_from_log(out))
+    return reg.select("listing_id", F.floor(estimate + 0.1).cast("double").alias("estimate"))
+
+
+# ---- M12, S13 ----------------------------------------------------------------------------
+
+@register("model_registry", ids="M12 S13", sql="""
+with m as (select r_name as model, count(n_nationkey) as n from region join nation on r_regionkey = n_regionkey group by r_name),
+v as (select model, n, unnest(generate_series(1, 1 + n % 3)) as version from m),
+c as (select n_name, r_name, count(*) as customers from customer join nation on c_nationkey = n_nationkey
+      join region on n_regionkey = r_regionkey group by n_name, r_name),
+t as (select r_name, sum(customers) as customers from c group by r_name)
+select model, cast(version as bigint) as version,
+  case when version = (select max(version) from v w where w.model = v.model) then 'Production' else 'Archived' end as stage,
+  cast(t.customers * version as bigint) as rows_seen
+from v join t on t.r_name = v.model""")
+def model_registry(spark, sf):
+    """A model for each region: versions registered, described and promoted one after the other."""
+    root = scratch_path(spark, f"registry-{uuid.uuid4().hex[:12]}")
+    r, n, c = (fx.table(spark, sf, t) for t in ("region", "nation", "customer"))
+    sizes = (r.join(n, F.col("r_regionkey") == F.col("n_regionkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+             .groupBy("r_name").agg(F.countDistinct("n_nationkey").alias("n"), F.count("c_custkey").alias("rows")))
+    for m in sizes.collect():  # a row for each region
+        for _ in range(1 + m["n"] % 3):
+            version = REG.register_version(spark, root, m["r_name"], {"nations": m["n"]})
+            REG.write_model_metadata(spark, root, m["r_name"], version, {"rows": m["rows"] * version})
+            REG.promote(spark, root, m["r_name"], version)
+    seen = F.get_json_object("metadata", "$.rows").cast("bigint").alias("rows_seen")
+    meta = REG.model_metadata(spark, root).select("model", "version", seen)
+    return REG.versions(spark, root).select("model", "version", "stage").join(meta, ["model", "version"])

@@ -75,6 +75,12 @@ def write_model_metadata(spark: SparkSession, root: str, model: str, version: in
                           META_SCHEMA).write.mode("append").parquet(os.path.join(root, "model_metadata"))
 
 
+def model_metadata(spark: SparkSession, root: str) -> DataFrame:
+    """``(model, version, metadata)``, the last written for each version."""
+    df = _read(spark, os.path.join(root, "model_metadata"), META_SCHEMA)
+    return df.groupBy("model", "version").agg(F.max_by("metadata", "at").alias("metadata"))
+
+
 def read_model_metadata(spark: SparkSession, root: str, model: str) -> dict | None:
     """Metadata of the latest version (``max_by`` over the ledger)."""
     df = _read(spark, os.path.join(root, "model_metadata"), META_SCHEMA).filter(F.col("model") == model)
