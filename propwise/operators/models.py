@@ -3,10 +3,11 @@
 Everything is a distributed MLlib estimator or a column expression:
 
 * price: two ``GBTRegressor`` (one per price side) on log1p(price) with sample
-  weights and early stopping on a validation indicator;
-* segment: multi-class ``RandomForestClassifier`` on ratio + one-hot area features;
-* clusters: population z-scores -> ``KMeans``; restarts are separate fits on the
-  persisted, standardized table and the lowest training cost wins.
+  weights; the round is chosen by validation rows with patience, the error measured on others;
+* segment: a ``GBTClassifier`` for each class against the others, on ratio + one-hot area features;
+* clusters: population z-scores -> a landmark map to 10 dimensions, fitted on a bounded sample and
+  applied to every row -> ``KMeans``; restarts are separate fits on the persisted table and the
+  lowest training cost wins.
 
 Scoring is ``transform`` plus column arithmetic; the nested "price missing ->
 estimate it" call is a ``coalesce`` column, not a second request.
@@ -16,12 +17,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +38,55 @@ from . import pricing as P
 from .quantiles import quantiles
 
 
+# ---- boosting with the best round (M4, M7) ------------------------------------------------
+
+#: Part of the training rows that chooses the round; the reported error is of rows that neither saw.
+VALIDATION_SHARE = 10
+
+
+def validation_rows(key: str) -> F.Column:
+    """A tenth of the rows, by a hash of the key that the train/test split does not use."""
+    return F.pmod(F.xxhash64(F.lit("validation"), F.col(key)), F.lit(VALIDATION_SHARE)) == 0
+
+
+def first_trees(model, n: int):
+    """A boosted model of the first ``n`` trees of ``model``."""
+    from pyspark import SparkContext
+
+    sc, j = SparkContext._active_spark_context, model._java_obj
+    trees, weights = j.trees(), j.treeWeights()
+    kept = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    ws = sc._gateway.new_array(sc._gateway.jvm.double, n)
+    for k in range(n):
+        kept[k], ws[k] = trees[k], weights[k]
+    jclass = (sc._jvm.org.apache.spark.ml.regression.GBTRegressionModel if isinstance(model, GBTRegressionModel)
+              else sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel)
+    cut = type(model)(jclass(j.uid(), kept, ws, j.numFeatures()))
+    cut._resetUid(j.uid())
+    model._copyValues(cut)
+    cut._transfer_params_to_java()
+    return cut
+
+
+def fit_boosted(estimator, train: DataFrame, valid: DataFrame, max_iter: int, patience: int, losses: list | None = None):
+    """Boost until ``patience`` rounds bring no lower loss on ``valid``, at most ``max_iter``; the best round stays.
+
+    Rounds are added by doubling, so all fits together cost twice the last one at most.  ``losses``
+    gets the validation loss of each round of the last fit.
+    """
+    rounds = min(max_iter, max(patience, 16))
+    while True:
+        model = estimator.copy({estimator.maxIter: rounds}).fit(train)
+        seen = list(model.evaluateEachIteration(valid, "squared") if isinstance(model, GBTRegressionModel)
+                    else model.evaluateEachIteration(valid))
+        best = min(range(len(seen)), key=seen.__getitem__) + 1
+        if rounds >= max_iter or best + patience <= rounds:
+            if losses is not None:
+                losses[:] = seen
+            return first_trees(model, best) if best < len(seen) else model
+        rounds = min(max_iter, 2 * rounds)
+
+
 # ---- price models (M4, M6) -------------------------------------------------------------
 
 @dataclass
@@ -57,11 +110,13 @@ def regression_frame(df: DataFrame, encoder: DataFrame, prior: float) -> DataFra
 
 
 def train_price_models(clean: DataFrame, key: str = "listing_id", threshold: float | None = None,
-                       max_iter: int = 5000, max_depth: int = 6, step_size: float = 0.02,
+                       max_iter: int = 5000, max_depth: int = 6, step_size: float = 0.02, patience: int = 200,
                        seed: int = 42) -> tuple[PriceModels, DataFrame]:
     """M4: threshold = median price (A8) unless given; one GBT per side on log1p(price).
 
-    At most ``max_iter`` rounds: boosting stops when the validation rows no longer gain.
+    At most ``max_iter`` rounds: boosting stops when validation rows, a tenth of the training part,
+    have not gained for ``patience`` rounds, and the best round is kept.  The errors are those of the
+    holdout, which no round saw.
 
     Returns the models and the holdout predictions (for A11 metrics).
     """
@@ -73,14 +128,14 @@ def train_price_models(clean: DataFrame, key: str = "listing_id", threshold: flo
     encoder = E.fit_target_encoder(train)
     prior = float(first_row(encoder.select("prior"))["prior"])
     frame = regression_frame(df, encoder, prior).withColumns({
-        "label": F.log1p("harga"), "is_val": ~F.col("is_train")}).persist()
+        "label": F.log1p("harga"), "is_val": F.col("is_train") & validation_rows(key)}).persist()
     models = {}
     for side in ("low", "high"):
-        gbt = GBTRegressor(featuresCol="features", labelCol="label", weightCol="weight",
-                           validationIndicatorCol="is_val", maxIter=max_iter, maxDepth=max_depth,
-                           stepSize=step_size, seed=seed, validationTol=0.001)
-        models[side] = gbt.fit(frame.filter(F.col("side") == side))
-    holdout = frame.filter("is_val")
+        gbt = GBTRegressor(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=max_depth,
+                           stepSize=step_size, seed=seed)
+        rows = frame.filter((F.col("side") == side) & F.col("is_train"))
+        models[side] = fit_boosted(gbt, rows.filter("not is_val"), rows.filter("is_val"), max_iter, patience)
+    holdout = frame.filter("not is_train")
     # score each side with its own model (rows routed by actual price)
     lo = models["low"].setPredictionCol("_pl").transform(holdout.filter(F.col("side") == "low"))
     hi = models["high"].setPredictionCol("_ph").transform(holdout.filter(F.col("side") == "high"))
@@ -108,7 +163,7 @@ def score_prices(df: DataFrame, pm: PriceModels) -> DataFrame:
 
 @dataclass
 class SegmentModel:
-    model: object
+    models: list  # one boosted classifier for each segment, against the others
     encoder: object  # fitted area indexer + sparse one-hot + assembler
     features: list[str]
 
@@ -140,18 +195,38 @@ def segment_feature_names(encoder) -> list[str]:
     return SEGMENT_NUMBERS + [X.area_indicator_name(a) for a in encoder.stages[0].labels]
 
 
-def train_segment_model(clean_cls: DataFrame, key: str = "listing_id", num_trees: int = 1500,
-                        max_depth: int = 8, seed: int = 42) -> tuple[SegmentModel, DataFrame]:
-    """M7: stratified 80/20 (M2), multi-class random forest; returns holdout (y, p)."""
+def class_probabilities(frame: DataFrame, models: list) -> DataFrame:
+    """Appends ``probability array<double>``: each classifier's chance of its class, made to sum to 1."""
+    out = frame
+    for i, m in enumerate(models):
+        m = m.copy().setPredictionCol(f"_c{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}")
+        out = m.transform(out).withColumn(f"_p{i}", vector_to_array(f"_p{i}")[1]).drop(f"_c{i}", f"_r{i}")
+    parts = [F.col(f"_p{i}") for i in range(len(models))]
+    total = sum(parts[1:], parts[0])
+    return out.withColumn("probability", F.array(*[p / total for p in parts])).drop(*[f"_p{i}" for i in range(len(models))])
+
+
+def likeliest(probability: str = "probability") -> F.Column:
+    """The class of the highest probability (the first of equal ones)."""
+    return (F.array_position(F.col(probability), F.array_max(F.col(probability))) - 1).cast("int")
+
+
+def train_segment_model(clean_cls: DataFrame, key: str = "listing_id", max_iter: int = 1500, max_depth: int = 8,
+                        step_size: float = 0.05, patience: int = 50, seed: int = 42) -> tuple[SegmentModel, DataFrame]:
+    """M7: stratified 80/20 (M2); a boosted classifier for each segment against the others, its round
+    chosen by a tenth of the training part; probabilities are normalised.  Returns the holdout (y, p)."""
     df = segment_numbers(P.stratified_split(clean_cls, key, "kelas_harga"))
     encoder = fit_segment_encoder(df)
-    frame = encoder.transform(df).withColumn("label", F.col("kelas_harga").cast("double"))
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=num_trees,
-                                maxDepth=max_depth, seed=seed)
-    model = rf.fit(frame.filter("is_train"))
-    hold = model.transform(frame.filter(~F.col("is_train")))
-    return SegmentModel(model, encoder, segment_feature_names(encoder)), hold.select(
-        F.col("kelas_harga").alias("y"), F.col("prediction").cast("int").alias("p"))
+    frame = encoder.transform(df).withColumn("is_val", F.col("is_train") & validation_rows(key)).persist()
+    models = []
+    for c in range(len(K.SEGMENT_LABELS)):
+        gbt = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=max_depth, stepSize=step_size, seed=seed)
+        rows = frame.filter("is_train").withColumn("label", (F.col("kelas_harga") == c).cast("double"))
+        models.append(fit_boosted(gbt, rows.filter("not is_val"), rows.filter("is_val"), max_iter, patience))
+    hold = class_probabilities(frame.filter(~F.col("is_train")), models)
+    hold = materialize(hold.select(F.col("kelas_harga").alias("y"), likeliest().alias("p")), "segment-holdout")
+    frame.unpersist()
+    return SegmentModel(models, encoder, segment_feature_names(encoder)), hold
 
 
 def price_or_estimate(df: DataFrame, pm: PriceModels | None) -> DataFrame:
@@ -166,10 +241,10 @@ def price_or_estimate(df: DataFrame, pm: PriceModels | None) -> DataFrame:
 
 def segment_columns(df: DataFrame, sm: SegmentModel) -> DataFrame:
     """Appends ``kelas_id, kelas_label, probabilitas`` (4 decimals) to rows with a price."""
-    out = sm.model.transform(sm.encoder.transform(segment_numbers(df)))
+    out = class_probabilities(sm.encoder.transform(segment_numbers(df)), sm.models)
     labels = [K.SEGMENT_LABELS[i] for i in range(4)]
-    probs = F.transform(vector_to_array("probability"), lambda p: F.bround(p, 4))
-    kelas = F.col("prediction").cast("int")
+    probs = F.transform("probability", lambda p: F.bround(p, 4))
+    kelas = likeliest()
     return out.select(*df.columns, kelas.alias("kelas_id"), X.segment_label(kelas).alias("kelas_label"),
                       F.map_from_arrays(F.array(*[F.lit(x) for x in labels]), F.slice(probs, 1, 4)).alias("probabilitas"))
 
@@ -183,6 +258,50 @@ def score_segments(df: DataFrame, sm: SegmentModel, pm: PriceModels | None = Non
 
 # ---- market clusters (M9, M10, W1, J5) ----------------------------------------------
 
+#: Rows that the reduced space is fitted on, at most; every row is mapped into it.
+LANDMARKS = 256
+REDUCED = 10
+
+
+@dataclass
+class LandmarkMap:
+    """A smooth non-linear map of standardized rows to few dimensions (Nystroem).
+
+    ``exp(-gamma * squared distance)`` to each landmark, projected on the first principal directions of the
+    landmarks' own similarities.
+    """
+
+    landmarks: list[list[float]]
+    projection: list[list[float]]
+    gamma: float
+
+    def columns(self, z: list[str]) -> F.Column:
+        """The mapped row as an array column, Arrow batch by Arrow batch."""
+        marks, project, gamma = np.array(self.landmarks), np.array(self.projection), self.gamma
+
+        @F.pandas_udf("array<double>")
+        def apply(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return v
+            x = np.stack(v.to_numpy())
+            d = (x ** 2).sum(axis=1)[:, None] - 2 * x @ marks.T + (marks ** 2).sum(axis=1)
+            return pd.Series(list(np.exp(-gamma * np.maximum(d, 0)) @ project))
+
+        return apply(F.array(*[F.col(c) for c in z]))
+
+
+def fit_landmarks(z: DataFrame, cols: list[str], key: str, dims: int = REDUCED, landmarks: int = LANDMARKS) -> LandmarkMap:
+    """Fit on ``landmarks`` rows at most, those of smallest hash of the key; gamma by their median distance."""
+    rows = z.orderBy(F.xxhash64(F.col(key)), key).limit(landmarks).select(*[F.col(c).cast("double") for c in cols]).collect()
+    marks = np.array([list(r) for r in rows]).reshape(-1, len(cols))
+    d = ((marks[:, None] - marks[None]) ** 2).sum(axis=2)
+    spread = float(np.median(d[d > 0])) if (d > 0).any() else 1.0
+    e, v = np.linalg.eigh(np.exp(-d / spread))
+    top = np.argsort(-e)[:dims]
+    top = top[e[top] > 1e-9 * max(e.max(initial=0), 1e-300)]
+    return LandmarkMap(marks.tolist(), (v[:, top] / np.sqrt(e[top])).tolist(), 1 / spread)
+
+
 @dataclass
 class ClusterModel:
     model: object
@@ -191,37 +310,49 @@ class ClusterModel:
     summary: DataFrame
     encoder: DataFrame
     fallback: float
-    reducer: object = None
+    reducer: LandmarkMap | None = None
     silhouette: float | None = None
+    silhouette_plain: float | None = None  # of the same procedure without the reduced space
 
 
-def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts: int = 50, max_iter: int = 500,
-                          seed: int = 42, pca_k: int | None = None) -> ClusterModel:
-    """M9: E3 -> (optional PCA to ``pca_k`` <= 8 dims) -> KMeans(k); best of ``restarts`` seeds
-    by training cost; W1 relabel by median price."""
-    feats = X.CLUSTERING_FEATURES
-    stats = E.fit_standardizer(clean_clu, feats)
-    z = E.standardize(clean_clu, stats)
-    zc = [f"{c}_z" for c in feats]
-    data = VectorAssembler(inputCols=zc, outputCol="features").transform(z)
-    pca = None
-    if pca_k:
-        from pyspark.ml.feature import PCA
-        pca = PCA(k=min(pca_k, len(zc)), inputCol="features", outputCol="reduced").fit(data)
-        data = pca.transform(data).drop("features").withColumnRenamed("reduced", "features")
-    data = data.persist()
+def _restarted(data: DataFrame, k: int, restarts: int, max_iter: int, seed: int) -> tuple[object, float]:
+    """The k-means model of lowest cost over ``restarts`` seeds, and its silhouette (squared Euclidean, no pairs)."""
     best = None
     for i in range(restarts):
         m = KMeans(k=k, maxIter=max_iter, seed=seed + i, featuresCol="features", predictionCol="raw_id").fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    model = best[1]
-    assigned = model.transform(data)
-    # A13 silhouette: MLlib's distributed evaluator (squared Euclidean, O(n*k), no pairs)
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    silhouette = ClusteringEvaluator(featuresCol="features", predictionCol="raw_id").evaluate(assigned)
+        if best is None or m.summary.trainingCost < best[0]:
+            best = (m.summary.trainingCost, m)
+    assigned = best[1].transform(data)
+    return best[1], ClusteringEvaluator(featuresCol="features", predictionCol="raw_id").evaluate(assigned)
+
+
+def _vectors(z: DataFrame, reducer: LandmarkMap | None) -> DataFrame:
+    """Appends ``features``: the standardized columns, or where the reducer maps them."""
+    zc = [f"{c}_z" for c in X.CLUSTERING_FEATURES]
+    if reducer is None:
+        return VectorAssembler(inputCols=zc, outputCol="features").transform(z)
+    return z.withColumn("features", array_to_vector(reducer.columns(zc)))
+
+
+def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts: int = 50, max_iter: int = 500,
+                          seed: int = 42, dims: int | None = REDUCED, key: str = "listing_id") -> ClusterModel:
+    """M9: E3 -> reduced space of ``dims`` dimensions (none: the standardized columns themselves) ->
+    KMeans(k), best of ``restarts`` seeds by training cost; W1 relabel by median price.
+
+    The plain form is trained beside the reduced one, for its silhouette alone.
+    """
     from .analytics import cluster_summary, rank_clusters
+
+    stats = E.fit_standardizer(clean_clu, X.CLUSTERING_FEATURES)
+    z = E.standardize(clean_clu, stats)
+    plain = _vectors(z, None).persist()
+    model, silhouette = _restarted(plain, k, restarts, max_iter, seed)
+    silhouette_plain, reducer, data = silhouette, None, plain
+    if dims:
+        reducer = fit_landmarks(z, [f"{c}_z" for c in X.CLUSTERING_FEATURES], key, dims)
+        data = _vectors(z, reducer).persist()
+        model, silhouette = _restarted(data, k, restarts, max_iter, seed)
+    assigned = model.transform(data)
     ranks = rank_clusters(assigned, "raw_id").select("raw_id", F.col("rank_id").alias("cluster_id"), "cluster_label")
     ranks = bounded_broadcast(ranks, 1_000)
     labelled = assigned.join(ranks, "raw_id")
@@ -229,8 +360,9 @@ def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts:
     summary = materialize(summary, "cluster-summary")
     enc = E.fit_median_encoder(clean_clu.drop("lokasi_enc"), "lokasi", "log_harga")
     fb = E.median_fallback(enc)
-    data.unpersist()
-    return ClusterModel(model, stats, ranks, summary, enc, fb, pca, silhouette)
+    for d in (plain, data):
+        d.unpersist()
+    return ClusterModel(model, stats, ranks, summary, enc, fb, reducer, silhouette, silhouette_plain)
 
 
 def cluster_columns(df: DataFrame, cm: ClusterModel) -> DataFrame:
@@ -247,10 +379,7 @@ def cluster_columns(df: DataFrame, cm: ClusterModel) -> DataFrame:
     z = z.withColumn("imputed_features", F.filter(F.array(*[F.when(F.col(f"{c}_z").isNull(), F.lit(c)) for c in X.CLUSTERING_FEATURES]),
                                                   lambda x: x.isNotNull()))
     z = z.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in zc})
-    vec = VectorAssembler(inputCols=zc, outputCol="features").transform(z)
-    if cm.reducer is not None:
-        vec = cm.reducer.transform(vec).drop("features").withColumnRenamed("reduced", "features")
-    out = cm.model.transform(vec).join(F.broadcast(cm.rank_map), "raw_id", "left")  # one row for each cluster
+    out = cm.model.transform(_vectors(z, cm.reducer)).join(F.broadcast(cm.rank_map), "raw_id", "left")  # one row for each cluster
     return out.select(*df.columns, "cluster_id",
                       F.coalesce(F.col("cluster_label"), X.cluster_name("cluster_id")).alias("cluster_label"),
                       "imputed_features")

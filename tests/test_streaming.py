@@ -248,7 +248,7 @@ def test_feedback_stream_with_real_retrain(spark, scratch):
     rows.withColumn("_p", F.pmod("event_id", F.lit(2))).write.partitionBy("_p").json(src)
     root, reg = os.path.join(scratch, "fb"), os.path.join(scratch, "registry")
     retrain = make_retrain(lambda sp: jobs.clean_regression_table(sp, SF001), reg, secondary=True,
-                           price={"max_iter": 5}, segment={"num_trees": 5, "max_depth": 4},
+                           price={"max_iter": 5}, segment={"max_iter": 2, "max_depth": 3},
                            clusters={"k": 3, "restarts": 1, "max_iter": 5})
     stream = SJ.read_feedback_stream(spark, src, max_files=1)
     SJ.feedback_stream(stream, root, os.path.join(scratch, "ck"), threshold=300, retrain=retrain).awaitTermination()
