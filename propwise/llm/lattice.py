@@ -13,6 +13,7 @@ can tell.  Buckets above ``max_bucket`` members are dealt out as pairs of chunks
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations, product
 
@@ -24,12 +25,9 @@ from pyspark.sql import functions as F
 from .common import SALTS, components, explode_salts, salt_of, stage
 
 THRESHOLD = 0.95
-TABLES = 5
 PROBES = 5
-#: E8 blocks of a cell, and what a cell measures in units of the projected vectors.  More
-#: blocks or a smaller scale make finer cells, for collections of far more vectors.
-BLOCKS = 1
-SCALE = 1.2
+#: Part of the links at the threshold itself that the tables are to find; closer pairs are missed less.
+RECALL = 0.99
 SEED = 8
 MAX_BUCKET = 2048
 ROWS = 256
@@ -59,6 +57,38 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
+def cells_for(rows: int) -> tuple[int, float]:
+    """E8 blocks of a cell and what it measures in units of the projected vectors, for ``rows`` vectors.
+
+    The share of all pairs that meet by chance falls about 4.5 times for each step of 0.2 with two blocks and 8
+    times with three (measured on random pairs), so a vector meets a few dozen others up to some 1e9 vectors; from there on
+    cells stay as they are, for finer ones would take ever more tables.
+    """
+    if rows <= 1 << 12:
+        return 1, 1.2
+    two = max(0, math.ceil(math.log(rows / (1 << 14)) / math.log(4.5)))
+    if two <= 3:
+        return 2, 2.0 - 0.2 * two
+    return 3, max(1.4, 1.8 - 0.2 * max(0, math.ceil(math.log(rows / (1 << 26)) / math.log(8))))
+
+
+def tables_for(blocks: int, scale: float, probes: int = PROBES, threshold: float = THRESHOLD, recall: float = RECALL,
+               seed: int = SEED) -> int:
+    """Tables that find ``recall`` of the pairs of cosine ``threshold``, by planting such pairs in cells of this kind.
+
+    What a random projection does to a pair depends on its cosine alone, so the length of the planted
+    vectors does not matter.
+    """
+    rng = np.random.default_rng([seed, blocks])
+    a, b = rng.standard_normal((2, 2000, 16))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b *= (1 - threshold ** 2) ** 0.5 / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (Cells(16, 6, probes, blocks, scale, seed)(v) for v in (a, threshold * a + b))
+    met = ((x[:, :, :1] == y) | (y[:, :, :1] == x)).any(axis=2).mean()
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(max(met, 1e-3), 0.999))))
+
+
 class Cells:
     """Cells of vectors of one length: ``(rows, tables, 1 + probes)`` keys, the own cell first."""
 
@@ -128,14 +158,20 @@ def _valid(e: str) -> str:
             f" and exists({e}, x -> x <> 0)")
 
 
-def vector_classes(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES,
-                   blocks: int = BLOCKS, scale: float = SCALE, seed: int = SEED, max_bucket: int = MAX_BUCKET,
-                   salts: int = SALTS) -> DataFrame:
-    """``(__vec, __links, __root, __low, __salts)`` of each distinct valid vector of ``(__id, __vec)``."""
+def vector_classes(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, recall: float = RECALL,
+                   blocks: int | None = None, scale: float | None = None, tables: int | None = None, seed: int = SEED,
+                   max_bucket: int = MAX_BUCKET, salts: int = SALTS) -> DataFrame:
+    """``(__vec, __links, __root, __low, __salts)`` of each distinct valid vector of ``(__id, __vec)``.
+
+    Cells follow the number of distinct vectors and tables the recall, unless they are given.
+    """
     reps = stage(vectors.withColumn("__salt", salt_of(F.col("__id"), salts)).groupBy("__vec").agg(
         F.min("__id").alias("__rep"), F.count(F.lit(1)).alias("__n"),
         F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("__salts")).withColumn(
             "__uid", F.monotonically_increasing_id()), "lattice-reps")
+    if blocks is None or scale is None:
+        blocks, scale = cells_for(reps.count())
+    tables = tables or tables_for(blocks, scale, probes, threshold, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Cells] = {}

@@ -76,15 +76,62 @@ def test_recall_near_the_threshold(spark):
     assert 0.95 * want <= got <= want and want > 1000
 
 
-def test_recall_on_the_table(spark):
+def planted(n, pairs, low, high, dim, seed=0):
+    """``n`` random unit vectors and ``pairs`` more, each at a cosine between ``low`` and ``high`` to one of them."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal((pairs, dim))
+    a = x[:pairs]
+    z -= (a * z).sum(axis=1, keepdims=True) * a
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(low, high, (pairs, 1))
+    return np.concatenate([x, c * a + (1 - c ** 2) ** 0.5 * z])
+
+
+@pytest.mark.parametrize("n, dim", [(3_000, 64), (8_000, 64), (8_000, 512), (40_000, 64)])
+def test_recall_of_planted_pairs(spark, n, dim):
+    pairs = 1_500
+    x = planted(n, pairs, 0.951, 0.96, dim)
+    rows = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r.component_id for r in lattice.near_vectors(rows).where("n_links > 0").collect()}
+    met = sum(got.get(n + i) == i for i in range(pairs))
+    assert met >= 0.95 * pairs and set(got) <= {*range(pairs), *range(n, n + pairs)}
+
+
+def test_comparisons_for_each_vector_do_not_grow(spark):
+    met = []
+    for n in (4_000, 5_000, 50_000):
+        x = planted(n, 0, 0.96, 0.97, 64)
+        blocks, scale = lattice.cells_for(n)
+        tables = lattice.tables_for(blocks, scale)
+        cells = lattice.Cells(64, tables, lattice.PROBES, blocks, scale, lattice.SEED)(x)
+        # members of every bucket that holds one that sits: what is compared there
+        pairs = 0
+        for t in range(tables):
+            keys, owner = cells[:, t].ravel(), np.tile(np.arange(1 + lattice.PROBES) == 0, n)
+            _, at, count = np.unique(keys, return_inverse=True, return_counts=True)
+            sits = np.bincount(at, weights=owner, minlength=len(count))
+            pairs += int((count * (count - 1) / 2)[sits > 0].sum())
+        met.append(pairs / n)
+    assert max(met) < 150 and met[2] < 2 * max(met[:2])
+
+
+def test_finer_cells_for_more_vectors():
+    kinds = [lattice.cells_for(10 ** k) for k in range(1, 13)]
+    assert kinds == sorted(kinds, key=lambda k: (k[0], -k[1])) and kinds[0] == (1, 1.2) and kinds[-1][0] == 3
+    assert [lattice.tables_for(*lattice.cells_for(n)) for n in (10 ** 4, 10 ** 6)] == sorted(
+        lattice.tables_for(*lattice.cells_for(n)) for n in (10 ** 4, 10 ** 6))
+    assert all(lattice.tables_for(*k) < 64 for k in set(kinds[:10]))
+
+
+def test_links_of_the_table_are_true(spark):
+    # this table holds no pair of cosine 0.95 (its closest are at 0.61): nothing may be linked
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    data = df.orderBy("vec_id").collect()
-    x = np.array([r.embedding for r in data], np.float64)
+    x = np.array([r.embedding for r in df.select("embedding").collect()], np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    links = (x @ x.T >= 0.95).sum(axis=1) - 1
-    got = {r.vec_id: r.n_links for r in lattice.near_vectors(df).collect()}
-    assert all(got[r.vec_id] <= n for r, n in zip(data, links))
-    assert sum(got.values()) >= 0.98 * links.sum()
+    links = (x @ x.T >= 0.95).sum() - len(x)
+    assert links == 0 and lattice.near_vectors(df).where("n_links > 0").count() == 0
 
 
 def test_defined_cases(spark):
