@@ -4,12 +4,14 @@ First a language family, by one linear classifier for each family; then, among t
 of that family, one-versus-one linear support vector machines that vote.  Features are hashed
 byte trigrams of the whole lower-cased text with all marks and digits read as spaces (square
 roots of counts, unit length).  All machines minimise the squared hinge loss and are fitted
-on a bounded sample of labelled rows; their weights (languages x buckets) are broadcast.
+on a bounded sample of labelled rows, each in a task of its own, on the sample's dot products; their
+weights (machines x buckets) are broadcast.  A language code that no family names joins the
+family of the language whose mean features are most like its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import smallest
+from .common import smallest, stage
 
 BUCKETS = 4096
-#: Labelled rows used of each language: the bound of the training sample.
-SAMPLE_PER_LANG = 400
+#: Labelled rows used of each language, and of all together; and languages learned, those with the most
+#: texts: the bounds of the training sample.
+SAMPLE_PER_LANG, MAX_SAMPLE, MAX_LANGS = 400, 4_000, 200
+#: Cosine of mean features from which a code without a family joins another's.
+ALIKE = 0.5
 UNKNOWN = "und"
 RESULT = ["held_out", "lang_pred", "score"]
 
@@ -65,41 +70,100 @@ def features(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> np.ndarray:
-    """Weights and bias of a linear SVM (squared hinge, classes weighted alike); ``y`` is +1 or -1."""
+def fit_svm(dots: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> tuple[np.ndarray, float]:
+    """Linear SVM (squared hinge, classes weighted alike) on the rows' dot products; ``y`` is +1 or -1.
+
+    Every gradient step adds multiples of the rows to the weights, so it is taken on the multiples: the
+    result is the rows' coefficients, and the bias.
+    """
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, np.float32)  # the bias is the last weight
-    v, t = w.copy(), 1.0
-    rate = 1.0 / (1.0 + 2 * c * float(share @ (np.einsum("ij,ij->i", x, x) + 1)))  # above the curvature
+    w, v, t = np.zeros((2, len(y)), np.float32), np.zeros((2, len(y)), np.float32), 1.0  # coefficients; the bias in w[1, 0]
+    rate = 1.0 / (1.0 + 2 * c * float(share @ (np.diag(dots) + 1)))  # above the curvature
     for _ in range(steps):  # accelerated gradient steps
-        pull = share * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) * y
-        new = v - rate * (v - 2 * c * np.append(x.T @ pull, pull.sum()))
+        pull = share * np.maximum(0, 1 - y * (dots @ v[0] + v[1, 0])) * y
+        step = np.stack([pull, np.zeros_like(pull)])
+        step[1, 0] = pull.sum()
+        new = v - rate * (v - 2 * c * step)
         t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
-        v = new + (old - 1) / t * (new - w)
+        v = new + np.float32((old - 1) / t) * (new - w)
         w = new
-    return w
+    return w[0], float(w[1, 0])
+
+
+def fit_machine(x: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Weights and, last, the bias of the machine that tells rows of side 1 from those of -1; others are left out."""
+    rows = x[side != 0].astype(np.float32)
+    part, bias = fit_svm(rows @ rows.T, side[side != 0].astype(np.float32))
+    return np.append(rows.T @ part, np.float32(bias)).astype(np.float32)
+
+
+def families_of(means: np.ndarray, langs: list[str]) -> dict[str, str]:
+    """The family of each language: its own code's, else that of the language most like it, else none but its own."""
+    found = {v: FAMILY_OF[v] for v in langs if v in FAMILY_OF}
+    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+    like = unit @ unit.T
+    np.fill_diagonal(like, -1)
+    order = sorted((-like[i, j], i, j) for i in range(len(langs)) if langs[i] not in found for j in range(len(langs)))
+    for gap, i, j in order:  # closest first
+        if -gap >= ALIKE and langs[i] not in found:
+            found[langs[i]] = found.setdefault(langs[j], langs[j])
+    return {v: found.get(v, v) for v in langs}
+
+
+#: Machines are named by the sides they part: ("family", f) or ("pair", language, language).
+Machine = tuple[str, ...]
+
+
+def sides(machine: Machine, lang: np.ndarray, family: np.ndarray) -> np.ndarray:
+    """1, -1 or 0 (left out) for each row of the sample."""
+    if machine[0] == "family":
+        return np.where(family == machine[1], 1, -1)
+    return (lang == machine[1]).astype(int) - (lang == machine[2])
+
+
+def fit_here(x: np.ndarray, lang: np.ndarray, family: np.ndarray, machines: list[Machine]) -> list[np.ndarray]:
+    return [fit_machine(x, sides(m, lang, family)) for m in machines]
+
+
+def fit_in_tasks(spark) -> Callable[..., list[np.ndarray]]:
+    """Like ``fit_here`` with a task for each machine; the bounded sample is broadcast."""
+    def run_all(x: np.ndarray, lang: np.ndarray, family: np.ndarray, machines: list[Machine]) -> list[np.ndarray]:
+        if not machines:
+            return []
+        sent = spark.sparkContext.broadcast((x.astype(np.float16), lang, family, machines))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, lang, family, machines = sent.value
+            for b in batches:
+                for i in b.column("id").to_pylist():
+                    w = fit_machine(x, sides(machines[i], lang, family))
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([w.tobytes()], pa.binary())], ["id", "w"])
+
+        rows = spark.range(0, len(machines), 1, len(machines)).mapInArrow(run, "id bigint, w binary").collect()
+        return [np.frombuffer(r["w"], np.float32) for r in sorted(rows, key=lambda r: r["id"])]
+
+    return run_all
 
 
 class LanguageModel:
     """Fitted machines: ``families`` by one against the rest, ``pairs`` by family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], fit_all: Callable[..., list[np.ndarray]] = fit_here):
         self.langs = sorted(set(langs))
         lang = np.array(langs)
-        family = np.array([FAMILY_OF.get(v, v) for v in langs])
-        self.families = sorted(set(family.tolist()))
-        sign = lambda mask: np.where(mask, 1, -1).astype(np.float32)
-        self.top = (np.column_stack([fit_svm(x, sign(family == f)) for f in self.families])
-                    if len(self.families) > 1 else None)
+        of = families_of(np.stack([x[lang == v].mean(axis=0) for v in self.langs]), self.langs)
+        family = np.array([of[v] for v in langs])
+        self.families = sorted(set(of.values()))
+        own = {f: [v for v in self.langs if of[v] == f] for f in self.families}
+        machines: list[Machine] = [("family", f) for f in self.families] if len(self.families) > 1 else []
+        machines += [("pair", *p) for f in self.families for p in combinations(own[f], 2)]
+        fitted = dict(zip(machines, fit_all(x, lang, family, machines)))
+        self.top = np.column_stack([fitted["family", f] for f in self.families]) if len(self.families) > 1 else None
         self.pairs: dict[str, tuple[list[str], list[tuple[int, int]], np.ndarray | None]] = {}
         for f in self.families:
-            own = sorted(set(lang[family == f].tolist()))
-            duels = list(combinations(range(len(own)), 2))
-            w = []
-            for a, b in duels:
-                rows = (lang == own[a]) | (lang == own[b])
-                w.append(fit_svm(x[rows], sign(lang[rows] == own[a])))
-            self.pairs[f] = (own, duels, np.column_stack(w) if w else None)
+            duels = list(combinations(range(len(own[f])), 2))
+            w = [fitted["pair", own[f][a], own[f][b]] for a, b in duels]
+            self.pairs[f] = (own[f], duels, np.column_stack(w) if w else None)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and a score from 0 to 1: how clear the family and the closest duel were."""
@@ -139,17 +203,23 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 
 
-def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang",
-        per_lang: int = SAMPLE_PER_LANG, held: int = 1, folds: int = 3) -> LanguageModel | None:
-    """Fit on at most ``per_lang`` distinct texts of each language whose rows' folds are not ``held``.
+def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", per_lang: int = SAMPLE_PER_LANG,
+        held: int = 1, folds: int = 3, max_sample: int = MAX_SAMPLE, max_langs: int = MAX_LANGS) -> LanguageModel | None:
+    """Fit on a bounded sample of distinct texts whose rows' folds are not ``held``.
 
-    The texts are those with the smallest digests.  Their digests are found first, in narrow rows,
-    and broadcast (``per_lang`` for each language); features are then made in tasks from whole
-    texts, and only their numbers travel.  None if no row has a language and a letter.
+    At most ``per_lang`` texts of each language and about ``max_sample`` in all, of the ``max_langs``
+    languages with the most texts; those with the smallest digests.  Their digests are found first, in narrow
+    rows, and broadcast; features are then made in tasks from whole texts, and only their numbers
+    travel.  None if no row has a language and a letter.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(text).alias("h")).where(
         (remainder(F.col(doc_id), folds) != held) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    picked = smallest(rows.select("lang", "h").distinct(), "lang", ["h"], per_lang)
+    narrow = stage(rows.select("lang", "h").distinct(), "language-digests")
+    learned = [r["lang"] for r in narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+               .limit(max_langs).collect()]
+    quota = max(1, min(per_lang, max_sample // max(len(learned), 1)))
+    picked = smallest(narrow.where(F.col("lang").isin(learned)), "lang", ["h"], quota)
     rows = rows.join(F.broadcast(picked), ["lang", "h"], "left_semi").select("lang", "h", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +236,10 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str =
     if not got.num_rows:
         return None
     got = got.sort_by([("lang", "ascending"), ("h", "ascending")])  # the same sums on every run
-    x = np.empty((got.num_rows, BUCKETS), np.float32)
+    x = np.empty((got.num_rows, BUCKETS), np.float16)
     for i, row in enumerate(got.column("x")):
         x[i] = np.frombuffer(row.as_buffer(), np.float16)
-    return LanguageModel(x, got.column("lang").to_pylist())
+    return LanguageModel(x, got.column("lang").to_pylist(), fit_in_tasks(spark))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None, text: str = "text", doc_id: str = "doc_id",

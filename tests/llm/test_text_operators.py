@@ -194,6 +194,67 @@ def test_language_pairs_vote():
     assert model.predict(texts)[0] == ["en", "de", "nl", "fr"] * 5
 
 
+def test_language_decisions_are_those_of_the_machines(whole):
+    """Brute force: the sample found by hand, each machine fitted on its weights, votes counted one by one."""
+    rows = [r for r in whole.collect() if r.text and r.lang and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    distinct = {}
+    for r in rows:
+        distinct.setdefault(r.lang, {})[xxhash.xxh64_intdigest(r.text.encode(), 42)] = r.text
+    signed = lambda h: h - 2 ** 64 if h >= 2 ** 63 else h
+    sample = [(lang, t) for lang in sorted(distinct) for _, t in sorted((signed(h), t) for h, t in distinct[lang].items())[:400]]
+    x = langid.features([t for _, t in sample]).astype(np.float16).astype(np.float64)
+    keep = x.any(axis=1)
+    x, lang = x[keep], np.array([v for v, _ in sample])[keep]
+
+    def machine(y, c=20.0, steps=150):  # gradient steps on the weights themselves
+        rows, y = x[y != 0], y[y != 0]
+        share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+        z = np.column_stack([rows, np.ones(len(rows))])
+        w, v, t = np.zeros(z.shape[1]), np.zeros(z.shape[1]), 1.0
+        rate = 1 / (1 + 2 * c * (share @ (z ** 2).sum(axis=1)))
+        for _ in range(steps):
+            new = v - rate * (v - 2 * c * z.T @ (share * np.maximum(0, 1 - y * (z @ v)) * y))
+            t, old = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+            v, w = new + (old - 1) / t * (new - w), new
+        return w
+
+    model = langid.fit(whole)
+    family = np.array([langid.FAMILY_OF[v] for v in lang])
+    assert model.langs == sorted(set(lang)) and model.families == sorted(set(family))
+    top = np.column_stack([machine(np.where(family == f, 1, -1)) for f in model.families])
+    assert np.abs(top - model.top).max() < 1e-3
+    texts = [r.text for r in whole.limit(60).collect()]
+    got, _ = model.predict(texts)
+    f = langid.features(texts).astype(np.float64)
+    pick = (f @ top[:-1] + top[-1]).argmax(axis=1)
+    pairs = {}
+    for i, t in enumerate(texts):
+        own = sorted(v for v in set(lang) if langid.FAMILY_OF[v] == model.families[pick[i]])
+        votes = dict.fromkeys(own, 0.0)
+        for a in range(len(own)):
+            for b in range(a + 1, len(own)):
+                key = own[a], own[b]
+                w = pairs.setdefault(key, machine((lang == key[0]).astype(int) - (lang == key[1])))
+                m = f[i] @ w[:-1] + w[-1]
+                votes[own[a] if m >= 0 else own[b]] += 1
+                votes[own[a]] += 0.4 / len(own) * np.tanh(m)
+                votes[own[b]] -= 0.4 / len(own) * np.tanh(m)
+        want = max(own, key=votes.__getitem__) if langid.has_letter(t) else "und"
+        assert got[i] == want
+
+
+def test_language_sample_is_bounded_and_unknown_codes_find_their_kin(spark):
+    kin = {"en": "the cat and the dog of the house ", "xx": "the cat and a dog in the house of ", "fr": "le chat et le chien de la maison ",
+           "yy": "le chat et un chien dans la maison ", "zz": "qqq www zzz jjj "}
+    rows = [(3 * i + k, t * 3 + str(i), v) for k, (v, t) in enumerate(kin.items()) for i in range(40)]
+    rows += [(10_000 + i, f"rare {i} word", f"c{i:04}") for i in range(300)]
+    docs = spark.createDataFrame([(i, t, v, "s", len(t)) for i, t, v in rows], SCHEMA)
+    model = langid.fit(docs, max_langs=12, max_sample=120)
+    assert len(model.langs) <= 12 and set(kin) <= set(model.langs)
+    own = {v: f for f in model.families for v in model.pairs[f][0]}
+    assert own["xx"] == own["en"] == "germanic" and own["yy"] == own["fr"] == "romance" and own["zz"] == "zz"
+
+
 # quality
 
 def test_quality_on_held_out_rows(spark):
