@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import os
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -52,11 +53,6 @@ notice, this list of conditions and the following disclaimer in the documentatio
 with the distribution."""
 _BSD_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
 promote products derived from this software without specific prior written permission."""
-_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
-Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option)
-any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without
-even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License
-for more details."""
 _ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors
 be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this
 software for any purpose, including commercial applications, and to alter it and redistribute it freely."""
@@ -66,37 +62,118 @@ _UNLICENSE = """This is free and unencumbered software released into the public
 modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
 for any purpose, commercial or non-commercial, and by any means."""
 
-TEMPLATES: list[tuple[str, str]] = [
-    ("MIT", _MIT),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "This project is licensed under the terms of the MIT license."),
-    ("ISC", _ISC),
-    ("ISC", "Released under the ISC License."),
-    ("Apache-2.0", _APACHE),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("BSD-2-Clause", _BSD),
-    ("BSD-3-Clause", _BSD + " " + _BSD_NAMES),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("GPL-2.0", _GPL.format(v=2)),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", _GPL.format(v=3)),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("MPL-2.0", _MPL),
-    ("Zlib", _ZLIB),
-    ("Unlicense", _UNLICENSE),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring "
-                "rights to this work."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+_ISC_REST = """IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY
+DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
+TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+_BSD_REST = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,
+STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF
+ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ZLIB_REST = """subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not
+claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must
+not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution."""
+_UNLICENSE_REST = """In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all
+copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and
+to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law."""
+_GNU_NOTICE = """This {work} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind}
+General Public License as published by the Free Software Foundation{stop} either version {v} of the License, or (at your option)
+any later version. This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} General Public License for more
+details."""
+_GNU_HEAD = """GNU {kind} GENERAL PUBLIC LICENSE Version {v}, {date} Copyright (C) {years} Free Software Foundation, Inc. Everyone
+is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."""
+#: Identifier, kind, version, date and years of the GNU licences.
+_GNU = [
+    ("GPL-2.0", "", "2", "June 1991", "1989, 1991"),
+    ("GPL-3.0", "", "3", "29 June 2007", "2007"),
+    ("LGPL-2.1", "Lesser", "2.1", "February 1999", "1991, 1999"),
+    ("LGPL-3.0", "Lesser", "3", "29 June 2007", "2007"),
+    ("AGPL-3.0", "Affero", "3", "19 November 2007", "2007"),
 ]
+#: Identifier and spoken names of licences, as single lines name them.
+_NAMES = [
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("EPL-2.0", "Eclipse Public License, version 2.0"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("Zlib", "zlib License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+]
+#: Sentences around such a name; the article goes where the name starts with "CC".
+_LINES = ["Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.",
+          "This work is licensed under a {}.", "This project is licensed under the terms of the {}."]
+
+
+def _named_lines() -> Iterator[tuple[str, str]]:
+    for name, spoken in _NAMES:
+        for line in _LINES:
+            yield name, line.replace("the {}", "{}").replace("a {}", "{}").format(spoken) if spoken.startswith("CC") else line.format(spoken)
+
+
+def _unique(templates: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Templates that differ in their words, first ones first."""
+    found: dict[tuple[str, ...], tuple[str, str]] = {}
+    for name, text in templates:
+        found.setdefault((name, *words(text)), (name, text))
+    return list(found.values())
+
+
+def built_in() -> list[tuple[str, str]]:
+    """``(SPDX identifier, text)``: whole short licences, their first paragraphs, standard notices and heads of long
+    ones, lines that name a licence, and identifier tags."""
+    whole = [
+        ("MIT", _MIT), ("ISC", _ISC), ("ISC", f"{_ISC} {_ISC_REST}"), ("Apache-2.0", _APACHE), ("BSD-2-Clause", _BSD),
+        ("BSD-2-Clause", f"{_BSD} {_BSD_REST}"), ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES}"),
+        ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_REST}"), ("MPL-2.0", _MPL), ("Zlib", _ZLIB), ("Zlib", f"{_ZLIB} {_ZLIB_REST}"),
+        ("Unlicense", _UNLICENSE), ("Unlicense", f"{_UNLICENSE} {_UNLICENSE_REST}"),
+        ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring "
+                    "rights to this work."),
+    ]
+    for name, kind, v, date, years in _GNU:
+        whole += [(name, _GNU_NOTICE.format(kind=kind, v=v, work=work, mark=mark, stop=stop))
+                  for work, mark, stop in (("program", ":", ","), ("library", ";", ";"))]
+        whole.append((name, _GNU_HEAD.format(kind=kind.upper(), v=v, date=date, years=years)))
+    tags = [(name, f"SPDX-License-Identifier: {name}{more}") for name in dict.fromkeys(n for n, _ in [*whole, *_NAMES])
+            for more in (["", "-only", "-or-later"] if name in {g[0] for g in _GNU} else [""])]
+    return _unique([*whole, *_named_lines(), *tags])
+
+
+def templates_in(folder: str) -> list[tuple[str, str]]:
+    """Templates from files named by SPDX identifier (``MPL-1.1``, ``GPL-2.0.txt``), to be added to ``TEMPLATES``."""
+    found = []
+    for name in sorted(os.listdir(folder)):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, encoding="utf-8", errors="replace") as f:
+                found.append((name.removesuffix(".txt"), f.read()))
+    return found
+
 
 _WORDS = re.compile(r"[^\W_]+(?:[.\-/][^\W_]+)*")
 
@@ -106,6 +183,9 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
+TEMPLATES: list[tuple[str, str]] = built_in()
+
+
 @dataclass
 class Template:
     name: str
@@ -203,7 +283,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", carry: list[str] | None =
 
     Null and empty texts and texts without a licence passage have null results and an empty
     list.  Rows alike get alike results.  Columns of the input that carry a result's name are
-    replaced.  The templates are a short list by construction, so they are broadcast.
+    replaced.  The templates are a list that the caller holds, so they are broadcast.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in RESULT]
     rows = docs.select(*carry, F.col(text).cast("string").alias("__text"))

@@ -1,8 +1,8 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-A document's terms are hashed trigrams of its byte classes (letters by case, digits, spaces,
-line ends, each kind of mark), weighted like tf-idf, and a few repetition terms.  The terms of a
-bounded, balanced sample of labelled rows span the latent space (truncated SVD); the sample's
+A document's terms are its hashed words, hashed trigrams of its byte classes (letters by case,
+digits, spaces, line ends, each kind of mark), both by square roots of counts, and how much its
+words and lines repeat.  The terms of a bounded, balanced sample of labelled rows span the latent space (truncated SVD); the sample's
 vectors and labels are broadcast.  Every document is projected in its task, its exact cosines
 with all labelled vectors are one matrix product per block of rows, and its nearest labelled
 vectors vote with a power of their similarity.
@@ -10,6 +10,8 @@ vectors vote with a power of their similarity.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from operator import eq
 
@@ -48,21 +50,27 @@ def _byte_class(c: int) -> int:
 
 _CLASSES = bytes(map(_byte_class, range(256)))
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
-STYLE = 4
+
+
+def _normed(counts: np.ndarray) -> np.ndarray:
+    f = np.sqrt(counts.astype(np.float32))
+    return f / max(float(np.linalg.norm(f)), 1e-9)
 
 
 def terms(text: str | None) -> np.ndarray:
-    """Term weights of a whole text: ``BUCKETS`` hashed trigrams of unit length, ``STYLE`` repetition terms."""
+    """Term weights of a whole text: ``BUCKETS`` hashed words and as many hashed trigrams of byte classes, each of
+    unit length, and three numbers from 0 to 1 (times two) of words and lines that repeat."""
     body = (text or "").encode("utf-8")
     a = np.frombuffer(b" " + body.translate(_CLASSES) + b" ", np.uint8).astype(np.uint32)
     h = a[:-2] * _MIX[0] ^ a[1:-1] * _MIX[1] ^ a[2:] * _MIX[2]
     h = (h ^ (h >> np.uint32(15))) * _MIX[1] >> np.uint32(21)
-    f = np.sqrt(np.bincount(h, minlength=BUCKETS).astype(np.float32))
-    words, lines = body.split(), body.split(b"\n")
-    n = max(len(words), 1)
-    again = sum(map(eq, words, words[1:])) / n
-    style = (again, max(0.0, again - 0.05) ** 0.5, max(0.0, 0.7 - len(set(words)) / n), 1 - len(set(lines)) / len(lines))
-    return np.concatenate([f / max(float(np.linalg.norm(f)), 1e-9), 2 * np.array(style, np.float32)])
+    words, lines = body.lower().split(), body.split(b"\n")
+    n = len(words)
+    code = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int64, n)
+    repeat = ((sum(map(eq, words, words[1:])) / max(n, 1)) ** 0.5, 1 - math.log1p(len(set(words))) / math.log1p(max(n, 1)) if n else 0.0,
+              1 - len(set(lines)) / len(lines))
+    return np.concatenate([_normed(np.bincount(code, minlength=BUCKETS)), _normed(np.bincount(h, minlength=BUCKETS)),
+                           2 * np.array(repeat, np.float32)])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

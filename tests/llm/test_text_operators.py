@@ -266,6 +266,40 @@ def test_quality_on_held_out_rows(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
 
 
+def test_quality_is_the_exact_vote_of_the_sample(spark):
+    """Brute force: the sample found by hand, the space by a plain decomposition, every cosine, the nearest vote."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    known = [(r.doc_id, r.quality) for r in labels.collect() if r.quality in (0, 1) and r.doc_id in text
+             and zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert len(known) < 1000  # so the whole of it is the sample
+    x = np.stack([quality.terms(text[i]).astype(np.float16).astype(np.float64) for i, _ in known])
+    y = np.array([q for _, q in known])
+    space = np.linalg.svd(x, full_matrices=False)[2][:quality.DIMENSIONS].T
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    v = unit(x @ space)
+    got = {r.doc_id: r.score for r in quality.classify(docs, quality.fit(docs, labels), carry=["doc_id"]).collect()}
+    worst = []
+    for i, t in text.items():
+        cosine = v @ unit(quality.terms(t).astype(np.float64)[None] @ space)[0]
+        near = np.argsort(-cosine)[:quality.NEIGHBOURS]
+        vote = np.maximum(cosine[near], 0) ** quality.POWER
+        worst.append(abs(got[i] - (vote @ y[near]) / vote.sum()))
+    assert np.quantile(worst, 0.99) < 1e-3  # single precision may swap neighbours of equal cosine
+
+
+def test_quality_may_be_a_matter_of_words_alone(spark):
+    rng = np.random.default_rng(4)
+    stems = [f"{a}{b}" for a in "bdfglmnprst" for b in ("aro", "eno", "ilu", "omi", "una", "eta", "oki", "ulo")]
+    good, poor = stems[::2], stems[1::2]  # words of the same shape
+    rows = [(i, " ".join(rng.choice(good if i % 2 else poor, 40)) + ".", "en", "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id bigint, quality int")
+    got = quality.classify(docs, quality.fit(docs, labels), carry=["doc_id"]).where("held_out").collect()
+    assert len(got) > 40 and np.mean([r.predicted == r.doc_id % 2 for r in got]) == 1.0
+
+
 def test_quality_defined_cases(spark, docs, whole):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     model = quality.fit(whole, labels)
@@ -601,6 +635,22 @@ def test_license_scan_over_rows(spark, docs):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def test_licenses_by_text_notice_head_line_and_tag(tmp_path):
+    s = licenses.Scanner()
+    head = "Preface.\n" + licenses._GNU_HEAD.format(kind="", v="3", date="29 June 2007", years="2007").replace(
+        "Inc.", "Inc. <https://fsf.org/>") + " Preamble The GNU General Public License is a free, copyleft license."
+    lgpl = licenses._GNU_NOTICE.format(kind="Lesser", v="2.1", work="library", mark=";", stop=";")
+    for text, name in ((head, "GPL-3.0"), (lgpl, "LGPL-2.1"), ("Released under CC0 1.0 Universal.", "CC0-1.0"),
+                       ("/* SPDX-License-Identifier: LGPL-2.1-or-later */", "LGPL-2.1"), ("# SPDX-License-Identifier: MIT", "MIT"),
+                       (licenses._ISC + " " + licenses._ISC_REST, "ISC"), (licenses._ZLIB + " " + licenses._ZLIB_REST, "Zlib"),
+                       ("This work is licensed under the Eclipse Public License, version 2.0.", "EPL-2.0")):
+        assert s.scan("Some code. " + text + " More code.")[4] == [name], text
+    assert len(licenses.TEMPLATES) == len({(n, *licenses.words(t)) for n, t in licenses.TEMPLATES}) > 150
+    (tmp_path / "Own-1.0.txt").write_text("This text may be sung by anyone who knows the tune of it.")
+    more = licenses.Scanner([*licenses.TEMPLATES, *licenses.templates_in(str(tmp_path))])
+    assert more.scan("x this text may be sung by anyone who knows the tune of it y")[0] == "Own-1.0"
+
+
 def brute_licenses(scanner, text):
     """All passages of all templates, closest first, without those that overlap a closer one."""
     from collections import Counter
@@ -624,7 +674,7 @@ def brute_licenses(scanner, text):
 def test_license_scan_looks_at_every_passage():
     s = licenses.Scanner()
     bsd2, bsd3 = licenses._BSD, licenses._BSD + " " + licenses._BSD_NAMES
-    gpl2, gpl3 = (licenses._GPL.format(v=v) for v in (2, 3))
+    gpl2, gpl3 = (licenses._GNU_NOTICE.format(kind="", v=v, work="program", mark=":", stop=",") for v in (2, 3))
     edited = gpl2.replace("hope", "wish")
     assert edited != gpl2
     gap = " Some other file of the bundle. "
