@@ -16,9 +16,10 @@ distinct values.  Rows are never sampled or dropped to make a step cheaper.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
@@ -147,11 +148,21 @@ def ratio_quantile_filter(df: DataFrame, lo: float = 0.05, hi: float = 0.95, exa
 
 @dataclass
 class StepCounts:
-    """Rows left after each step (filled lazily by ``removal_report``)."""
-    steps: list[tuple[str, DataFrame]] = field(default_factory=list)
+    """Rows left after each step, counted as they pass (``observe``) in the jobs that run anyway."""
+    steps: list[tuple[str, Observation]] = field(default_factory=list)
+    last: DataFrame | None = None
+
+    def add(self, name: str, df: DataFrame) -> DataFrame:
+        seen = Observation(f"{name}_{uuid.uuid4().hex[:8]}")
+        self.last = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+        self.steps.append((name, seen))
+        return self.last
+
+
+class _NoCounts(StepCounts):
+    """Counts nothing: observed rows would keep filters from the scan."""
 
     def add(self, name: str, df: DataFrame) -> DataFrame:
-        self.steps.append((name, df))
         return df
 
 
@@ -176,7 +187,7 @@ def stage(df: DataFrame, name: str, stage_rows: int | None = STAGE_ABOVE_ROWS) -
 def clean_regression(raw: DataFrame, exact: bool = True, report: StepCounts | None = None,
                      stage_rows: int | None = STAGE_ABOVE_ROWS) -> DataFrame:
     """C1 -> C2 -> C3 -> C4 -> C5, each quantile on the survivors of the step before."""
-    rep = report or StepCounts()
+    rep = report or _NoCounts()
     df = rep.add("raw", raw)
     df = rep.add("drop_incomplete", drop_incomplete(df))
     df = rep.add("sanity_filter", stage(sanity_filter(df), "regression_sane", stage_rows))
@@ -236,7 +247,7 @@ def iqr_drop(df: DataFrame, cols: list[str] = ("harga", "luas_tanah", "luas_bang
             lo, hi = fences[c]
             df = df.filter(F.col(c).between(F.lit(lo), F.lit(hi)))
         if report is not None:
-            report.add(f"iqr_{c}", df)
+            df = report.add(f"iqr_{c}", df)
     return df
 
 
@@ -245,7 +256,7 @@ def clean_clustering(raw: DataFrame, exact: bool = True, report: StepCounts | No
     """C11: C1 -> C9 -> C10 -> F12 -> E2 (area median of log price); drop rows with a null feature."""
     from .encoding import fit_median_encoder  # local import: encoding imports cleaning helpers
 
-    rep = report or StepCounts()
+    rep = report or _NoCounts()
     df = rep.add("raw", raw)
     df = rep.add("drop_incomplete", drop_incomplete(df))
     df = rep.add("price_range", stage(price_range_filter(df), "clustering_in_range", stage_rows))
@@ -258,15 +269,14 @@ def clean_clustering(raw: DataFrame, exact: bool = True, report: StepCounts | No
 
 
 def removal_report(report: StepCounts) -> DataFrame:
-    """(step_no, step, rows, removed) for each recorded step, one union job."""
-    parts = [d.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(i).alias("step_no"), F.lit(n).alias("step"), "rows")
-             for i, (n, d) in enumerate(report.steps)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    from pyspark.sql import Window
-    w = Window.orderBy("step_no")  # a handful of rows: single-partition window is bounded
-    return out.withColumn("removed", F.coalesce(F.lag("rows").over(w) - F.col("rows"), F.lit(0)).cast("bigint"))
+    """(step_no, step, rows, removed) for each recorded step.
+
+    One pass over the last step's rows fills the counts that no earlier job has; the driver gets a number a step.
+    """
+    report.last.write.format("noop").mode("overwrite").save()
+    counts = [(name, int(seen.get["rows"])) for name, seen in report.steps]
+    rows = [(i, name, n, counts[i - 1][1] - n if i else 0) for i, (name, n) in enumerate(counts)]
+    return report.last.sparkSession.createDataFrame(rows, "step_no int, step string, rows long, removed long")
 
 
 # ---- C13-C15: validation -----------------------------------------------------------
