@@ -1,17 +1,18 @@
 """Price-model math that is plain column arithmetic.
 
-Splits are deterministic hash buckets on the row key (no global sort, no
+Splits are deterministic by hashes of the row key (no global sort, no
 sampling RNG); routing and blending are ``when`` expressions over the two
 prediction columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as K
+from ..session import bounded_broadcast
 
 
 def hash_bucket(key: Column | str, buckets: int = 100) -> Column:
@@ -26,10 +27,28 @@ def train_test_split(df: DataFrame, key: str, train_pct: int = 80) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, train_pct: int = 80) -> DataFrame:
-    """M2: per class, ~train_pct % to train.  The bucket depends on the key only,
-    so every class is split independently with the same share in expectation
-    and no per-class window (a hot class would funnel into one task)."""
-    return df.withColumn("is_train", hash_bucket(F.concat_ws("|", F.col(label).cast("string"), F.col(key))) < train_pct)
+    """M2: of each class exactly ``round(train_pct % of its rows)`` rows train, in order of the hash of class and
+    key (then the key).
+
+    A histogram of the hashes' upper halves says in which of 65,536 bins a class's last training row lies;
+    only the rows of that bin are ranked, so no window sees a whole class.  Rows with a null class
+    are a class of their own; ``key`` is unique in its class.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.col(label).cast("string"), F.col(key))), 1, 8), 16, 10).cast("bigint")
+    rows = df.withColumns({"_h": h, "_bin": F.shiftright(h, 16), "_class": F.coalesce(F.col(label).cast("string"), F.lit("\0"))})
+    hist = rows.groupBy("_class", "_bin").agg(F.count(F.lit(1)).alias("n"))
+    by_bin = Window.partitionBy("_class").orderBy("_bin")  # at most 65,536 rows a class
+    upto = hist.select("_class", "_bin", "n", F.sum("n").over(by_bin).alias("upto"),
+                       F.sum("n").over(Window.partitionBy("_class")).alias("all"))
+    want = F.floor(F.col("all") * train_pct / 100 + 0.5)
+    cuts = (upto.where((F.col("upto") >= want) & (F.col("upto") - F.col("n") < want))
+            .select("_class", F.col("_bin").alias("_cut"), (want - F.col("upto") + F.col("n")).alias("_rest")))
+    rows = rows.join(bounded_broadcast(cuts), "_class", "left")  # one row a class; none where nothing trains
+    at_cut = F.coalesce(F.col("_bin") == F.col("_cut"), F.lit(False))
+    rank = F.row_number().over(Window.partitionBy("_class").orderBy("_h", key))
+    sure = rows.where(~at_cut).withColumn("is_train", F.coalesce(F.col("_bin") < F.col("_cut"), F.lit(False)))
+    last = rows.where(at_cut).withColumn("is_train", rank <= F.col("_rest"))
+    return sure.unionByName(last).select(*df.columns, "is_train")
 
 
 def extreme_weights(df: DataFrame, threshold: float, price: str = "harga", side: str = "side") -> DataFrame:

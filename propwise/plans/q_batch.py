@@ -358,9 +358,10 @@ def train_test_split(spark, sf):
 
 
 @register("stratified_split", ids="M2", sql=sql("""
-select listing_id, kelas_harga,
-  (('0x' || substr(md5(concat(cast(kelas_harga as varchar), '|', cast(listing_id as varchar))), 1, 8))::BIGINT % 100) < 80 as is_train
-from cls""", "cls"))
+select listing_id, kelas_harga, rn <= floor(n * 0.8 + 0.5) as is_train from (
+  select listing_id, kelas_harga, count(*) over (partition by kelas_harga) as n, row_number() over (partition by kelas_harga
+    order by ('0x' || substr(md5(concat(cast(kelas_harga as varchar), '|', cast(listing_id as varchar))), 1, 8))::BIGINT, listing_id) as rn
+  from cls)""", "cls"))
 def stratified_split(spark, sf):
     df = jobs.clean_classification_table(spark, sf)
     return P.stratified_split(df, "listing_id", "kelas_harga").select("listing_id", "kelas_harga", "is_train")

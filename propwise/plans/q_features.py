@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import columns as X
 from ..functions import constants as K
+from ..operators import brief as BR
 from ..operators import contract as CT
 from ..operators import similarity as V
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources import listings as S
 from ..sources import registry as REG
 from ..sources import sinks as SK
+from ..streaming import jobs as SJ
 from . import jobs
 from .catalog import register
 from .oracle import sql
@@ -108,6 +110,31 @@ def context_keys(spark, sf):
     return ev.select("event_id", X.context_key(F.concat(F.lit("harga rumah di "), F.col("lokasi")), pred).alias("context_key"))
 
 
+@register("cached_contexts", ids="R2 F23 T5", sql=sql(f"""
+, k as (select event_id, ts, concat('rag:', md5(concat(concat('harga rumah di ', lokasi), ':', md5({_PRED_SQL})))) as context_key, lokasi
+        from ev)
+, c as (select max(ts) - interval 3600 second as cutoff from k)
+select context_key, lpad(cast(arg_max(event_id, (ts, event_id)) as varchar), 20, '0') as request_id,
+  concat('## ', arg_max(lokasi, (ts, event_id))) as context
+from k, c where ts > cutoff group by context_key""", "ev"))
+def cached_contexts(spark, sf):
+    """The context cache: texts under their F23 key, folded in micro-batches; the newest of each key, one hour long."""
+    ev = jobs.prediction_events(spark, sf)
+    pred = X.sorted_json({"tool": F.col("tool"), "lokasi": F.col("lokasi"), "kelas_id": F.col("kelas_id"),
+                          "top": F.lit(None).cast("string")})
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = ev.select(F.concat(F.lit("harga rumah di "), F.col("lokasi")).alias("query"), pred.alias("prediction"),
+                     F.timestamp_micros(us).alias("ts"), F.lpad(F.col("event_id").cast("string"), 20, "0").alias("request_id"),
+                     F.concat(F.lit("## "), F.col("lokasi")).alias("brief"))
+    rows = materialize(BR.brief_cache_rows(rows, prediction=F.col("prediction")), "contexts")
+    root = scratch_path(spark, f"contexts-{uuid.uuid4().hex[:12]}")
+    for b in range(2):
+        SJ.fold_cache(rows.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == b), b, root, "s0")
+    now = rows.agg(F.max("ts").alias("m")).collect()[0]["m"]
+    return SJ.cached(spark, root, F.lit(now)).select(
+        F.col("cache_key").alias("context_key"), F.col("event_id").alias("request_id"), F.col("output_json").alias("context"))
+
+
 @register("unclustered_documents", ids="F19 T2", sql=sql("""
 select listing_id, case when listing_id % 3 = 0 then 'Unknown' else cluster_label end as segment_label,
   case when listing_id % 3 = 0 then -1 else cluster_id end as cluster_id

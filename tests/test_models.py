@@ -120,6 +120,8 @@ def test_stored_models_serve_the_same_scores(spark, tables, scratch):
     cm = MD.train_market_clusters(clu, k=3, restarts=1, max_iter=5)
     for name, m in (("price", pm), ("segment", sm), ("cluster", cm)):
         assert MS.publish(spark, scratch, name, m, {"x": 1.0}, {"y": 2}) == 1
+    from propwise.operators import brief as BR
+    assert BR.model_errors(spark, scratch) == (pm.threshold, round(pm.mape_low, 4), round(pm.mape_high, 4))
     rows = reg.limit(100).select("listing_id", *MD.REQUIRED, "garasi", F.lit(None).cast("double").alias("harga")).toPandas()
     other = spark.newSession()
     loaded = [MS.load_current(other, scratch, n) for n in ("price", "segment", "cluster")]

@@ -27,3 +27,18 @@ def test_extreme_weights(spark):
     df = spark.createDataFrame([(1e8, "low"), (7e8, "low"), (3e9, "high"), (2e9, "high")], "harga double, side string")
     w = [r["weight"] for r in P.extreme_weights(df, 1.2e9).collect()]
     assert w == [2.0, 1.0, 2.0, 1.0]
+
+
+def test_classes_are_split_exactly(spark):
+    rows = [(i, (0 if i % 3 else 1) if i < 5000 else 2) for i in range(5003)] + [(9000, None), (9001, 7)]
+    df = spark.createDataFrame(rows, "k long, c int")
+    out = P.stratified_split(df, "k", "c").persist()
+    n = {(r["c"], r["is_train"]): r["count"] for r in out.groupBy("c", "is_train").count().collect()}
+    size = {c: sum(1 for _, x in rows if x == c) for c in {x for _, x in rows}}
+    for c, k in size.items():
+        assert n.get((c, True), 0) == int(k * 0.8 + 0.5) and n.get((c, False), 0) == k - int(k * 0.8 + 0.5)
+    # the same rows however they lie, and no class funnels into one task
+    again = P.stratified_split(df.repartition(7), "k", "c")
+    assert out.exceptAll(again).count() == 0 and out.count() == len(rows)
+    assert P.stratified_split(df.limit(0), "k", "c").count() == 0
+    out.unpersist()

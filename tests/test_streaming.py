@@ -401,3 +401,17 @@ def test_audit_read_prunes_days(spark, scratch):
     got = SJ.audit_log(spark.read.parquet(sink)).where("day >= '2024-01-02'")
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: []" not in plan and "day" in plan.split("PartitionFilters:")[1][:120]
+
+
+def test_briefs_are_cached_for_an_hour_and_carry_the_models_own_error(spark, scratch):
+    from propwise.operators import brief as BR
+    rows = [("harga rumah", 0, 1, "old"), ("harga rumah", 100, 2, "new"), ("sewa", 10, 3, "other")]
+    df = spark.createDataFrame(rows, "query string, s long, request_id long, brief string").withColumn("ts", F.timestamp_seconds("s"))
+    root = os.path.join(scratch, "briefs")
+    for b, part in enumerate((df.where("s > 50"), df.where("s <= 50"))):
+        SJ.fold_cache(BR.brief_cache_rows(part), b, root, "s0")
+    at = lambda s: {r["output_json"] for r in SJ.cached(spark, root, F.timestamp_seconds(F.lit(s))).collect()}
+    assert at(200) == {"new", "other"} and at(3650) == {"new"} and at(3800) == set()
+    assert BR.model_errors(spark, None) == (1.2e9, 10.0824, 10.6653) == BR.model_errors(spark, scratch)
+    got = BR.with_model_error(spark.createDataFrame([(1e9,), (2e9,)], "harga_estimasi double"), (1.5e9, 7.0, 9.0)).collect()
+    assert [r["mape_persen"] for r in got] == [7.0, 9.0]
