@@ -26,6 +26,8 @@ from .common import stage
 SEED = 40
 MAX_CELL_ROWS = 250_000
 MAX_CELL_BYTES = 64 << 20
+#: Cells go to a task each up to this many, or up to the session's shuffle partitions if those are more.
+MIN_TASKS = 256
 #: numpy's own exact sampler refuses populations from here on.
 NUMPY_LIMIT = 1_000_000_000
 
@@ -171,12 +173,17 @@ def shuffle_to_shards(rows: DataFrame, shards: int, seed: int = SEED,
                     labels = labels_of(sizes, cells, place[int(part)], seed)
                 label[i:j] = labels[pos[i:j]]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(label // slices, pa.int32()), pa.array(base[label], pa.int64())],
-                [*b.schema.names, "shard", "__base"])
-
-    schema = StructType([*fixed.schema.fields, StructField("shard", IntegerType()), StructField("__base", LongType())])
-    cell = Window.partitionBy("shard", "__base").orderBy(F.xxhash64(F.lit(seed), "__part", "__pos"), "__part", "__pos")
-    return (fixed.mapInArrow(run, schema)
+                [*b.columns, pa.array(label // slices, pa.int32()), pa.array(base[label], pa.int64()),
+                 pa.array(label * tasks // len(cells), pa.int32())],
+                [*b.schema.names, "shard", "__base", "__task"])
+
+    # cells are alike in size: as many neighbours to each task, none by the chance of a hash
+    tasks = min(len(cells), max(MIN_TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    schema = StructType([*fixed.schema.fields, StructField("shard", IntegerType()), StructField("__base", LongType()),
+                         StructField("__task", IntegerType())])
+    cell = Window.partitionBy("__task", "shard", "__base").orderBy(
+        F.xxhash64(F.lit(seed), "__part", "__pos"), "__part", "__pos")
+    return (fixed.mapInArrow(run, schema).repartitionById(tasks, F.col("__task"))
             .withColumn("slot", F.col("__base") + F.row_number().over(cell) - 1)
             .select(*cols, "shard", "slot"))
 
