@@ -42,7 +42,7 @@ VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD_SCHEMA = ("page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, "
-                 "refers_to bigint, digest_ok boolean, payload binary, path string, start bigint")
+                 "refers_to bigint, digest_ok boolean, payload binary, path string, start bigint, fault string")
 
 
 def open_fs(path: str) -> tuple[fs.FileSystem, str]:
@@ -158,20 +158,29 @@ def parse(body: bytes) -> dict | None:
     kind = f.get("warc-type")
     if kind not in ("response", "revisit"):
         return None
-    block = rest[:int(f["content-length"])]
+    told = f.get("content-length", "")
+    known = told.isascii() and told.isdigit()
+    # without a length the block ends where the record does
+    block = rest[:int(told)] if known else rest.removesuffix(b"\r\n\r\n")
     http, _, payload = block.partition(b"\r\n\r\n")
+    short = known and len(rest) < int(told)
     told = f.get("warc-payload-digest", "").removeprefix("sha1:")
     whole = kind == "response"
     found = base32_sha1(payload) if whole else told
+    size = _fields(http).get("content-length", "")
     return {"page_id": _page(f.get("warc-record-id")), "url": f.get("warc-target-uri"),
-            "payload_bytes": len(payload) if whole else int(_fields(http).get("content-length", 0)),
+            "payload_bytes": len(payload) if whole else int(size) if size.isascii() and size.isdigit() else 0,
             "payload_digest": found, "record_type": kind, "refers_to": _page(f.get("warc-refers-to")),
-            "digest_ok": found == told or not told, "payload": payload if whole else None}
+            "digest_ok": found == told or not told, "payload": payload if whole else None,
+            "fault": "short" if short else None if known else "no length"}
 
 
-def read_range(store: fs.FileSystem, path: str, start: int, end: int,
-               read_bytes: int = READ_BYTES) -> Iterator[tuple[int, bytes]]:
-    """``(start, decoded member)`` of every WARC member that starts in ``[start, end)``."""
+def read_range(store: fs.FileSystem, path: str, start: int, end: int, read_bytes: int = READ_BYTES,
+               cut: list[int] | None = None) -> Iterator[tuple[int, bytes]]:
+    """``(start, decoded member)`` of every WARC member that starts in ``[start, end)``.
+
+    ``cut`` gets the start of a member that begins like a WARC record and lacks its end.
+    """
     with store.open_input_file(path) as f:
         size, buf, low = f.size(), b"", 0
 
@@ -184,12 +193,14 @@ def read_range(store: fs.FileSystem, path: str, start: int, end: int,
 
         def member(at: int) -> tuple[bytes, int] | None:
             """The member at ``at`` and where it ends; None if there is no WARC record."""
-            z, parts, head = zlib.decompressobj(31), [], b""
+            z, parts, head, first = zlib.decompressobj(31), [], b"", at
             try:
                 while not z.eof:
                     i = ahead(at, 1)
                     chunk = buf[i:i + STEP_BYTES]
                     if not chunk:
+                        if cut is not None and head == VERSION:
+                            cut.append(first)
                         return None
                     at += len(chunk)
                     parts.append(z.decompress(chunk))
@@ -221,8 +232,14 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
     """One row for each response and revisit record of ``files (path, bytes)``.
 
     A revisit has no payload; its length and digest are those of the payload it stands for.
-    ``digest_ok`` tells whether a response's payload has the digest its header names.  Empty
+    ``digest_ok`` tells whether a response's payload has the digest its header names; ``fault`` is null, or
+    "no length" (a record without one ends where its member does) or "short" (fewer bytes than it names).  A
+    member that the file's end cuts is a row of ``record_type`` "cut" with its place alone.  Empty
     files and files without a WARC member give no rows.
+
+    A payload that is an archive itself, kept uncompressed, looks like records to a range that starts inside it.
+    ``write_archives`` cannot make one: its payloads are UTF-8, which never holds the magic's second byte
+    behind the first.  Read foreign archives of archives with ranges of whole files.
     """
     ranges = files.where("bytes > 0").select(
         "path", "bytes", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("bytes") - 1,
@@ -233,13 +250,13 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()),
                             ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                             ("digest_ok", pa.bool_()), ("payload", pa.binary()), ("path", pa.string()),
-                            ("start", pa.int64())])
+                            ("start", pa.int64()), ("fault", pa.string())])
         assert schema.names == names
         for b in batches:
             for path, size, start in zip(*(c.to_pylist() for c in b.columns)):
                 store, inner = open_fs(path)
-                held, held_bytes = [], 0
-                for at, body in read_range(store, inner, start, min(start + range_bytes, size)):
+                held, held_bytes, cut = [], 0, []
+                for at, body in read_range(store, inner, start, min(start + range_bytes, size), cut=cut):
                     row = parse(body)
                     if row:
                         held.append(row | {"path": path, "start": at})
@@ -247,6 +264,7 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
                     if held_bytes >= 4 << 20:
                         yield pa.RecordBatch.from_pylist(held, schema=schema)
                         held, held_bytes = [], 0
+                held += [{"record_type": "cut", "path": path, "start": at} for at in cut]
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
@@ -255,6 +273,10 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame
 
 
 def round_trip(pages: DataFrame, **how) -> DataFrame:
-    """Write ``pages`` as archives in the shared folder and read all records back."""
+    """Write ``pages`` as archives in the shared folder and read all records back.
+
+    Null htmls are empty payloads, rows repeated whole are records like any other, columns beside the three
+    named play no part, an empty table gives an empty result.
+    """
     files = write_archives(with_revisits(pages, **how), shared_path(pages.sparkSession, "warc"))
     return read_archives(files)

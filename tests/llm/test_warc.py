@@ -91,3 +91,29 @@ def test_ranges_of_a_file_agree_with_a_plain_reader(tmp_path):
     assert pages[0] is None and [p["page_id"] for p in pages[1:]] == [*range(20), 77, *range(20, 40)]
     assert gzip.decompress(records[3]).startswith(b"WARC/1.1\r\n")
     assert list(warc.read_range(store, inner, len(blob) - 3, len(blob))) == []
+    cut = []
+    assert len(list(warc.read_range(store, inner, 0, len(blob), cut=cut))) == 42 and cut == [len(blob) - 30]
+
+
+def test_foreign_and_damaged_records_are_reported(spark, tmp_path):
+    def member(body):
+        z = zlib.compressobj(6, zlib.DEFLATED, 31)
+        return z.compress(body) + z.flush()
+
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    none = member(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\n\r\n" + http + b"abc\r\n\r\n")
+    odd = member(b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:2>\r\nContent-Length: x\r\n\r\n"
+                 b"HTTP/1.1 200 OK\r\nContent-Length: many\r\n\r\n\r\n\r\n")
+    short = member(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:3>\r\nContent-Length: 9999\r\n\r\n" + http + b"ab")
+    whole = warc.record(4, "http://x", b"ok", None)
+    last = warc.record(5, "http://y", os.urandom(4000), None)[:3000]
+    path = tmp_path / "odd.warc.gz"
+    blob = none + odd + short + whole + last
+    path.write_bytes(blob)
+    files = spark.createDataFrame([(str(path), len(blob), 5)], "path string, bytes bigint, records bigint")
+    for step in (150, 1 << 20):
+        rows = warc.read_archives(files, step).orderBy("start").collect()
+        assert [(r.page_id, r.record_type, r.payload and bytes(r.payload), r.fault) for r in rows] == [
+            (1, "response", b"abc", "no length"), (2, "revisit", None, "no length"), (3, "response", b"ab", "short"),
+            (4, "response", b"ok", None), (None, "cut", None, None)]
+        assert rows[-1].start == len(blob) - 3000 and rows[1].payload_bytes == 0
