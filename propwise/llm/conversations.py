@@ -29,9 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stage
+from .common import stage
 
 KEEP, REROLE, DELETE, INSERT = "K", "R", "D", "I"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 COST = {KEEP: 0, REROLE: 1, DELETE: 2, INSERT: 5}
 TRUNCATED_COST = 5
 #: States: nothing yet, behind a system row, behind a user row, behind an assistant row.
@@ -201,13 +202,12 @@ PLACE = ["turn", "digest"]
 
 def _narrow(rows: DataFrame) -> DataFrame:
     """One row for each different row of a conversation: place, code and number of copies, no text."""
-    word = rf"[^\x20\x09-\x0D]"
     initial = F.substring("role", 1, 1)
     code = F.when(initial.isin("s", "u", "a"), initial).otherwise(OTHER)
-    last = F.substring(F.regexp_replace("text", rf"{SPACE}+\z", ""), -1, 1)
+    last = F.substring(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), -1, 1)
     return (rows.where("not gone").select(
         "conv_id", "turn", _digest(rows).alias("digest"), "copies", initial.alias("initial"), code.alias("code"),
-        (~F.col("text").rlike(word)).alias("blank"), (~last.isin(".", "!", "?")).alias("cut"))
+        (~F.col("text").rlike(NOT_SPACE)).alias("blank"), (~last.isin(".", "!", "?")).alias("cut"))
         .groupBy("conv_id", "turn", "digest", "initial", "code", "blank", "cut").agg(F.sum("copies").alias("copies")))
 
 

@@ -158,6 +158,11 @@ def test_repaired_rows_read_as_they_should(spark):
     assert all(want[c][-1] == hashlib.sha256(b"").hexdigest() for c in set(want) - set(found))
 
 
+def test_long_runs_of_white_space(spark):
+    rows = [(1, 0, "user", "Hi." + " \n" * 400_000 + "x"), (1, 1, "assistant", " " * 700_000), (1, 2, "assistant", "Yes." + "\t" * 300_000)]
+    assert result(C.repair_conversations(spark.createDataFrame(rows, SCHEMA))) == brute(rows, False)
+
+
 def test_empty_and_dropped(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert C.repair_conversations(df, True).count() == 0 and C.repaired_rows(df).count() == 0
