@@ -341,9 +341,10 @@ def _audits(rows: DataFrame, tasks: int | None) -> DataFrame:
     """``(conv_id, part, audit)`` pieces in order of ``part``, the facts of ``FACTS`` on the first piece."""
     facts = [c.split()[0] for c in FACTS.split(", ")]
     found = stage(_stretches(stage(_narrow(rows), "conversations-narrow"), tasks), "conversations-stretches")
+    spread = F.try_add(F.try_subtract("last_turn", "first_turn"), 1 - F.col("turns"))  # null beyond a long
     solved = found.where("not open").select(
-        "conv_id", "part", "audit", F.when(F.col("turns") > 0, F.col("last_turn") - F.col("first_turn") + 1 - F.col("turns"))
-        .otherwise(0).alias("gaps"), *facts[1:])
+        "conv_id", "part", "audit", F.when(F.col("turns") > 0, F.coalesce(spread, F.lit(2 ** 63 - 1))).otherwise(0).alias("gaps"),
+        *facts[1:])
     opened = found.where("open")
     met = opened.drop("codes", "audit").groupBy("conv_id").applyInArrow(_meet, MET)
     own = opened.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "codes")

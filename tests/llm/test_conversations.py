@@ -163,6 +163,14 @@ def test_long_runs_of_white_space(spark):
     assert result(C.repair_conversations(spark.createDataFrame(rows, SCHEMA))) == brute(rows, False)
 
 
+def test_turns_as_far_apart_as_can_be(spark):
+    far = [(1, -2 ** 63, "user", "Hi."), (1, 2 ** 63 - 1, "assistant", "Yes."), (2, 0, "user", "Hi."), (2, 2 ** 62, "assistant", "Yes."),
+           *((3, t, "user", "Hi.") for t in (-2 ** 63, 0, 2 ** 63 - 1)), (4, 7, "user", "Hi."), (4, 9, "assistant", "Yes.")]
+    for tasks in (1, 5):
+        got = result(C.repair_conversations(spark.createDataFrame(far, SCHEMA), tasks=tasks))
+        assert [got[i][0] for i in (1, 2, 3, 4)] == [2 ** 63 - 1, 2 ** 62 - 1, 2 ** 63 - 1, 1]
+
+
 def test_empty_and_dropped(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert C.repair_conversations(df, True).count() == 0 and C.repaired_rows(df).count() == 0
