@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as X
 from ..functions import constants as K
-from ..session import bounded_broadcast, first_row, materialize
+from ..session import bounded_broadcast, first_row, materialize, spread
 from . import encoding as E
 from . import metrics as MT
 from . import pricing as P
@@ -127,7 +127,7 @@ def train_price_models(clean: DataFrame, key: str = "listing_id", threshold: flo
     train = df.filter("is_train")
     encoder = E.fit_target_encoder(train)
     prior = float(first_row(encoder.select("prior"))["prior"])
-    frame = regression_frame(df, encoder, prior).withColumns({
+    frame = spread(regression_frame(df, encoder, prior)).withColumns({
         "label": F.log1p("harga"), "is_val": F.col("is_train") & validation_rows(key)}).persist()
     models = {}
     for side in ("low", "high"):
@@ -217,7 +217,7 @@ def train_segment_model(clean_cls: DataFrame, key: str = "listing_id", max_iter:
     chosen by a tenth of the training part; probabilities are normalised.  Returns the holdout (y, p)."""
     df = segment_numbers(P.stratified_split(clean_cls, key, "kelas_harga"))
     encoder = fit_segment_encoder(df)
-    frame = encoder.transform(df).withColumn("is_val", F.col("is_train") & validation_rows(key)).persist()
+    frame = spread(encoder.transform(df)).withColumn("is_val", F.col("is_train") & validation_rows(key)).persist()
     models = []
     for c in range(len(K.SEGMENT_LABELS)):
         gbt = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=max_depth, stepSize=step_size, seed=seed)
@@ -344,7 +344,7 @@ def train_market_clusters(clean_clu: DataFrame, k: int = K.N_CLUSTERS, restarts:
     from .analytics import cluster_summary, rank_clusters
 
     stats = E.fit_standardizer(clean_clu, X.CLUSTERING_FEATURES)
-    z = E.standardize(clean_clu, stats)
+    z = spread(E.standardize(clean_clu, stats))
     plain = _vectors(z, None).persist()
     model, silhouette = _restarted(plain, k, restarts, max_iter, seed)
     silhouette_plain, reducer, data = silhouette, None, plain
