@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,12 @@ def _now() -> dt.datetime:
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not log.exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)
+
+
+def _append(spark: SparkSession, path: str, rows: list[tuple], schema: str) -> None:
+    """One folder for each write: writers at once would share, and remove, each other's drafts in one folder."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(path, f"write={uuid.uuid4().hex}"))
 
 
 def versions(spark: SparkSession, root: str) -> DataFrame:
@@ -48,8 +54,7 @@ def register_version(spark: SparkSession, root: str, model: str, metrics: dict)
     v = max(taken, default=0) + 1
     while not log.write_once(spark, os.path.join(claims, str(v)), ""):
         v += 1
-    spark.createDataFrame([(model, v, "None", json.dumps(metrics, sort_keys=True), _now())], EVENTS_SCHEMA) \
-        .write.mode("append").parquet(events)
+    _append(spark, events, [(model, v, "None", json.dumps(metrics, sort_keys=True), _now())], EVENTS_SCHEMA)
     return v
 
 
@@ -59,7 +64,7 @@ def promote(spark: SparkSession, root: str, model: str, version: int, stage: str
                                          & (F.col("version") != version)).select("version").collect())
     at = _now()
     rows = [(model, int(r["version"]), "Archived", None, at) for r in prev] + [(model, int(version), stage, None, at)]
-    spark.createDataFrame(rows, EVENTS_SCHEMA).write.mode("append").parquet(os.path.join(root, "model_events"))
+    _append(spark, os.path.join(root, "model_events"), rows, EVENTS_SCHEMA)
 
 
 def current_version(spark: SparkSession, root: str, model: str, stage: str = "Production") -> int | None:
@@ -71,8 +76,8 @@ def current_version(spark: SparkSession, root: str, model: str, stage: str = "Pr
 
 def write_model_metadata(spark: SparkSession, root: str, model: str, version: int, metadata: dict) -> None:
     """Persist thresholds, feature list, metrics, cluster summary (JSON text column)."""
-    spark.createDataFrame([(model, int(version), json.dumps(metadata, sort_keys=True, default=float), _now())],
-                          META_SCHEMA).write.mode("append").parquet(os.path.join(root, "model_metadata"))
+    row = (model, int(version), json.dumps(metadata, sort_keys=True, default=float), _now())
+    _append(spark, os.path.join(root, "model_metadata"), [row], META_SCHEMA)
 
 
 def model_metadata(spark: SparkSession, root: str) -> DataFrame:

@@ -147,14 +147,13 @@ def test_two_writers_never_share_a_version(spark, scratch):
 
 def test_a_ledger_that_cannot_be_read_is_no_empty_ledger(spark, scratch):
     REG.register_version(spark, scratch, "price", {})
-    path = os.path.join(scratch, "model_events")
-    for name in os.listdir(path):
-        if name.endswith(".parquet"):
-            with open(os.path.join(path, name), "wb") as f:
-                f.write(b"no parquet")
-            crc = os.path.join(path, f".{name}.crc")
-            if os.path.exists(crc):
-                os.unlink(crc)
+    for path, _, names in os.walk(os.path.join(scratch, "model_events")):
+        for name in names:
+            if name.endswith(".parquet"):
+                with open(os.path.join(path, name), "wb") as f:
+                    f.write(b"no parquet")
+            elif name.endswith(".crc"):
+                os.unlink(os.path.join(path, name))
     import pytest
     with pytest.raises(Exception):
         REG.current_version(spark, scratch, "price")
