@@ -414,3 +414,11 @@ def test_briefs_are_cached_for_an_hour_and_carry_the_models_own_error(spark, scr
     assert BR.model_errors(spark, None) == (1.2e9, 10.0824, 10.6653) == BR.model_errors(spark, scratch)
     got = BR.with_model_error(spark.createDataFrame([(1e9,), (2e9,)], "harga_estimasi double"), (1.5e9, 7.0, 9.0)).collect()
     assert [r["mape_persen"] for r in got] == [7.0, 9.0]
+
+
+def test_checked_feedback_is_parsed_once_a_row(spark):
+    """The rules read many fields: the filter on them reads a written table, not the JSON again."""
+    rows = spark.createDataFrame([("1", '{"kamar_tidur": 2, "kamar_mandi": 1}'), ("2", "{}")], "event_id string, value string")
+    for part in SJ.prepare_feedback(rows):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "jsontostructs" not in plan.lower()
