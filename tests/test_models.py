@@ -159,3 +159,39 @@ def test_areas_that_differ_in_marks_stay_apart(spark, tables):
     assert [f for f in sm.features if f.startswith("lokasi_")] == [f"lokasi_{n}" for n in sorted(names)]
     unknown = sm.encoder.transform(MD.segment_numbers(cls.limit(1).withColumn("lokasi", F.lit("elsewhere")))).first()["features"]
     assert unknown.size == len(sm.features) and not any(unknown.toArray()[-3:])
+
+
+def test_a_step_of_rounds_is_not_fitted_again(spark, tables):
+    """Two steps of rounds take one fit, and the model is that of a fit of just those rounds."""
+    from pyspark.ml.regression import GBTRegressor
+
+    reg, _, _ = tables
+    frame = MD.regression_frame(reg.limit(400), MD.E.fit_target_encoder(reg), 1e9).withColumn("label", F.log1p("harga")).withColumn(
+        "is_val", F.col("listing_id") % 3 == 0).persist()
+    train, valid = frame.filter("not is_val"), frame.filter("is_val")
+    fits = []
+
+    class Counted(GBTRegressor):
+        def fit(self, *args):
+            fits.append(self.getMaxIter())
+            return super().fit(*args)
+
+    gbt = Counted(featuresCol="features", labelCol="label", maxDepth=2, stepSize=0.1, seed=1)
+    model = MD.fit_boosted(gbt, train, valid, 32, 8)
+    plain = GBTRegressor(featuresCol="features", labelCol="label", maxDepth=2, stepSize=0.1, seed=1, maxIter=model.getNumTrees).fit(train)
+    assert fits == [32] and model.getNumTrees > 16
+    both = plain.setPredictionCol("q").transform(model.transform(valid))
+    assert both.agg(F.max(F.abs(F.col("prediction") - F.col("q")))).first()[0] < 1e-9
+    frame.unpersist()
+
+
+def test_training_frames_have_a_fixed_number_of_partitions(spark):
+    from propwise.session import dealt
+
+    one = spark.range(1000)
+    many = one
+    for _ in range(9):
+        many = many.unionByName(one.repartition(20))
+    cores = spark.sparkContext.defaultParallelism
+    assert many.rdd.getNumPartitions() > 4 * cores
+    assert dealt(many).rdd.getNumPartitions() <= 4 * cores and dealt(many).count() == 10_000
