@@ -194,4 +194,13 @@ def test_training_frames_have_a_fixed_number_of_partitions(spark):
         many = many.unionByName(one.repartition(20))
     cores = spark.sparkContext.defaultParallelism
     assert many.rdd.getNumPartitions() > 4 * cores
-    assert dealt(many).rdd.getNumPartitions() <= 4 * cores and dealt(many).count() == 10_000
+    assert dealt(many, ["id"]).rdd.getNumPartitions() <= 4 * cores and dealt(many, ["id"]).count() == 10_000
+    # a large table (by its estimated size) keeps what is read, a small one all
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    wide = many.withColumn("other", F.lit(1))
+    assert dealt(wide, ["id"]).columns == ["id", "other"]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+        assert dealt(wide, ["id"]).columns == ["id"] and dealt(wide, ["id"]).rdd.getNumPartitions() == 4 * cores
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
