@@ -166,8 +166,9 @@ def test_a_step_of_rounds_is_not_fitted_again(spark, tables):
     from pyspark.ml.regression import GBTRegressor
 
     reg, _, _ = tables
-    frame = MD.regression_frame(reg.limit(400), MD.E.fit_target_encoder(reg), 1e9).withColumn("label", F.log1p("harga")).withColumn(
-        "is_val", F.col("listing_id") % 3 == 0).persist()
+    # without noise, so every round gains
+    frame = MD.regression_frame(reg.limit(400), MD.E.fit_target_encoder(reg), 1e9).withColumn(
+        "label", F.log1p("luas_tanah") + F.col("kamar_tidur")).withColumn("is_val", F.col("listing_id") % 3 == 0).persist()
     train, valid = frame.filter("not is_val"), frame.filter("is_val")
     fits = []
 
