@@ -64,3 +64,18 @@ def test_approximate_path_close_to_exact(spark):
     exact = C.clean_regression(raw).count()
     approx = C.clean_regression(raw, exact=False).count()
     assert abs(exact - approx) <= 0.02 * exact
+
+
+def test_percentile_counts_equal_values_first(spark):
+    """No task merges one buffer of distinct values for each task: values are counted over all of them first."""
+    import re
+
+    df = spark.range(4_000, numPartitions=8).selectExpr("id % 2 as k", "if(id % 50 = 0, null, cast(id % 30 as double)) as x")
+    per = Q.group_quantiles(df, "k", F.col("x"), [0.5, 0.9], "percentile")
+    assert re.search(r"hashpartitioning\(k#\d+L?, x#\d+", per._jdf.queryExecution().executedPlan().toString())
+    rows = df.toPandas().dropna()
+    for r in per.collect():
+        x = rows[rows.k == r["k"]].x
+        assert r["n"] == len(x) and np.allclose(r["q"], np.percentile(x, [50, 90]))
+    assert np.allclose(Q.quantiles(df, F.col("x"), [0.25, 0.5]), np.percentile(rows.x, [25, 50]))
+    assert Q.quantiles(df.where("x is null"), F.col("x"), [0.5]) is None
